@@ -14,7 +14,7 @@ MASK_32 = 4294967295
 MAX_TERMS = 512
 
 #: Characters that a script engine's trim() takes off; Spark's trim() only takes spaces.
-BLANK = r"[\s   -     　﻿]"
+BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def strip(text: Column) -> Column:
