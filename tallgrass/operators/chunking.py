@@ -19,7 +19,9 @@ MAX_LINES, OVERLAP = 100, 20
 MAX_RANGE_LINES, RANGE_OVERLAP = 200, 20
 
 _RANGE = f"array<struct<{', '.join(p.replace(' ', ': ') for p in model.RANGES.split(', '))}>>"
-_NONE = F.lit(None).cast("string")
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def window_count(n: Column, size: int, overlap: int) -> Column:
@@ -120,9 +122,12 @@ def _line_index(source: str):
     return lambda offset: bisect_right(starts, offset)
 
 
-@F.pandas_udf(_RANGE)
-def script_ranges(source: pd.Series, path: pd.Series) -> pd.Series:
+def script_ranges(source: Column | str, path: Column | str) -> Column:
     """Declarations of each script as ranges; unreadable scripts give those before the error."""
+    return F.pandas_udf(_script_ranges, _RANGE)(source, path)
+
+
+def _script_ranges(source: pd.Series, path: pd.Series) -> pd.Series:
 
     def one(text_: str | None, path_: str | None):
         if text_ is None or path_ is None:
@@ -155,7 +160,7 @@ def chunk_by_lines(files: DataFrame, size: int = MAX_LINES, overlap: int = OVERL
     """Overlapping line windows of every file. A null source gives no rows, an empty one gives one."""
     n = F.size("_lines")
     cut = files.where("source is not null and path is not null").withColumn("_lines", text.lines(F.col("source")))
-    ranges = F.transform(line_windows(F.lit(1), n, size, overlap), lambda w: F.struct(w.start_line, w.end_line, _NONE.alias("symbol_name"), _NONE.alias("symbol_type")))
+    ranges = F.transform(line_windows(F.lit(1), n, size, overlap), lambda w: F.struct(w.start_line, w.end_line, _none().alias("symbol_name"), _none().alias("symbol_type")))
     return _rows(cut.withColumn("_ranges", ranges))
 
 
@@ -185,7 +190,7 @@ def chunk_scripts(files: DataFrame) -> DataFrame:
     read = files.where(F.length(text.strip(F.col("source"))) > 0).withColumn("_found", script_ranges("source", "path"))
     lines_ = text.lines(F.col("source"))
     windows = F.transform(
-        line_windows(F.lit(1), F.size(lines_)), lambda w: F.struct(w.start_line.alias("start_line"), w.end_line.alias("end_line"), _NONE.alias("symbol_name"), _NONE.alias("symbol_type"))
+        line_windows(F.lit(1), F.size(lines_)), lambda w: F.struct(w.start_line.alias("start_line"), w.end_line.alias("end_line"), _none().alias("symbol_name"), _none().alias("symbol_type"))
     )
     ranges = F.when(F.size("_found") > 0, split_ranges(dedup_ranges(F.col("_found")))).otherwise(windows)
     return _rows(read.withColumn("_ranges", ranges).withColumn("_lines", lines_))
@@ -218,8 +223,8 @@ def chunk_memory(files: DataFrame) -> DataFrame:
         "language": F.lit("markdown"),
         "kind": F.lit("memory"),
         "memory_type": paths.memory_type(F.col("path")),
-        "symbol_name": _NONE,
-        "symbol_type": _NONE,
+        "symbol_name": _none(),
+        "symbol_type": _none(),
     }
     sections = base.where(~F.col("_name").isin("skill.md", "learnings.md")).withColumn("_sections", memory_sections(F.col("source")))
     sections = sections.select("repo", "path", "commit_hash", F.size("_sections").alias("total_chunks"), F.posexplode("_sections").alias("chunk_index", "_s"))

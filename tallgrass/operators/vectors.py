@@ -94,7 +94,7 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; null if their lengths differ or one is all zero."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
+    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norms))
 
 
 def dense_topk(points: DataFrame, vector: list[float], k: int, filters: SearchFilters = SearchFilters(), key: str = "point_id", column: str = "dense") -> DataFrame:
@@ -108,7 +108,7 @@ def dense_topk(points: DataFrame, vector: list[float], k: int, filters: SearchFi
         return points.select(key, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
     own = F.col(column)
     size_ok = F.size(own) == len(vector)
-    scored = points.where(filters.condition() & size_ok).select(key, (dot(own, query) / (F.sqrt(dot(own, own)) * norm)).alias("score"))
+    scored = points.where(filters.condition() & size_ok).select(key, F.try_divide(dot(own, query), F.sqrt(dot(own, own)) * norm).alias("score"))
     return ranked(scored.where("score is not null and not isnan(score)"), key, k)
 
 
