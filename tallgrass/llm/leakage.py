@@ -18,8 +18,9 @@ from tallgrass.session import cut_lineage
 N_WORDS = 13
 #: Rarest words of each window whose postings are intersected.
 ANCHORS = 2
-#: Words by which the distance of two matching words may differ in a proximity match.
-SLACK = 6
+#: A proximity match needs so many rare words of an item whose distances in the
+#: document differ from those in the item by at most SLACK words from one to the next.
+NEAR_WORDS, SLACK = 5, 4
 
 
 def words(text: Column) -> Column:
@@ -67,28 +68,29 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N_WORDS, slack: int | No
     """``(item_id, doc_id, kind)``: each item found in each document, once.
 
     ``kind`` is 'phrase' if at least ``n`` consecutive words of the item stand in the
-    document, and, if ``slack`` is given, 'proximity' if only the rarest words of one
-    window stand there at distances that differ by ``slack`` words at most. Null and
-    empty texts, and items of fewer than ``n`` words, match nothing.
+    document, and, if ``slack`` is given, 'proximity' if only ``NEAR_WORDS`` of its rare
+    words stand there close together in about the item's order. Null and empty texts,
+    and items of fewer than ``n`` words, match nothing.
 
     The items are held-out tests: their words are broadcast, which is checked (see
-    ``bounded``). Documents are never broadcast; each posting list is built, shifted
-    and intersected by (item, window, document), so that no list is held in one task.
+    ``bounded``). Documents are never broadcast. A posting list is shifted by the
+    offset of its word in an item and intersected with the others by (item, document,
+    shift), so no list is held in one task.
     """
     docs = docs.select("doc_id", "text")
     positions = bounded(item_positions(items))
     frequency = cut_lineage(_frequency(docs, positions.select("word").distinct()))
-    starts = cut_lineage(anchors(positions, frequency, n, ANCHORS if slack is None else 3))
+    starts = cut_lineage(anchors(positions, frequency, n).select("item_id", "at", "word").distinct())
     lists = postings(docs, starts.select("word").distinct())
-    hits = lists.join(F.broadcast(starts), "word").select("item_id", "first", "place", "doc_id", (F.col("pos") - F.col("at")).alias("shift"))
-    needed = starts.groupBy("item_id", "first").agg(F.count(F.lit(1)).alias("_needed"))
-    on_line = hits.groupBy("item_id", "first", "doc_id", "shift").agg(F.count(F.lit(1)).alias("_places"))
-    places = on_line.join(F.broadcast(needed), ["item_id", "first"])
-    candidates = places.where("_places = _needed").select("item_id", "doc_id", "first", "shift")
-    phrases = _compare(docs, candidates, positions, n)
+    hits = lists.join(F.broadcast(starts), "word").select("item_id", "doc_id", "at", (F.col("pos") - F.col("at")).alias("shift"))
+    on_line = hits.groupBy("item_id", "doc_id", "shift").agg(F.count(F.lit(1)).alias("_c"), F.min("at").alias("low"), F.max("at").alias("high"))
+    # All anchors of some window lie on the line; if there are no more than these, they lie within a window.
+    lines = on_line.where((F.col("_c") >= ANCHORS) & ((F.col("_c") > ANCHORS) | (F.col("high") - F.col("low") < n)))
+    phrases = _compare(docs, lines, positions, n)
     if slack is None:
         return phrases
-    near = _near(hits, needed, slack).join(phrases.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+    phrases = cut_lineage(phrases)
+    near = _near(hits, slack).join(phrases.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
     return phrases.unionByName(near.withColumn("kind", F.lit("proximity")))
 
 
@@ -101,27 +103,44 @@ def bounded(positions: DataFrame, most: int = 2_000_000) -> DataFrame:
     return cut
 
 
-def _compare(docs: DataFrame, candidates: DataFrame, positions: DataFrame, n: int) -> DataFrame:
-    """Candidates whose ``n`` words all agree, as distinct (item, document) pairs."""
+def _compare(docs: DataFrame, lines: DataFrame, positions: DataFrame, n: int) -> DataFrame:
+    """Lines on which ``n`` words in a row agree, as distinct (item, document) pairs.
+
+    Only documents with lines are read again. Of each line the stretch of the document
+    around its anchors is cut out in the document's own row, so that what is compared
+    with the item is short. The lines of a document are bounded by its length.
+    """
     texts = positions.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("_w"))
     texts = texts.select("item_id", F.transform("_w", lambda x: x["word"]).alias("_item"))
-    # One row per place in a document, however many windows point to it.
-    lines = candidates.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("first").alias("_firsts"))
-    rows = docs.join(lines, "doc_id").join(F.broadcast(texts), "item_id").withColumn("_words", words(F.col("text")))
-    same = lambda f: F.slice("_item", f + 1, n) == F.slice("_words", f + F.col("shift") + 1, n)
-    inside = lambda f: (f + F.col("shift") >= 0) & (f + F.col("shift") + n <= F.size("_words"))
-    agree = rows.where(F.exists("_firsts", lambda f: F.when(inside(f), same(f)).otherwise(F.lit(False))))
-    return agree.select("item_id", "doc_id").distinct().withColumn("kind", F.lit("phrase"))
+    by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "low", "high")).alias("_lines"))
+    rows = docs.join(by_doc, "doc_id").select("doc_id", "_lines", words(F.col("text")).alias("_words"))
+
+    def cut(line: Column) -> Column:
+        begin = F.greatest(F.lit(0), line["low"] - n + 1, -line["shift"])
+        stretch = F.slice("_words", begin + line["shift"] + 1, line["high"] + n - begin)
+        return F.struct(line["item_id"].alias("item_id"), begin.alias("begin"), stretch.alias("stretch"))
+
+    found = rows.select("doc_id", F.explode(F.transform("_lines", cut)).alias("_l")).join(F.broadcast(texts), F.col("_l.item_id") == F.col("item_id"))
+    theirs = F.slice("_item", F.col("_l.begin") + 1, F.size("_l.stretch"))
+    equal = F.zip_with("_l.stretch", theirs, lambda a, b: a.eqNullSafe(b))
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state: Column, same: Column) -> Column:
+        run = F.when(same, state["run"] + 1).otherwise(0)
+        return F.struct(run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    longest = F.aggregate(equal, start, step)["best"]
+    return found.where(longest >= n).select("item_id", "doc_id").distinct().withColumn("kind", F.lit("phrase"))
 
 
-def _near(hits: DataFrame, needed: DataFrame, slack: int) -> DataFrame:
-    """(item, document) pairs where all anchors of a window lie on nearby shifts.
+def _near(hits: DataFrame, slack: int, least: int = NEAR_WORDS) -> DataFrame:
+    """(item, document) pairs with a run of nearby shifts that has enough anchors.
 
-    Shifts are sorted inside (item, window, document); a run whose neighbours differ
-    by at most ``slack`` and that has every anchor is a match.
+    Shifts are sorted inside (item, document), which the document's length bounds;
+    neighbours in a run differ by at most ``slack``.
     """
-    w = Window.partitionBy("item_id", "first", "doc_id").orderBy("shift", "place")
+    w = Window.partitionBy("item_id", "doc_id").orderBy("shift", "at")
     gap = F.when(F.col("shift") - F.lag("shift").over(w) > slack, 1).otherwise(0)
     runs = hits.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    full = runs.groupBy("item_id", "first", "doc_id", "_run").agg(F.countDistinct("place").alias("_places")).join(F.broadcast(needed), ["item_id", "first"])
-    return full.where("_places = _needed and _needed >= 3").select("item_id", "doc_id").distinct()
+    full = runs.groupBy("item_id", "doc_id", "_run").agg(F.countDistinct("at").alias("_places"), (F.max("at") - F.min("at")).alias("_span"))
+    return full.where((F.col("_places") >= least) & (F.col("_span") < 4 * N_WORDS)).select("item_id", "doc_id").distinct()
