@@ -233,7 +233,7 @@ def similar_pairs(
     depth = max(0, math.ceil(math.log2(max(1, n) / shard)))
     tree = _fitted(packed, n, depth, dimensions)
     margin = reach(min_cosine) / relax / 2
-    routed = _route(classes, key, tree, margin, dimensions)
+    routed = _route(classes.select(key, "v"), key, tree, margin, dimensions)
     if depth:
         routed = _blocks(cut_lineage(routed), key, block)
     else:
@@ -260,24 +260,27 @@ def similar_pairs(
     # Keys of one class stand for its other keys as well.
     ends = lambda c: members.select(F.col("rep").alias(c), F.col(key).alias(f"{c}_key"))
     across = ordered.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_key").alias("x"), F.col("b_key").alias("y"))
-    within = members.where("place <= %d" % k).select("rep", F.col(key).alias("x")).join(members.where("place > 1").select("rep", F.col(key).alias("y")), "rep").select("x", "y")
+    # Every copy pairs with the first k of its class; the lists of these are short.
+    heads = members.where("place <= %d and size > 1" % k).groupBy("rep").agg(F.collect_list(key).alias("_heads"))
+    copies = packed.join(classes.where("_n > 1").select("v", F.col(key).alias("rep")), "v").select("rep", F.col(key).alias("x"))
+    within = copies.join(heads, "rep").select("x", F.explode("_heads").alias("y"))
     both = across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return _top_of_either(_checked(cut_lineage(both), points, key, column, dimensions, min_cosine), k)
 
 
 def _classes(packed: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """One row per packed vector with its smallest key, and ``(rep, key, place)`` of the classes of several keys.
+    """``(key, v, _n)``: one row per packed vector with its smallest key and the number of its
+    copies; and ``(rep, key, place, size)``: the first k + 1 keys of each class.
 
-    Every key is a member. Ranks are cut to k + 1 where they stand for the class in
-    pairs with others; Spark applies that cut before the shuffle.
+    The cut to k + 1 is a rank filter, which Spark applies before the shuffle, so that
+    a class with a third of all vectors costs k + 1 rows per task.
     """
-    first = packed.groupBy("v").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_n"))
-    first = cut_lineage(first)
-    several = first.where("_n > 1").select("v", F.col(key).alias("rep"))
+    first = cut_lineage(packed.groupBy("v").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_n")))
+    several = first.where("_n > 1").select("v", F.col(key).alias("rep"), F.col("_n").alias("size"))
     w = Window.partitionBy("v").orderBy(key)
     inside = packed.join(several.select("v"), "v", "left_semi").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1).join(several, "v")
-    alone = first.where("_n = 1").select(F.col(key).alias("rep"), F.col(key).alias(key), F.lit(1).alias("place"))
-    return first.select(key, "v"), inside.select("rep", key, "place").unionByName(alone)
+    alone = first.where("_n = 1").select(F.col(key).alias("rep"), F.col(key).alias(key), F.lit(1).alias("place"), F.lit(1).cast("bigint").alias("size"))
+    return first, inside.select("rep", key, "place", "size").unionByName(alone)
 
 
 def _fitted(packed: DataFrame, n: int, depth: int, dimensions: int) -> Tree:
@@ -443,7 +446,7 @@ def nearest(
     n_shards = max(1, math.ceil(packed.count() / shard))
     data = packed.select(F.pmod(F.xxhash64(F.lit(17), key), F.lit(n_shards)).cast("int").alias("shard"), key, "v")
     asked = packed.join(queries.select(key).distinct(), key, "left_semi")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), key, "v")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("_shard"), F.col(key).alias("_key"), F.col("v").alias("_v"))
     kind = packed.schema[key].dataType
     schema = T.StructType([T.StructField("query", kind), T.StructField("neighbour", kind), T.StructField("cosine", T.DoubleType())])
 
@@ -454,14 +457,14 @@ def nearest(
         parts = []
         for i in range(0, len(asking), QUERY_BLOCK):
             part = asking.iloc[i : i + QUERY_BLOCK]
-            rows, cosines = search(index, unpack(part["v"], dimensions), k + 1, relax)
-            ids = np.repeat(part[key].to_numpy(), rows.shape[1])
+            rows, cosines = search(index, unpack(part["_v"], dimensions), k + 1, relax)
+            ids = np.repeat(part["_key"].to_numpy(), rows.shape[1])
             flat = rows.ravel()
             ok = flat >= 0
             frame = pd.DataFrame({"query": ids[ok], "neighbour": keys[flat[ok]], "cosine": cosines.ravel()[ok].astype(float)})
             parts.append(frame[frame["query"] != frame["neighbour"]])
         return pd.concat(parts)
 
-    found = data.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, schema)
+    found = data.groupBy("shard").cogroup(asked.groupBy("_shard")).applyInPandas(run, schema)
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -47,6 +47,34 @@ def p1_scores(spark, d):
     return out.select("point_id", F.col("term").alias("term_hash"), "n", "df", F.round("score", 4).alias("score"))
 
 
+# -- 4: similar vectors ---------------------------------------------------------
+@query("""with v as (select distinct point_id, dense::DOUBLE[] as d from points where len(dense) = 64 and list_dot_product(dense::DOUBLE[], dense::DOUBLE[]) > 0)
+select a.point_id as point_a, b.point_id as point_b from v a join v b on a.point_id < b.point_id where list_cosine_similarity(a.d, b.d) >= 0.95""")
+def p4_found(spark, d):
+    from tallgrass.llm import neighbours
+
+    pairs = neighbours.similar_pairs(read_table(spark, d, "points"), 0.95)
+    return pairs.select(F.col("a").alias("point_a"), F.col("b").alias("point_b"))
+
+
+def _query_points(points: DataFrame) -> DataFrame:
+    """The points whose id, read as a hexadecimal number, is divisible by 20."""
+    low = F.conv(F.substring(F.replace("point_id", F.lit("-"), F.lit("")), -2, 2), 16, 10).cast("int")
+    fives = F.aggregate(F.split(F.replace("point_id", F.lit("-"), F.lit("")), ""), F.lit(0), lambda s, c: s + F.coalesce(F.conv(c, 16, 10).cast("int"), F.lit(0)))
+    return points.where((low % 4 == 0) & (fives % 5 == 0)).select("point_id")  # 16 = 1 (mod 5)
+
+
+@query()
+def p4_knn(spark, d):
+    from tallgrass.llm import neighbours
+
+    points = read_table(spark, d, "points")
+    found = neighbours.nearest(points, _query_points(points), 10)
+    paths = points.groupBy("point_id").agg(F.min("file_path").alias("file_path"))
+    named = found.join(paths.select(F.col("point_id").alias("query"), F.col("file_path").alias("query_path")), "query")
+    return named.join(paths.select(F.col("point_id").alias("neighbour"), "file_path"), "neighbour").select("query", "query_path", "rank", "neighbour", "file_path", F.round("cosine", 4).alias("cosine"))
+
+
 # -- 6: frequencies -------------------------------------------------------------
 _TERMS = """ev as (select distinct on (event_id) event_id, query, hits from telemetry where event_id is not null order by event_id),
 cells as (select event_id, 'hits' as field, upper(trim(h.id)) as term from (select event_id, unnest(hits) as h from ev) where h.id is not null
@@ -84,6 +112,14 @@ def p7_pieces(spark, d):
     return splitting.split_chunks(read_table(spark, d, "chunks"))
 
 
+# -- 8: packing -----------------------------------------------------------------
+@query()
+def p8_pack(spark, d):
+    from tallgrass.llm import packing
+
+    return packing.pack(read_table(spark, d, "documents"))
+
+
 # -- 9: leaked evaluation texts -------------------------------------------------
 @query("""with i as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from eval_items),
 g as (select distinct item_id, array_to_string(list_slice(w, k::INT, (k + 12)::INT), ' ') as gram from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i)),
