@@ -139,6 +139,21 @@ def p9_matches(spark, d):
     return leakage.matches(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), slack=leakage.SLACK)
 
 
+# -- 10: personal information ---------------------------------------------------
+@query()
+def p10_found(spark, d):
+    from tallgrass.llm import personal
+
+    return personal.find_mentions(read_table(spark, d, "documents")).select("doc_id", "line_no", "pii_type").distinct()
+
+
+@query()
+def p10_redacted(spark, d):
+    from tallgrass.llm import personal
+
+    return personal.redacted(read_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
