@@ -75,6 +75,21 @@ def p4_knn(spark, d):
     return named.join(paths.select(F.col("point_id").alias("neighbour"), "file_path"), "neighbour").select("query", "query_path", "rank", "neighbour", "file_path", F.round("cosine", 4).alias("cosine"))
 
 
+# -- 5: secrets -----------------------------------------------------------------
+@query()
+def p5_found(spark, d):
+    from tallgrass.llm import secrets
+
+    return secrets.find_secrets(read_table(spark, d, "chunks")).select("point_id", "line_no").distinct()
+
+
+@query()
+def p5_redacted(spark, d):
+    from tallgrass.llm import secrets
+
+    return secrets.redacted(read_table(spark, d, "chunks"))
+
+
 # -- 6: frequencies -------------------------------------------------------------
 _TERMS = """ev as (select distinct on (event_id) event_id, query, hits from telemetry where event_id is not null order by event_id),
 cells as (select event_id, 'hits' as field, upper(trim(h.id)) as term from (select event_id, unnest(hits) as h from ev) where h.id is not null
