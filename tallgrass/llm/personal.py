@@ -76,32 +76,21 @@ ID_AFTER_WORD = re.compile(ID_WORDS.pattern + r"(?:\s*(?:no\.?|nr\.?|n°|nº|num
 
 _STREET_EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Terrace|Ter|Drive|Dr|Court|Ct|Way|Place|Pl|Crescent|Cres|Square|Sq|Boulevard|Blvd|Parkway|Pkwy|Grove|Gardens|Gdns|Row|Mews|Hill|Walk|Circle|Highway|Hwy)"
 _CAP = r"[A-ZÀ-Þ][\wÀ-ÿ'’\-]+"
-_UNIT = r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Ste\.?|Floor|FLAT|APT\.?|UNIT|SUITE|STE\.?)\s+#?\w{1,5}\s*,\s*)?"
-#: For each form of address a cheap pattern that its texts contain, and the form itself.
-ADDRESSES = [
-    (
-        re.compile(r"\d[A-Za-z]?,?\s+[A-ZÀ-Þ]"),
-        re.compile(rf"{_UNIT}(?<![\w.\-/:])\d{{1,5}}[A-Za-z]?,?\s+(?:{_CAP}\s+){{1,3}}(?:{_STREET_EN}|{_STREET_EN.upper()})\b\.?"),
-    ),
-    (
-        re.compile(r"(?:aße|asse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|STRASSE|STRAßE|WEG|GASSE|PLATZ|ALLEE)\s+\d"),
-        re.compile(r"\b(?!(?i:hinweg|weg|ring|platz)\s)[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|STRASSE|STRAßE|WEG|GASSE|PLATZ|ALLEE)\s+\d{1,4}\s?[a-zA-Z]?\b(?!\s*(?:%|ms|MB))"),
-    ),
-    (
-        re.compile(r"\d[^\n]{0,9}\s(?i:rue|avenue|av|boulevard|bd|impasse|allée|chemin|place|quai|route|cours|passage|square|ruelle)\b"),
-        re.compile(
-            r"(?<![\w.\-/:])\d{1,4}(?:\s?(?:bis|ter|quater|[A-Da-d]))?,?\s+(?i:rue|avenue|av\.|boulevard|bd|impasse|allée|chemin|place|quai|route|cours|passage|square|ruelle)\s+"
-            r"(?:(?i:de la|de l['’]|des|du|de|d['’]|le|la|les)\s*)*[A-ZÀ-Þ][\wÀ-ÿ'’\-]+"
-        ),
-    ),
-    (
-        re.compile(r"\b(?i:calle|avenida|avda|plaza|paseo|camino|carretera|ronda|travesía|pasaje|glorieta)\b|\b(?:[Cc]/|[Aa]v\.)"),
-        re.compile(
-            r"\b(?i:calle|c/|avenida|avda\.|av\.|plaza|paseo|camino|carretera|ronda|travesía|pasaje|glorieta)\s+(?:(?i:de la|de los|de las|del|de|el|la|las|los)\s+)*"
-            r"[A-ZÀ-Þ][\wÀ-ÿ'’\-]+(?:\s+[A-ZÀ-Þ][\wÀ-ÿ'’\-]+)?,?\s+(?:n[º°.]?\s*)?\d{1,4}\b"
-        ),
-    ),
-]
+#: Forms that begin with the number, with the kind of street, and with the name of the street.
+NUMBER_FIRST = re.compile(
+    rf"[0-9](?<![\w.\-/:][0-9])[0-9]{{0,4}}(?:[A-Za-z]?,?\s+(?:{_CAP}\s+){{1,3}}(?:{_STREET_EN}|{_STREET_EN.upper()})\b\.?"
+    r"|(?:\s?(?:bis|ter|quater|[A-Da-d]))?,?\s+(?i:rue|avenue|av\.|boulevard|bd|impasse|allée|chemin|place|quai|route|cours|passage|square|ruelle)\s+"
+    r"(?:(?i:de la|de l['’]|des|du|de|d['’]|le|la|les)\s*)*[A-ZÀ-Þ][\wÀ-ÿ'’\-]+)"
+)
+UNIT_BEFORE = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Ste\.?|Floor|FLAT|APT\.?|UNIT|SUITE|STE\.?)\s+#?\w{1,5}\s*,\s*\Z")
+KIND_FIRST = re.compile(
+    r"(?:Calle|calle|CALLE|C/|c/|Camino|camino|Carretera|carretera|Avenida|avenida|AVENIDA|Avda\.|avda\.|Av\.|av\.|Plaza|plaza|PLAZA|Paseo|paseo|PASEO|Pasaje|pasaje|Ronda|ronda|Travesía|travesía|Glorieta|glorieta)\s+(?:(?i:de la|de los|de las|del|de|el|la|las|los)\s+)*"
+    r"[A-ZÀ-Þ][\wÀ-ÿ'’\-]+(?:\s+[A-ZÀ-Þ][\wÀ-ÿ'’\-]+)?,?\s+(?:n[º°.]?\s*)?\d{1,4}\b"
+)
+NAME_FIRST = re.compile(
+    r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|STRASSE|STRAßE|WEG|GASSE|PLATZ|ALLEE)\s+\d{1,4}\s?[a-zA-Z]?\b(?!\s*(?:%|ms|MB))"
+)
+WORD_BEFORE = re.compile(r"[A-ZÄÖÜ][\wäöüßÄÖÜ\-]*\Z")
 AFTER_ADDRESS = re.compile(r"\s*,?\s*(?:(?i:apt|flat|unit|suite)\.?\s*\w+\s*,?\s*|\d{1,2}\s?[º°ª]\s?\w?\s*,?\s*)?(?:\d{4,5}\s+[A-ZÀ-Þ]|[A-ZÀ-Þ][\wÀ-ÿ\-]+(?:[ \-][A-ZÀ-Þ\w][\wÀ-ÿ\-]*)*,?\s*\d{4,5}\b|[A-ZÀ-Þ][\wÀ-ÿ\-]+\s*[.\n]|[A-ZÀ-Þ][\wÀ-ÿ\-]+\Z)")
 
 # Given names that are common in English, German, French and Spanish, a hint beside the context.
@@ -127,12 +116,11 @@ _NO_NAME = frozenset(
 )
 _N = r"[A-ZÀ-Þ](?:['’][A-ZÀ-Þ])?[a-zà-ÿß]+(?:[\-'’][A-ZÀ-Þ]?[a-zà-ÿß]+)*"
 _PARTICLE = r"(?:(?:van|von|de|der|den|la|di|da|del|dos|bin|al|el|le|du|ter|ten|zu)\s+){0,2}"
-_FULL = rf"{_N}(?:\s+[A-Z]\.)?\s+{_PARTICLE}{_N}"
-_UP = r"[A-ZÀ-Þ]{2,}(?:[\-'’][A-ZÀ-Þ]{2,})?\s+[A-ZÀ-Þ]{2,}(?:[\-'’][A-ZÀ-Þ]{2,})?"
-FULL_NAME = re.compile(rf"(?<![\w@/.\-'’]){_FULL}(?![\w@/]|\(|\.\w)")
-TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Frau|Herr|Herrn|Hr|Fr|Sr|Sra|Don|Doña|Señor|Señora|Monsieur|Madame|Mme|Mlle|M)\b\.?\s+(?P<name>(?:(?:Dr|Prof)\.\s+)?(?:{_N}\s+)?{_PARTICLE}{_N})(?![\w(])")
+#: Patterns that are run over whole texts begin with a plain class, so that the engine can skip to it; what must not precede it follows as a lookbehind.
+FULL_NAME = re.compile(rf"[A-ZÀ-Þ](?<![\w@/.\-'’][A-ZÀ-Þ])(?:['’][A-ZÀ-Þ])?[a-zà-ÿß]+(?:[\-'’][A-ZÀ-Þ]?[a-zà-ÿß]+)*(?:\s+[A-Z]\.)?\s+{_PARTICLE}{_N}(?![\w@/]|\(|\.\w)")
+TITLED = re.compile(rf"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Frau|Herr|Herrn|Hr|Fr|Sr|Sra|Don|Doña|Señor|Señora|Monsieur|Madame|Mme|Mlle|M)\b\.?\s+(?P<name>(?:(?:Dr|Prof)\.\s+)?(?:{_N}\s+)?{_PARTICLE}{_N})(?![\w(])")
 REVERSED = re.compile(rf"(?<![\w@/.\-])(?P<name>{_PARTICLE}{_N},\s+{_N})(?=\s*(?:;|<|\(|$|\n|\r|\"|\||\s-\s))", re.M)
-INITIAL = re.compile(rf"(?<![\w@/.\-])(?P<name>(?:[A-ZÀ-Þ]\.[ \-]?){{1,2}}\s?{_PARTICLE}{_N})(?![\w(@])")
+INITIAL = re.compile(rf"(?P<name>[A-ZÀ-Þ](?<![\w@/.\-][A-ZÀ-Þ])\.[ \-]?(?:[A-ZÀ-Þ]\.[ \-]?)?\s?{_PARTICLE}{_N})(?![\w(@])")
 #: Words after which, or before which, a capitalised pair is a person.
 BEFORE_NAME = re.compile(
     r"(?i)(?:\b(?:ask|asked|contact|contacto|kontakt|contacter|owner|author|autor|autora|auteur|verfasser|reported by|reviewed[- ]by|signed-off-by|co-authored-by|acked-by|tested-by|approved by|assigned to|assignee|on call|on-call|attendees|attendee|present|"
@@ -225,7 +213,24 @@ def _around(marks: re.Pattern, pattern: re.Pattern, text: str, before: int, afte
 
 
 _AT_SIGN = re.compile(r"@|[(\[{<]\s?(?i:at|a)\s?[)\]}>]|\s(?i:at)\s[\w\-]+(?:\.|\s(?i:dot)\s|\s?[(\[{<](?i:dot|\.)[)\]}>])")
-_NUMERIC = re.compile(r"(?<!\w)\+?\(?(?:[A-Z]{1,6}[ \-]?)?\d(?:[ ./()\-]{0,2}[A-Z0-9]){3}|(?<!\w)[A-Z]{3,}[A-Z0-9]*\d")
+_DIGITS = re.compile(r"[0-9](?:[ ./()\-]{0,2}[A-Z0-9]){3}")
+_CAPITALS = re.compile(r"[A-Z][A-Z][A-Z][A-Z0-9]*[0-9]")
+_LEAD = re.compile(r"\+?\(?(?:[A-Z]{1,6}[ \-]?)?[A-Z0-9]*\Z")
+
+
+def numeric_marks(text: str) -> list[tuple[int, int]]:
+    """Begin and end of what may be a number of any kind, with the letters that lead it."""
+    marks = []
+    for m in _DIGITS.finditer(text):
+        lead = _LEAD.search(text, max(0, m.start() - 9), m.start())
+        marks.append((lead.start() if lead else m.start(), m.end()))
+    marks += [m.span() for m in _CAPITALS.finditer(text)]
+    return sorted(marks)
+
+
+_LONG_NUMBER = re.compile(r"[0-9](?:[ ./()\-]{0,3}\d){6}")
+#: A name after a comma, before what can follow one.
+_LAST_FIRST = re.compile(r",(?<=[a-zß-ÿ],)\s+[A-ZÀ-Þ][a-zß-ÿ][a-zß-ÿ\-'’]*\s*(?:[;<(\n\r|\"]|-|\Z)")
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -247,7 +252,7 @@ def emails(text: str) -> Iterator[Span]:
 
 
 def phones(text: str) -> Iterator[Span]:
-    for m in _around(_NUMERIC, PHONE, text, 24, 48):
+    for m in _around(_LONG_NUMBER, PHONE, text, 24, 48):
         shape = m.group()
         digits = re.sub(r"\D", "", re.split(r"(?i)\s?(?:ext|x|durchwahl|poste)", shape)[0])
         if not 7 <= len(digits) <= 15:
@@ -276,12 +281,45 @@ def phones(text: str) -> Iterator[Span]:
 AROUND_PHONE = re.compile(rf"(?:{_N}\s+{_N}|@[\w.\-]+|phone\"?|tel\"?|mobile\"?)[\s|,:;=\"'(\[<\-]*\Z")
 
 
+#: Every one of the id words contains one of these.
+_ID_STEMS = ("ssn", "secur", "tax", "tin", "steuer", "pass", "ausweis", "insurance", "nino", "ni n", "dni", "nie", "nif", "national", "identi", "id card", "insee", "nir", "sécu", "segur", "dula", "curp", "cpf", "codice", "pesel", "bsn", "personnummer", "iban", "licen", "schein")
+
+
+def _after_id_word(text: str, marks: list[tuple[int, int]]) -> Iterator[re.Match]:
+    done = 0
+    for begin, end in marks:
+        start = max(done, begin - 64)
+        before = text[start:begin].lower()
+        if any(stem in before for stem in _ID_STEMS):
+            m = ID_AFTER_WORD.search(text, start, min(len(text), end + 40))
+            if m:
+                done = m.end()
+                yield m
+
+
+_STARTS = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]")
+
+
+def _shaped(text: str, marks: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """Numbers in the shape of an id; each begins with a word of a numeric mark."""
+    done = 0
+    for begin, end in marks:
+        if end <= done:
+            continue
+        for start in _STARTS.finditer(text, begin, end):
+            m = ID_NUMBER.match(text, start.start()) if start.start() >= done else None
+            if m:
+                done = m.end()
+                yield m
+
+
 def id_numbers(text: str) -> Iterator[Span]:
-    for m in _around(_NUMERIC, ID_AFTER_WORD, text, 80, 40):
+    marks = numeric_marks(text)
+    for m in _after_id_word(text, marks):
         number = m["number"].rstrip(" -/.")
         if sum(c.isdigit() for c in number) >= 4:
             yield Span(m.start("number"), m.start("number") + len(number), "id_number", 1.6)
-    for m in _around(_NUMERIC, ID_NUMBER, text, 24, 48):
+    for m in _shaped(text, marks):
         i = int(m.lastgroup[1:])
         shape, score = m.group(), _ID_SHAPES[i][0]
         digits = re.sub(r"\D", "", shape)
@@ -302,20 +340,32 @@ def id_numbers(text: str) -> Iterator[Span]:
         yield Span(m.start(), m.end(), "id_number", score)
 
 
+def _address_spans(text: str) -> Iterator[tuple[int, int]]:
+    for m in NUMBER_FIRST.finditer(text):
+        unit = UNIT_BEFORE.search(text, max(0, m.start() - 24), m.start())
+        yield (unit.start() if unit else m.start()), m.end()
+    for m in KIND_FIRST.finditer(text):
+        if not text[m.start() - 1 : m.start()].isalnum():
+            yield m.span()
+    for m in NAME_FIRST.finditer(text):
+        word = WORD_BEFORE.search(text, max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1, m.start())
+        if word and not re.fullmatch(r"(?i)hin|um|weg", word.group()):
+            yield word.start(), m.end()
+
+
 def addresses(text: str) -> Iterator[Span]:
-    for mark, form in ADDRESSES:
-        for m in _around(mark, form, text, 60, 120):
-            score = 0.6
-            after = AFTER_ADDRESS.match(text, m.end())
-            if after:
-                score += 0.5
-            if _context(HOME_WORDS, text, m.start(), m.end()):
-                score += 0.5
-            if not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip(" \t>*-|"):
-                score += 0.45  # it begins its line
-            if "\n" in m.group().strip() and not after:
-                score -= 0.3
-            yield Span(m.start(), m.end(), "address", score)
+    for start, end in _address_spans(text):
+        score = 0.6
+        after = AFTER_ADDRESS.match(text, end)
+        if after:
+            score += 0.5
+        if _context(HOME_WORDS, text, start, end):
+            score += 0.5
+        if not text[text.rfind("\n", 0, start) + 1 : start].strip(" \t>*-|"):
+            score += 0.45  # it begins its line
+        if "\n" in text[start:end].strip() and not after:
+            score -= 0.3
+        yield Span(start, end, "address", score)
 
 
 def _plausible(name: str) -> bool:
@@ -325,11 +375,13 @@ def _plausible(name: str) -> bool:
 def names(text: str, mails: list[Span]) -> Iterator[Span]:
     for m in TITLED.finditer(text):
         title = m.group().split()[0].rstrip(".")
+        if text[m.start() - 1 : m.start()].isalnum() and m.start():
+            continue
         if title in ("M", "Fr", "Hr", "Don") and "." not in m.group()[:4]:
             continue
         if _plausible(m["name"]):
             yield Span(m.start("name"), m.end("name"), "name", 1.4)
-    for m in REVERSED.finditer(text):
+    for m in _around(_LAST_FIRST, REVERSED, text, 40, 40):
         last, first = (x.strip() for x in m["name"].split(","))
         score = 0.4
         before = text[max(0, m.start() - 40) : m.start()]
@@ -383,7 +435,7 @@ def names(text: str, mails: list[Span]) -> Iterator[Span]:
 
 #: What stands between the names of a list.
 LISTED = re.compile(r"\s*(?:[,;&/]|,?\s*(?:and|und|y|e|et))\s*")
-_UPPER_NAME = re.compile(rf"(?<![\w@/.\-'’]){_UP}(?![\w@/]|\(|\.\w)")
+_UPPER_NAME = re.compile(rf"[A-ZÀ-Þ](?<![\w@/.\-'’][A-ZÀ-Þ])[A-ZÀ-Þ]+(?:[\-'’][A-ZÀ-Þ]{{2,}})?\s+[A-ZÀ-Þ]{{2,}}(?:[\-'’][A-ZÀ-Þ]{{2,}})?(?![\w@/]|\(|\.\w)")
 
 
 def mentions(text: str) -> list[Span]:
