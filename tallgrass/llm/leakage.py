@@ -34,11 +34,12 @@ def item_positions(items: DataFrame) -> DataFrame:
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null").select("doc_id", words(F.col("text")).alias("_words"))
+    """Words as they are spelled; they are lower-cased after they have become rows, inside generated code."""
+    return docs.where("text is not null").select("doc_id", F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1)).alias("_words"))
 
 
 def anchors(positions: DataFrame, frequency: DataFrame, n: int = N_WORDS, take: int = ANCHORS) -> DataFrame:
-    """``(item_id, first, at, word, place)``: of each window the ``take`` rarest words by corpus frequency.
+    """``(item_id, first, at, word, place)``: of each window the ``take`` rarest words.
 
     ``frequency`` has ``(word, df)``; a window with a word that the corpus lacks has
     no anchors at all, as it can't occur.
@@ -53,14 +54,14 @@ def anchors(positions: DataFrame, frequency: DataFrame, n: int = N_WORDS, take:
 
 
 def _frequency(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(word, df)`` of the items' words over all documents."""
-    tokens = document_words(docs).select(F.explode(F.array_distinct("_words")).alias("word"))
+    """``(word, df)`` of the items' words over all documents; a document counts once per spelling of a word."""
+    tokens = document_words(docs).select(F.explode(F.array_distinct("_words")).alias("word")).select(F.lower("word").alias("word"))
     return tokens.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(word, doc_id, pos)`` of the wanted words."""
-    tokens = document_words(docs).select("doc_id", F.posexplode("_words").alias("pos", "word"))
+    tokens = document_words(docs).select("doc_id", F.posexplode("_words").alias("pos", "word")).select("doc_id", "pos", F.lower("word").alias("word"))
     return tokens.join(F.broadcast(vocabulary), "word", "left_semi")
 
 
@@ -123,14 +124,8 @@ def _compare(docs: DataFrame, lines: DataFrame, positions: DataFrame, n: int) ->
     found = rows.select("doc_id", F.explode(F.transform("_lines", cut)).alias("_l")).join(F.broadcast(texts), F.col("_l.item_id") == F.col("item_id"))
     theirs = F.slice("_item", F.col("_l.begin") + 1, F.size("_l.stretch"))
     equal = F.zip_with("_l.stretch", theirs, lambda a, b: a.eqNullSafe(b))
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(state: Column, same: Column) -> Column:
-        run = F.when(same, state["run"] + 1).otherwise(0)
-        return F.struct(run.alias("run"), F.greatest(state["best"], run).alias("best"))
-
-    longest = F.aggregate(equal, start, step)["best"]
-    return found.where(longest >= n).select("item_id", "doc_id").distinct().withColumn("kind", F.lit("phrase"))
+    marks = F.array_join(F.transform(equal, lambda same: F.when(same, "1").otherwise("0")), "")
+    return found.where(F.contains(marks, F.lit("1" * n))).select("item_id", "doc_id").distinct().withColumn("kind", F.lit("phrase"))
 
 
 def _near(hits: DataFrame, slack: int, least: int = NEAR_WORDS) -> DataFrame:
