@@ -62,6 +62,21 @@ def p2_reasons(spark, d):
     return handwritten.not_handwritten(read_table(spark, d, "files"))
 
 
+# -- 3: files that don't parse ----------------------------------------------------
+@query()
+def p3_found(spark, d):
+    from tallgrass.llm import validity
+
+    return validity.invalid(read_table(spark, d, "files")).select("file_id")
+
+
+@query()
+def p3_rates(spark, d):
+    from tallgrass.llm import validity
+
+    return validity.rates(read_table(spark, d, "files"))
+
+
 # -- 4: similar vectors ---------------------------------------------------------
 @query("""with v as (select distinct point_id, dense::DOUBLE[] as d from points where len(dense) = 64 and list_dot_product(dense::DOUBLE[], dense::DOUBLE[]) > 0)
 select a.point_id as point_a, b.point_id as point_b from v a join v b on a.point_id < b.point_id where list_cosine_similarity(a.d, b.d) >= 0.95""")
