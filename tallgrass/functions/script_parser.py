@@ -39,7 +39,7 @@ CONTEXT_NAMES = frozenset("await".split())
 MODIFIERS = frozenset("public private protected static abstract override readonly declare accessor async get set in out const".split())
 ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 PRECEDENCE = {
-    "??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8,
+    "??": 2, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8,
     "instanceof": 8, "in": 8, "as": 8, "satisfies": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12,
 }
 PREFIX = frozenset("+ - ! ~ typeof void delete".split())
@@ -1030,9 +1030,9 @@ class _Parser:
                 return simple
             if power is None or power <= least and not (value == "**" and power == least):
                 return simple
-            if value == "??" and mixed in ("||", "&&") or value in ("||", "&&") and mixed == "??":
-                self.fail("?? mixed with || or &&")
-            if value in ("??", "||", "&&"):
+            if value in ("??", "||"):
+                if mixed not in ("", value):
+                    self.fail("?? mixed with ||")
                 mixed = value
             self.end = self.start + len(value)
             self.next()
@@ -1051,7 +1051,7 @@ class _Parser:
             return False
         if self.kind == "name" and self.value == "await":
             kind, value, _ = self.peek()
-            if kind in ("name", "str", "num") and value not in ("in", "instanceof", "of", "as") or value in ("(", "[", "{", "`", "!", "+", "-", "/", "<"):
+            if self.asynchronous or kind in ("name", "str", "num") and value not in ("in", "instanceof", "of", "as") or value in ("(", "[", "{", "`", "!", "+", "-", "/", "<"):
                 if not self.asynchronous and self.functions:
                     self.fail("await outside of an async function")
                 self.next()
