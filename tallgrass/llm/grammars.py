@@ -154,6 +154,9 @@ class _Style:
                 self.fail("unclosed rule")
             return
         if end == "{":
+            if inside and re.fullmatch(r"\s*--[\w\-]+\s*:\s*", head):
+                self.at += 1
+                return self.items(True)
             if self.nested and (_PROPERTY.fullmatch(head.rstrip()) or re.match(r"\s*\$[\w\-]+\s*:", head)) and inside:
                 self.at += 1
                 return self.items(True)
@@ -341,6 +344,9 @@ class _Yaml:
             if body.startswith("- ") or body == "-":
                 if indent >= 0:
                     return
+            if body.startswith(": ") or body == ":":  # the value of an entry that began with ?
+                self.value(indent, body[1:].strip())
+                continue
             end = self.key_end(body)
             if not end:
                 self.fail("no key")

@@ -81,12 +81,13 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N_WORDS, slack: int | No
     docs = docs.select("doc_id", "text")
     positions = bounded(item_positions(items))
     frequency = cut_lineage(_frequency(docs, positions.select("word").distinct()))
-    starts = cut_lineage(anchors(positions, frequency, n).select("item_id", "at", "word").distinct())
+    take = ANCHORS if slack is None else NEAR_WORDS
+    starts = cut_lineage(anchors(positions, frequency, n, take).select("item_id", "at", "word").distinct())
     lists = postings(docs, starts.select("word").distinct())
     hits = lists.join(F.broadcast(starts), "word").select("item_id", "doc_id", "at", (F.col("pos") - F.col("at")).alias("shift"))
     on_line = hits.groupBy("item_id", "doc_id", "shift").agg(F.count(F.lit(1)).alias("_c"), F.min("at").alias("low"), F.max("at").alias("high"))
     # All anchors of some window lie on the line; if there are no more than these, they lie within a window.
-    lines = on_line.where((F.col("_c") >= ANCHORS) & ((F.col("_c") > ANCHORS) | (F.col("high") - F.col("low") < n)))
+    lines = on_line.where((F.col("_c") >= take) & ((F.col("_c") > take) | (F.col("high") - F.col("low") < n)))
     phrases = _compare(docs, lines, positions, n)
     if slack is None:
         return phrases

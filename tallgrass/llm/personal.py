@@ -9,6 +9,7 @@ threshold is a mention. Spans are compared by score where they overlap.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -214,7 +215,7 @@ def _around(marks: re.Pattern, pattern: re.Pattern, text: str, before: int, afte
 
 _AT_SIGN = re.compile(r"@|[(\[{<]\s?(?i:at|a)\s?[)\]}>]|\s(?i:at)\s[\w\-]+(?:\.|\s(?i:dot)\s|\s?[(\[{<](?i:dot|\.)[)\]}>])")
 _DIGITS = re.compile(r"[0-9](?:[ ./()\-]{0,2}[A-Z0-9]){3}")
-_CAPITALS = re.compile(r"[A-Z][A-Z][A-Z][A-Z0-9]*[0-9]")
+_CAPITALS = re.compile(r"[A-Z][A-Z][A-Z][A-Z0-9]{0,12}[0-9]")
 _LEAD = re.compile(r"\+?\(?(?:[A-Z]{1,6}[ \-]?)?[A-Z0-9]*\Z")
 
 
@@ -254,6 +255,9 @@ def emails(text: str) -> Iterator[Span]:
 def phones(text: str) -> Iterator[Span]:
     for m in _around(_LONG_NUMBER, PHONE, text, 24, 48):
         shape = m.group()
+        while shape.count(")") > shape.count("(") and shape.endswith(")"):
+            shape = shape[:-1]
+        end = m.start() + len(shape)
         digits = re.sub(r"\D", "", re.split(r"(?i)\s?(?:ext|x|durchwahl|poste)", shape)[0])
         if not 7 <= len(digits) <= 15:
             continue
@@ -268,13 +272,13 @@ def phones(text: str) -> Iterator[Span]:
             score -= 1
         if shape.startswith("+") and re.search(r"(?i)(?:offset|delta|diff|by|utc|gmt)\s*$", text[max(0, m.start() - 10) : m.start()]):
             score -= 1
-        if _context(PHONE_WORDS, text, m.start(), m.end()):
+        if _context(PHONE_WORDS, text, m.start(), end):
             score += 0.5
         if not shape.startswith("+") and re.search(r"(?i)(?:build|commit|version|ports?|lines?|offset|request|trace|node|order|id|sha|hash|weights?|no\.|ssn|security number|ausweis)\W*$", text[max(0, m.start() - 24) : m.start()]):
             score -= 0.8
-        if score < THRESHOLD and score > 0.5 and not re.fullmatch(r"\d+", shape) and (AROUND_PHONE.search(text, max(0, m.start() - 40), m.start()) or re.match(r"\s*\|", text[m.end() : m.end() + 3])):
+        if score < THRESHOLD and score > 0.5 and not re.fullmatch(r"\d+", shape) and (AROUND_PHONE.search(text, max(0, m.start() - 40), m.start()) or re.match(r"\s*\|", text[end : end + 3])):
             score += 0.4
-        yield Span(m.start(), m.end(), "phone", score)
+        yield Span(m.start(), end, "phone", score)
 
 
 #: A name, a mail address or a label directly before a number.
@@ -446,10 +450,13 @@ def mentions(text: str) -> list[Span]:
     found = mails + [s for f in (phones, id_numbers, addresses) for s in f(text) if s.score >= THRESHOLD]
     found += [s for s in names(text, mails) if s.score >= THRESHOLD]
     kept: list[Span] = []
+    starts: list[int] = []  # of the kept spans, which don't overlap, in order
     for s in sorted(found, key=lambda s: (-s.score, s.start, s.start - s.end)):
-        if all(s.end <= k.start or s.start >= k.end for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s.start)
+        i = bisect_right(starts, s.start)
+        if (i == 0 or kept[i - 1].end <= s.start) and (i == len(kept) or kept[i].start >= s.end):
+            starts.insert(i, s.start)
+            kept.insert(i, s)
+    return kept
 
 
 def redact(text: str, spans: list[Span] | None = None) -> str:

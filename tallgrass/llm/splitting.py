@@ -73,8 +73,15 @@ def context_lines(text: Column, file_path: Column, repo: Column, kind: Column) -
 
 
 def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The chunks that are too long, each once."""
-    return chunks.where(F.length("text") > limit).dropDuplicates(["point_id"])
+    """The chunks that are too long, each once; of repeated rows that differ the smallest counts."""
+    from tallgrass.session import distinct_by_key
+
+    return distinct_by_key(chunks.where((F.length("text") > limit) & F.col("point_id").isNotNull()), "point_id")
+
+
+#: Columns that the pieces add. Columns of the input that have these names are dropped.
+ADDED = ("piece", "n_pieces", "start")
+_USED = ("point_id", "repo", "file_path", "text", "start_line", "end_line", "chunk_index", "kind")
 
 
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -86,13 +93,16 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
     pieces that longer chunks before it in the file have added, so it is unique in a
     file whose short chunks are shifted alike. Lines are those of the file: the
     comment lines before the code don't count, and no piece reaches beyond the
-    chunk's own lines. Null and short texts give no rows; repeated points count once.
+    chunk's own lines; null lines and indexes stay null. Null and short texts give no
+    rows; repeated points count once.
     """
-    long = oversized(chunks, limit).withColumn("_pieces", pieces(F.col("text"), limit, overlap))
+    extra = [c for c in chunks.columns if c not in _USED and c not in ADDED]
+    own = [F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in _USED]
+    packed = chunks.select(*own, F.struct(*[F.col(f"`{c}`") for c in extra] or [F.lit(None).alias("none")]).alias("_extra"))
+    long = oversized(packed, limit).withColumn("_pieces", pieces(F.col("text"), limit, overlap))
     sizes = long.select("point_id", "repo", "file_path", "chunk_index", (F.size("_pieces") - 1).alias("_more"))
-    shifts = index_shifts(sizes)
     lead = context_lines(F.col("text"), F.col("file_path"), F.col("repo"), F.col("kind"))
-    rows = long.join(shifts, "point_id").withColumn("_lead", lead)
+    rows = long.join(index_shifts(sizes), "point_id").withColumn("_lead", lead)
     rows = rows.select("*", F.size("_pieces").alias("n_pieces"), F.posexplode("_pieces").alias("piece", "_p"))
     before = _newlines(F.substring(F.col("text"), F.lit(1), F.col("_p.start")))
     inside = _newlines(F.regexp_replace(F.col("_p.text"), r"\n\z", ""))
@@ -105,7 +115,8 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
         "end_line": last_line.cast("int"),
         "chunk_index": (F.col("chunk_index") + F.col("_shift") + F.col("piece")).cast("int"),
     }
-    return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in chunks.columns], "piece", "n_pieces", F.col("_p.start").alias("start"))
+    kept = [c for c in chunks.columns if c not in ADDED]
+    return rows.select(*[changed.get(c, F.col(c) if c in _USED else F.col("_extra")[c]).alias(c) for c in kept], "piece", "n_pieces", F.col("_p.start").alias("start"))
 
 
 def index_shifts(sizes: DataFrame) -> DataFrame:

@@ -22,16 +22,16 @@ TYPICAL = {
     "tsx": re.compile(r"</[A-Za-z]|/>|\bclassName=|:\s*(?:string|number|boolean|any)\b|\buseState\b"),
     "js": re.compile(r"\b(?:const|let|var|function|return|require|module\.exports|import|export|=>|async|await)\b|=>"),
     "jsx": re.compile(r"</[A-Za-z]|/>|\bclassName=|\buseState\b|\bfunction\b"),
-    "json": re.compile(r"^\s*\"[^\"\n]+\"\s*:", re.M),
-    "css": re.compile(r"^[\s.#a-z\-:,>*\[\]=\"]+\{\s*$|^\s*[a-z\-]+\s*:\s*[^;{}\n]+;\s*$", re.M),
-    "scss": re.compile(r"^\s*\$[\w\-]+\s*:|@(?:include|mixin|extend|use)\b|&[:.\-]", re.M),
-    "yaml": re.compile(r"^\s*(?:-\s+)?[\w.\-]+:(?:\s|$)", re.M),
-    "toml": re.compile(r"^\s*\[{1,2}[\w.\-\"]+\]{1,2}\s*$|^\s*[\w.\-]+\s*=\s*\S", re.M),
+    "json": re.compile(r"^[ \t]*\"[^\"\n]+\"[ \t]*:", re.M),
+    "css": re.compile(r"^[ \t.#a-z\-:,>*\[\]=\"]+\{[ \t]*$|^[ \t]*[a-z\-]+[ \t]*:[ \t]*[^;{}\n]+;[ \t]*$", re.M),
+    "scss": re.compile(r"^[ \t]*\$[\w\-]+[ \t]*:|@(?:include|mixin|extend|use)\b|&[:.\-]", re.M),
+    "yaml": re.compile(r"^[ \t]*(?:-[ \t]+)?[\w.\-]+:(?:[ \t]|$)", re.M),
+    "toml": re.compile(r"^[ \t]*\[{1,2}[\w.\-\"]+\]{1,2}[ \t]*$|^[ \t]*[\w.\-]+[ \t]*=[ \t]*\S", re.M),
     "xml": re.compile(r"<\?xml|</?[A-Za-z][\w:.\-]*[^<>]*>"),
     "svg": re.compile(r"<svg\b|</?(?:path|g|rect|circle|line|polygon)\b"),
-    "python": re.compile(r"^\s*(?:def|class|from|import|elif|except|with)\b.*:?\s*$|\bself\b|\bNone\b", re.M),
+    "python": re.compile(r"^[ \t]*(?:def|class|from|import|elif|except|with)\b.*$|\bself\b|\bNone\b", re.M),
     "html": re.compile(r"(?i)<!doctype html|</?(?:html|head|body|div|p|h\d|title)\b"),
-    "markdown": re.compile(r"^#{1,6}\s+\S|^```|^\s*[-*]\s+\S|\*\*[^*\n]+\*\*", re.M),
+    "markdown": re.compile(r"^#{1,6}[ \t]+\S|^```|^[ \t]*[-*][ \t]+\S|\*\*[^*\n]+\*\*", re.M),
 }
 #: Languages whose grammar accepts any text; they are recognised by their tokens.
 WITHOUT_GRAMMAR = {"html": 3, "markdown": 2}
