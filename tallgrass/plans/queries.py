@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions import paths, text
 from tallgrass.model import SearchFilters
 from tallgrass.operators import changes, chunking, guard, memory, usage, vectors
-from tallgrass.session import read_table
+from tallgrass.session import read_spread, read_table
 
 #: The fixed query and clock of the examples.
 QUERY = "how do we stage the unsorted cache before the router drops a legacy snapshot"
@@ -95,7 +95,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 c as (select doc_id, {_HASH.format('t')} as term_hash, count(*) as tf, min(pos) as first from tok group by 1, 2)
 select doc_id, term_hash, tf::INT as tf, round(ln(1 + tf), 6) as weight from c qualify row_number() over (partition by doc_id order by tf desc, first) <= 512""")
 def tokenize_tf(spark, d):
-    return _rounded(vectors.term_postings(read_table(spark, d, "documents"), "doc_id"))
+    return _rounded(vectors.term_postings(read_spread(spark, d, "documents"), "doc_id"))
 
 
 @query(f"select term, {_HASH.format('term')} as term_hash from (select distinct unnest({_TOKENS.format('query')}) as term from telemetry)")
@@ -109,7 +109,7 @@ c as (select point_id, {_HASH.format('t')} as h, count(*) as tf, min(pos) as fir
 top as (select * from c qualify row_number() over (partition by point_id order by tf desc, first) <= 512)
 select point_id, count(*) as n_terms, string_agg(h::varchar, ',' order by h) as indices, round(sum(ln(1 + tf)), 4) as total from top group by 1""")
 def sparse_vectors(spark, d):
-    chunks = read_table(spark, d, "chunks").select("point_id", "text").distinct()
+    chunks = read_spread(spark, d, "chunks").select("point_id", "text").distinct()
     packed = vectors.sparse_vectors(vectors.term_postings(chunks, "point_id"), "point_id")
     total = F.aggregate("sparse.values", F.lit(0.0), lambda s, x: s + x)
     return packed.select("point_id", F.size("sparse.indices").cast("bigint").alias("n_terms"), F.array_join("sparse.indices", ",").alias("indices"), F.round(total, 4).alias("total"))
@@ -195,7 +195,7 @@ select repo, path, i::INT as chunk_index, (1 + {step} * i)::INT as start_line, l
 
 
 def _line_chunks(spark, d, size, overlap):
-    f = read_table(spark, d, "files").select("repo", "path", "source", F.lit("c").alias("commit_hash")).distinct()
+    f = read_spread(spark, d, "files").select("repo", "path", "source", F.lit("c").alias("commit_hash")).distinct()
     f = f.where(paths.extension(F.col("path")).isin(*paths.LINE_LANGUAGES) & ~paths.is_skipped(F.col("path"), for_chunker=True))
     c = chunking.chunk_by_lines(f, size, overlap)
     return c.select("repo", F.expr("substring(file_path, length(repo) + 2)").alias("path"), "chunk_index", "start_line", "end_line", F.md5("text").alias("digest"))
@@ -243,7 +243,7 @@ def range_split(spark, d):
 
 
 def _current_files(spark, d) -> DataFrame:
-    return read_table(spark, d, "files").select("repo", "path", "source", "commit_hash").dropDuplicates(["repo", "path"])
+    return read_spread(spark, d, "files").select("repo", "path", "source", "commit_hash").dropDuplicates(["repo", "path"])
 
 
 @query(rf"""with f as (select distinct repo, path, source from files where source is not null and {_MEMORY_PATH} and not regexp_matches(path, '{_SKIP_CHUNKER}')

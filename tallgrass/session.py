@@ -56,17 +56,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
-    """Spread the rows of few, badly filled input splits over all cores.
+def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """``read_table`` for work that is heavy per row: over all cores, however few files the table has.
 
-    A scan that already has enough partitions is left alone, so large inputs are
-    never shuffled for this; only inputs smaller than a split per core are.
-    Partitions are counted from the physical scan and not from data.
+    A scan that has a split per core is left alone, so large tables are never shuffled
+    for this; only tables smaller than that are dealt out. Only a bare scan is asked
+    for its partitions, which costs no job.
     """
-    want = at_least or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+    df = read_table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def distinct_by_key(df: DataFrame, *keys: str) -> DataFrame:
