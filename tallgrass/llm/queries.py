@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.session import read_table
+from tallgrass.session import read_spread, read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -52,14 +52,14 @@ def p1_scores(spark, d):
 def p2_found(spark, d):
     from tallgrass.llm import handwritten
 
-    return handwritten.not_handwritten(read_table(spark, d, "files")).select("file_id")
+    return handwritten.not_handwritten(read_spread(spark, d, "files")).select("file_id")
 
 
 @query()
 def p2_reasons(spark, d):
     from tallgrass.llm import handwritten
 
-    return handwritten.not_handwritten(read_table(spark, d, "files"))
+    return handwritten.not_handwritten(read_spread(spark, d, "files"))
 
 
 # -- 3: files that don't parse ----------------------------------------------------
@@ -67,14 +67,14 @@ def p2_reasons(spark, d):
 def p3_found(spark, d):
     from tallgrass.llm import validity
 
-    return validity.invalid(read_table(spark, d, "files")).select("file_id")
+    return validity.invalid(read_spread(spark, d, "files")).select("file_id")
 
 
 @query()
 def p3_rates(spark, d):
     from tallgrass.llm import validity
 
-    return validity.rates(read_table(spark, d, "files"))
+    return validity.rates(read_spread(spark, d, "files"))
 
 
 # -- 4: similar vectors ---------------------------------------------------------
@@ -110,14 +110,14 @@ def p4_knn(spark, d):
 def p5_found(spark, d):
     from tallgrass.llm import secrets
 
-    return secrets.find_secrets(read_table(spark, d, "chunks")).select("point_id", "line_no").distinct()
+    return secrets.find_secrets(read_spread(spark, d, "chunks")).select("point_id", "line_no").distinct()
 
 
 @query()
 def p5_redacted(spark, d):
     from tallgrass.llm import secrets
 
-    return secrets.redacted(read_table(spark, d, "chunks"))
+    return secrets.redacted(read_spread(spark, d, "chunks"))
 
 
 # -- 6: frequencies -------------------------------------------------------------
@@ -162,7 +162,7 @@ def p7_pieces(spark, d):
 def p8_pack(spark, d):
     from tallgrass.llm import packing
 
-    return packing.pack(read_table(spark, d, "documents"))
+    return packing.pack(read_spread(spark, d, "documents"))
 
 
 # -- 9: leaked evaluation texts -------------------------------------------------
@@ -174,14 +174,14 @@ select distinct item_id, doc_id from g join dg using (gram)""")
 def p9_found(spark, d):
     from tallgrass.llm import leakage
 
-    return leakage.matches(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("item_id", "doc_id")
+    return leakage.matches(read_spread(spark, d, "documents"), read_table(spark, d, "eval_items")).select("item_id", "doc_id")
 
 
 @query()
 def p9_matches(spark, d):
     from tallgrass.llm import leakage
 
-    return leakage.matches(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), slack=leakage.SLACK)
+    return leakage.matches(read_spread(spark, d, "documents"), read_table(spark, d, "eval_items"), slack=leakage.SLACK)
 
 
 # -- 10: personal information ---------------------------------------------------
@@ -189,14 +189,14 @@ def p9_matches(spark, d):
 def p10_found(spark, d):
     from tallgrass.llm import personal
 
-    return personal.find_mentions(read_table(spark, d, "documents")).select("doc_id", "line_no", "pii_type").distinct()
+    return personal.find_mentions(read_spread(spark, d, "documents")).select("doc_id", "line_no", "pii_type").distinct()
 
 
 @query()
 def p10_redacted(spark, d):
     from tallgrass.llm import personal
 
-    return personal.redacted(read_table(spark, d, "documents"))
+    return personal.redacted(read_spread(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
