@@ -17,6 +17,11 @@ MAX_TERMS = 512
 BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, also where lambdas in the body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
 

@@ -44,13 +44,15 @@ def line_windows(first: Column, n: Column, size: int = MAX_LINES, overlap: int =
 def dedup_ranges(ranges: Column) -> Column:
     """Sort by span and keep one range per span: the first that has a name, else the first."""
     numbered = F.transform(ranges, lambda r, i: F.struct(r.start_line, r.end_line, r.symbol_name.isNull(), i, r.symbol_name, r.symbol_type))
-    ordered = F.array_sort(numbered)
 
-    def new_span(r: Column, i: Column) -> Column:
-        before = F.get(ordered, i - 1)
-        return (i == 0) | (before["start_line"] != r["start_line"]) | (before["end_line"] != r["end_line"])
+    def first_of_each(ordered: Column) -> Column:
+        def new_span(r: Column, i: Column) -> Column:
+            before = F.get(ordered, i - 1)
+            return (i == 0) | (before["start_line"] != r["start_line"]) | (before["end_line"] != r["end_line"])
 
-    kept = F.filter(ordered, new_span)
+        return F.filter(ordered, new_span)
+
+    kept = text.let(F.array_sort(numbered), first_of_each)
     return F.transform(kept, lambda r: F.struct(r["start_line"], r["end_line"], r["symbol_name"], r["symbol_type"]))
 
 
@@ -165,22 +167,22 @@ def chunk_by_lines(files: DataFrame, size: int = MAX_LINES, overlap: int = OVERL
 
 
 def _rows(df: DataFrame) -> DataFrame:
-    """One row per range of ``_ranges`` with its context comment."""
-    out = df.select("repo", "path", "commit_hash", "_lines", F.size("_ranges").alias("total_chunks"), F.posexplode("_ranges").alias("chunk_index", "_r"))
-    start, end = F.col("_r.start_line"), F.col("_r.end_line")
-    body = F.array_join(F.slice("_lines", start, end - start + 1), "\n")
+    """One row per range of ``_ranges`` with its context comment.
+
+    The text of each range is cut out before the ranges become rows, so that no row
+    carries the lines of its whole file.
+    """
+
+    def cut(r: Column) -> Column:
+        body = F.array_join(F.slice("_lines", r["start_line"], r["end_line"] - r["start_line"] + 1), "\n")
+        whole = with_context(body, F.col("path"), r["start_line"], r["end_line"], r["symbol_name"], r["symbol_type"])
+        return F.struct(*[r[c].alias(c) for c in ("start_line", "end_line", "symbol_name", "symbol_type")], whole.alias("text"))
+
+    cuts = F.transform("_ranges", cut)
+    out = df.select("repo", "path", "commit_hash", F.size("_ranges").alias("total_chunks"), F.posexplode(cuts).alias("chunk_index", "_r"))
     return _finish(
-        out.withColumns(
-            {
-                "file_path": paths.with_repo(F.col("repo"), F.col("path")),
-                "text": with_context(body, F.col("path"), start, end, F.col("_r.symbol_name"), F.col("_r.symbol_type")),
-                "start_line": start,
-                "end_line": end,
-                "language": paths.language_label(F.col("path")),
-                "symbol_name": F.col("_r.symbol_name"),
-                "symbol_type": F.col("_r.symbol_type"),
-                "kind": F.lit("code"),
-            }
+        out.select("repo", "path", "commit_hash", "total_chunks", "chunk_index", "_r.*").withColumns(
+            {"file_path": paths.with_repo(F.col("repo"), F.col("path")), "language": paths.language_label(F.col("path")), "kind": F.lit("code")}
         )
     )
 
@@ -202,17 +204,20 @@ def memory_sections(source: Column) -> Column:
     Comments are blanked first, so that headings in templates don't count. What
     stands before the first heading is no section.
     """
-    lines_ = text.lines(text.blank_comments(source))
-    numbered = F.transform(lines_, lambda l, i: F.struct((i + 1).alias("at"), F.regexp_extract(l, text.HEADING, 1).alias("heading")))
-    heads = F.filter(numbered, lambda h: h["heading"] != "")
+    def sections(lines_: Column) -> Column:
+        numbered = F.transform(lines_, lambda l, i: F.struct((i + 1).alias("at"), F.regexp_extract(l, text.HEADING, 1).alias("heading")))
+
+        def cut(heads: Column) -> Column:
+            def section(h: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(heads, i + 1)["at"] - 1, F.size(lines_))
+                body = text.strip(F.array_join(F.slice(lines_, h["at"], end - h["at"] + 1), "\n"))
+                return F.struct(h["at"].cast("int").alias("start_line"), end.cast("int").alias("end_line"), text.strip(h["heading"]).alias("heading"), body.alias("body"))
+
+            return F.transform(heads, section)
 
-    def section(h: Column, i: Column) -> Column:
-        following = F.get(heads, i + 1)["at"]
-        end = F.coalesce(following - 1, F.size(lines_))
-        body = text.strip(F.array_join(F.slice(lines_, h["at"], end - h["at"] + 1), "\n"))
-        return F.struct(h["at"].cast("int").alias("start_line"), end.cast("int").alias("end_line"), text.strip(h["heading"]).alias("heading"), body.alias("body"))
+        return text.let(F.filter(numbered, lambda h: h["heading"] != ""), cut)
 
-    return F.transform(heads, section)
+    return text.let(text.lines(text.blank_comments(source)), sections)
 
 
 def chunk_memory(files: DataFrame) -> DataFrame:
