@@ -430,8 +430,10 @@ def names(text: str, mails: list[Span]) -> Iterator[Span]:
                 score += 0.25
             if AFTER_NAME.match(text, m.end()):
                 score += 0.75
-            if upper and not STRONG_BEFORE.search(before):
-                score -= 0.2
+            if upper and (not STRONG_BEFORE.search(before) or m.start() - text.rfind("\n", 0, m.start()) > 26):
+                score -= 1.0  # in capitals only where a label begins the line, not inside of a sentence in capitals
+            if "\n" in m.group() and not STRONG_BEFORE.search(before):
+                score -= 0.4
             if score >= THRESHOLD:
                 at = last_end = m.end()
                 yield Span(m.start(), m.end(), "name", score)
