@@ -25,12 +25,12 @@ def counted_terms(records: DataFrame, key: str, column: str = "sparse") -> DataF
     array has, or whose value is null or not positive, are dropped. If a key comes
     with different vectors, the smallest one counts, so that reruns agree.
     """
-    v = F.col(column)
-    pairs = F.filter(
-        F.arrays_zip(v["indices"].alias("term"), v["values"].alias("value")), lambda p: p["term"].isNotNull() & (F.coalesce(p["value"], F.lit(0.0)) > 0)
-    )
-    own = records.where(v.isNotNull()).select(F.col(key).alias(key), pairs.alias("terms"))
-    once = own.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("terms").alias("terms"))
+    # The two arrays are shuffled as they are; pairs of them take twice the room.
+    own = records.where(F.col(column).isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.struct(F.col(column)["indices"].alias("i"), F.col(column)["values"].alias("v")).alias("_s"))
+    once = own.groupBy(key).agg(F.min("_s").alias("_s"))
+    zipped = F.arrays_zip(F.col("_s.i").alias("term"), F.col("_s.v").alias("value"))
+    pairs = F.filter(zipped, lambda p: p["term"].isNotNull() & (F.coalesce(p["value"], F.lit(0.0)) > 0))
+    once = once.select(key, pairs.alias("terms"))
     total = F.aggregate("terms", F.lit(0.0), lambda s, p: s + F.round(F.expm1(p["value"])))
     return once.select(key, total.alias("_row"), "terms")
 
