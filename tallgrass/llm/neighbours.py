@@ -234,10 +234,7 @@ def similar_pairs(
     tree = _fitted(packed, n, depth, dimensions)
     margin = reach(min_cosine) / relax / 2
     routed = _route(classes.select(key, "v"), key, tree, margin, dimensions)
-    if depth:
-        routed = _blocks(cut_lineage(routed), key, block)
-    else:
-        routed = _blocks(routed, key, block)
+    routed = _blocks(routed, key, block)
     loose = min_cosine - ROUNDING
     kind = T.StructField(key, packed.schema[key].dataType)
     out_schema = T.StructType([T.StructField("a", kind.dataType), T.StructField("b", kind.dataType), T.StructField("rough", T.FloatType())])
@@ -312,7 +309,8 @@ def _route(classes: DataFrame, key: str, tree: Tree, margin: float, dimensions:
 def _blocks(routed: DataFrame, key: str, block: int) -> DataFrame:
     """``(shard, pair, part, key, v)``: the tasks of each shard.
 
-    A shard of up to ``block`` rows is one task. A larger one is hashed into b blocks,
+    Routing is done twice, for the sizes and for the rows, as it is cheaper than keeping
+    its result. A shard of up to ``block`` rows is one task. A larger one is hashed into b blocks,
     and each pair of blocks (i <= j) is a task; a row goes to the b tasks of its block.
     """
     sizes = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("_n"))
