@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +32,20 @@ def build_session(app_name: str = "tallgrass", master: str | None = None, **conf
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir`` and that one is
-    used. Only where neither it nor a context-level folder is set (tests, one
-    machine) a fresh local folder is made.
+    A cluster names a shared folder in ``spark.checkpoint.dir`` and that one is used.
+    Where neither it nor a context-level folder is set, one machine (tests) gets a
+    fresh temporary folder; a cluster is refused, as its machines share none.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
-    if named and not current:
-        sc.setCheckpointDir(named)
-    elif not current:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallgrass-checkpoint-"))
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tallgrass-checkpoint-")
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 

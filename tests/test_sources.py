@@ -271,3 +271,35 @@ def test_arguments(tmp_path):
         parse_arguments(["--repo", "r", "reindex"])
     with pytest.raises(SystemExit):
         parse_arguments(["--repo", "r", "--path", "relative", "reindex"])
+
+
+def test_repeated_deliveries_are_dropped(spark, tmp_path):
+    source = tmp_path / "in"
+    spark.createDataFrame([(1, "2025-01-01 00:00:00"), (1, "2025-01-01 00:00:00"), (2, "2025-01-01 00:00:01")], "event_id long, ts string").coalesce(1).write.json(str(source))
+    log = spark.readStream.schema("event_id long, ts timestamp").json(str(source))
+    live.deduplicated(log).writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.event_id for r in spark.table("once").collect()) == [1, 2]
+
+
+def test_checkpoint_folder(monkeypatch):
+    from tallgrass.session import checkpoint_dir
+
+    class Context:
+        def __init__(self, master, current=None):
+            self.master, self.current = master, current
+
+        def getCheckpointDir(self):
+            return self.current
+
+        def setCheckpointDir(self, folder):
+            self.current = folder
+
+    class Session:
+        def __init__(self, context, **conf):
+            self.sparkContext, self.conf = context, conf
+
+    assert checkpoint_dir(Session(Context("spark://x:7077", "shared"))) == "shared"
+    assert checkpoint_dir(Session(Context("spark://x:7077"), **{"spark.checkpoint.dir": "named"})) == "named"
+    assert "tallgrass" in checkpoint_dir(Session(Context("local[2]")))
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session(Context("local-cluster[2,1,1024]")))
