@@ -300,3 +300,12 @@ def test_proximity(spark):
 def test_too_many_items_are_refused(spark):
     with pytest.raises(ValueError):
         leakage.bounded(spark.range(10), most=5)
+
+
+def test_words_of_special_letters(spark):
+    """A Kelvin sign and a dotted capital I separate words; their lower case must not make ASCII letters."""
+    item = " ".join(f"ki{i}" for i in range(13))
+    docs = [(1, item.upper()), (2, item.replace("ki3", "Ki3")), (3, item.replace("ki3", "kİki3"))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert [r.doc_id for r in leakage.matches(df, items).collect()] == [1]
