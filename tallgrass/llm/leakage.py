@@ -142,4 +142,5 @@ def _near(hits: DataFrame, slack: int, least: int = NEAR_WORDS) -> DataFrame:
     gap = F.when(F.col("shift") - F.lag("shift").over(w) > slack, 1).otherwise(0)
     runs = hits.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     full = runs.groupBy("item_id", "doc_id", "_run").agg(F.countDistinct("at").alias("_places"), (F.max("at") - F.min("at")).alias("_span"))
-    return full.where((F.col("_places") >= least) & (F.col("_span") < 4 * N_WORDS)).select("item_id", "doc_id").distinct()
+    # Dense, however long: at least a quarter of the words of the stretch, as in a copy with changes.
+    return full.where((F.col("_places") >= least) & (4 * F.col("_places") > F.col("_span"))).select("item_id", "doc_id").distinct()
