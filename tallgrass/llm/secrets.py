@@ -46,6 +46,8 @@ CONNECTION = re.compile(r"(?i)(?:^|[;\"'`\s&?])(?P<name>password|pwd|passwd|acco
 # Words in names.
 STRONG = frozenset("password passwd passphrase pwd pw pass passcode secret token apikey apitoken credential credentials privatekey accesskey secretkey authtoken clientsecret pin psk pat".split())
 WEAK = frozenset("key auth seed salt bearer basic login signature signing session cookie cert authorization jwt hmac dsn".split())
+#: Two words that are strong together only.
+KEYS = frozenset("apikey privatekey accesskey secretkey signingkey encryptionkey masterkey sharedkey accountkey".split())
 #: Words that, at the end of a name, make it a name of something about a secret.
 ABOUT = frozenset(
     "name names field fields hint hints ref refs reference id ids policy length len count type types url uri header headers label labels path paths param params prefix suffix pattern regex schema public "
@@ -91,10 +93,44 @@ PLACEHOLDER = re.compile(
 REFERENCE = re.compile(r"\$\{|\$\(|\{\{|<%|%\(|%s|^\$|^(?:process\.env|os\.environ|env|getenv|config|settings|options|props|this|self|ctx|req|request|secrets?|vault|ssm|arn|file|ref|aws|gcp|op|sops|kms|keyring|keychain)[.:/\[(]|^(?:https?|file|vault|ssm|arn|op|secretsmanager)://?|\.(?:env|pem|crt|json|ya?ml)$")
 COMMENT = re.compile(r"^\s*(?://|#|\*|/\*|--|<!--|;|%|\"\"\"|>)|(?<=\s)(?://|#|/\*|<!--)")
 
-#: Lower-cased text has one of these wherever anything below can be found.
-SIGNS = re.compile(
-    r"pass|pwd|pw|secret|token|key|auth|cred|login|seed|salt|bearer|basic|private|akia|asia|gh[pousr]_|xox|_live_|_prod_|eyj|glpat|aiza|://[^\s/@]{0,80}:[^\s/@]{1,200}@|rotat|curl|mysql|mariadb|psql|redis|mongo|base64|btoa|atob|unhex|fromhex|fromcharcode|decodeuri|%[0-9a-f]{2}%|\\x[0-9a-f]{2}\\|\\u00|sk-|npm_|hf_|kennwort|contrase|mot de passe|pin\b|jwt"
-)
+# Words of the rules that don't ask for a name.
+_PLAIN_SIGNS = (
+    "pass passwd password passcode passphrase pwd pw login credential secret token apikey accesskey rotation kennwort passwort contraseña motdepasse base64 btoa b64encode basicauth "  # REMARK, BASIC
+    "user usr account curl mysql mariadb sqlcmd psql pg_dump mongo redis-cli sshpass ldapsearch smbclient wget ftp docker helm ansible authorization"  # LOGIN, CURL, COMMAND, HEADER
+).split() + ["log in"]
+#: Letters that match others without regard to case.
+_ALSO = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
+
+
+def _any_of(words: set[str], between: str) -> str:
+    """A pattern of any of the words in any case, as a tree of letters, with ``between`` between two of them."""
+    heads: dict[str, set[str]] = {}
+    for w in words - {""}:
+        heads.setdefault(w[0], set()).add(w[1:])
+    parts = []
+    for c, rest in sorted(heads.items()):
+        letter = f"[{c}{c.upper()}{_ALSO.get(c, '')}]" if c.isalpha() else re.escape(c)
+        tail = _any_of(rest, between)
+        parts.append(letter + (f"(?:{between}{tail[:-1]})?" if tail.endswith("?") else between + tail if tail else ""))
+    tree = "(?:" + "|".join(parts) + ")"
+    return (tree + "?" if "" in words else tree) if parts else ""
+
+
+def _line_signs() -> re.Pattern:
+    """A line has a match wherever ``_named`` or ``_next_line`` can find anything.
+
+    Names count by their last words (see ``strength``), also if these are divided, so a
+    word may have other characters between its letters; words that end like another are left to it.
+    """
+    named = STRONG | WEAK | KEYS
+    named = {w for w in named if not any(w != x and w.endswith(x) for x in named)}
+    return re.compile(_any_of(named, r"[^A-Za-z0-9\n]*") + "(?![a-z])|" + _any_of({w for w in _PLAIN_SIGNS if w.isalnum()}, "[ _-]{0,3}") + "|" + _any_of({w for w in _PLAIN_SIGNS if not w.isalnum()}, ""))
+
+
+LINE_SIGNS = _line_signs()
+#: What the two costliest rules can't do without.
+_NAMED_SIGN = re.compile(r"""[=:]|\|\||\?\?|,[ \t]*["'`]""")
+_FALLBACK_SIGN = re.compile(r"""(?:\|\||\?\?|,|\bor\b)[ \t]*["'`]""")
 ENCODED = re.compile(r"(?P<quote>[\"'`])(?P<value>(?:[A-Za-z0-9+/_\-]{16,}={0,2}|(?:[0-9a-fA-F]{2}){8,}|(?:[^\"'`\n\\]|\\.)*(?:%[0-9a-fA-F]{2}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3})(?:[^\"'`\n\\]|\\.)*))(?P=quote)")
 BARE_ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_\-.\"'`])(?P<value>[A-Za-z0-9+/]{28,}={0,2}|(?:[\w.\-~]*%[0-9A-Fa-f]{2}){3,}[\w.\-~]*)(?![A-Za-z0-9+/=_\-.\"'`])")
 DATA_URI = re.compile(r"(?i)\bdata:[\w./+\-]+;base64,\S*|\b(?:sha(?:1|224|256|384|512)|md5)[-:=][A-Za-z0-9+/=]+")
@@ -155,7 +191,7 @@ def strength(name: str) -> int:
         return 0
     pairs = {a + b for a, b in zip(words, words[1:])}
     tail = set(words[-2:])
-    if tail & STRONG or {w for w in pairs if w in STRONG or w in ("apikey", "privatekey", "accesskey", "secretkey", "signingkey", "encryptionkey", "masterkey", "sharedkey", "accountkey")} and (words[-2] + words[-1] if len(words) > 1 else "") in pairs:
+    if tail & STRONG or {w for w in pairs if w in STRONG or w in KEYS} and (words[-2] + words[-1] if len(words) > 1 else "") in pairs:
         if words[-1] in STRONG or words[-1] in ("key", "value", "plain", "raw", "default", "prod", "dev", "old", "new", "fallback") or words[-1].isdigit():
             return 2
         return 1
@@ -299,11 +335,11 @@ def _search(text: str) -> Iterator[Secret]:
         body = text[m.end() : body_end]
         if re.search(r"[A-Za-z0-9+/]{12,}", body) and not re.search(r"\$\{|\.\.\.\s*$|<", body[:200]):
             yield Secret(m.start(), stop.end() if stop else body_end, "private key")
-    for m in ADDRESS.finditer(text):
+    for m in ADDRESS.finditer(text) if "://" in text else ():
         password = m["password"]
         if plain(password) and not re.fullmatch(r"\d{1,5}|(?i:pass(?:word)?|pw|secret|user|pwd)|\w*PASS\w*|[A-Z_]+", password):
             yield Secret(m.start("password"), m.end("password"), "address")
-    for m in CONNECTION.finditer(text):
+    for m in CONNECTION.finditer(text) if ";" in text else ():
         if ";" in text[max(0, m.start() - 80) : m.start() + 1] and plain(m["value"]) and chosen(m["value"]):
             yield Secret(m.start("value"), m.end("value"), "password")
 
@@ -315,7 +351,7 @@ def _named(text: str, start: int, end: int) -> Iterator[Secret]:
     """Secrets that a line gives to a name, in a tag, in a remark or as a login."""
     line = text[start:end]
     setting = _SETTING.match(line) and (not line.rstrip().endswith((";", ",")) or line.lstrip().startswith("export"))
-    for m in NAMED.finditer(text, start, end):
+    for m in NAMED.finditer(text, start, end) if _NAMED_SIGN.search(text, start, end) else ():
         name, value = m["name"].strip("\"'"), m["value"]
         power = strength(name)
         if not value:
@@ -351,7 +387,7 @@ def _named(text: str, start: int, end: int) -> Iterator[Secret]:
                 kind = "encoded secret"
         if kind:
             yield Secret(a, b, kind)
-    for pattern in (FALLBACK, PAIRED):
+    for pattern in (FALLBACK, PAIRED) if _FALLBACK_SIGN.search(text, start, end) else (PAIRED,):
         for m in pattern.finditer(text, start, end):
             power = strength(m["name"])
             kind = _kind_of(m["value"][1:-1], power) if power == 2 or power and pattern is PAIRED else None
@@ -421,28 +457,23 @@ def _encoded(text: str) -> Iterator[Secret]:
             yield Secret(m.start("value"), m.end("value"), kind)
 
 
+def _lines(text: str) -> Iterator[Secret]:
+    """What lines say by names and remarks. Lines without a sign of these are skipped."""
+    m = LINE_SIGNS.search(text)
+    while m:
+        start = text.rfind("\n", 0, m.start()) + 1
+        end = text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        yield from _named(text, start, end)
+        yield from _next_line(text, start, end)
+        m = LINE_SIGNS.search(text, end)
+
+
 def secrets(text: str | None) -> list[Secret]:
     """The secrets of a text in order; where two overlap, the one that begins first and is longer stays."""
     if not text:
         return []
-    found: list[Secret] = []
-    seen = -1
-    first = SIGNS.search(text.lower() if len(text.lower()) == len(text) else text)
-    if first is not None:
-        lower = text.lower()
-        if len(lower) != len(text):  # characters that change their length; then lines are looked at one by one
-            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        found += _search(text)
-        for m in SIGNS.finditer(lower):
-            if m.start() <= seen:
-                continue
-            start = text.rfind("\n", 0, m.start()) + 1
-            end = text.find("\n", m.end())
-            end = len(text) if end < 0 else end
-            seen = end
-            found += _named(text, start, end)
-            found += _next_line(text, start, end)
-        found += _encoded(text)
+    found = [*_search(text), *_lines(text), *_encoded(text)]
     spans = [(m.start(), m.end()) for m in DATA_URI.finditer(text)] if found else []
     found = [s for s in found if not any(a <= s.start and s.end <= b for a, b in spans)]
     kept: list[Secret] = []

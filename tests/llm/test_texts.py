@@ -182,6 +182,26 @@ def test_what_is_no_secret(text):
     assert secrets.secrets(text) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x = 'github_pat_11ABCDEFG0abcdefghijklmn'", "v('ya29.a0AfH6SMBx81kdkQwLmz72hf')", "v('dop_v1_" + "0a1b2c3d" * 8 + "')", "v('pypi-AgEIcHlwaS5vcmcCJDU1')", "v('shpat_" + "0a1b2c3d" * 4 + "')", "v('whsec_Xk29fLq8Zw31Rt57')",
+        "v('SG.Xk29fLq8Zw31Rt57.Xk29fLq8Zw31Rt57Ab')", "v('AC" + "0a1b2c3d" * 4 + "')", "v('AGPAOM53M6H324MLCM3K')", "v('AIDAOM53M6H324MLCM3K')", "v('AROAOM53M6H324MLCM3K')", "v('ANPAOM53M6H324MLCM3K')",
+        'b = Buffer.from("' + b"joe:hunter2xyz".hex() + '", "hex")', 'const blob = "' + base64.b64encode(b"joe:hunter2xyz").decode() + '";', 'const b = "' + "".join(f"\\{c:03o}" for c in b"joe:hunter2xyz") + '";',
+        'wifi_psk: "Xk29fLq8!"', "AZURE_PAT=Xk29fLq8Zw31Rt57", 'session: "Xk29fLq8Zw31Rt57+a"', 'cookie = "Xk29fLq8Zw31Rt57+a"', 'hmac = "Xk29fLq8Zw31Rt57+a"', 'dsn: "Xk29fLq8Zw31Rt57+a"', 'pass_code = "Xk29fLq8Zw31Rt57+a"', 'signature = "Xk29fLq8Zw31Rt57+a"',
+        "cert:\n  Xk29fLq8Zw31Rt57+a", "sshpass -pXk29fLq8!z ssh h", "wget --http-password=Xk29fLq8!z h", "# usr svc / Xk29fLq8!z", "# log in as svc / Xk29fLq8!z", "# until rotation use Trail#Orphaned638",
+    ],
+)
+def test_each_rule_fires_alone(text):
+    assert len(secrets.secrets(text)) == 1
+
+
+def test_no_line_is_skipped_that_names_a_secret():
+    for w in secrets.STRONG | secrets.WEAK | secrets.KEYS:
+        for name in (w, w.upper(), w.capitalize(), f"x_{w}", f"x{w.capitalize()}", f"{w}_value", *(f"{w[:i]}{sign}{w[i:]}" for i in range(1, len(w)) for sign in "_-."), *(w[:i] + w[i:].capitalize() for i in range(1, len(w)))):
+            assert secrets.strength(name) == 0 or secrets.LINE_SIGNS.search(name), name
+
+
 def test_redaction_keeps_the_code_intact():
     from tallgrass.functions.script_parser import error_of
 
