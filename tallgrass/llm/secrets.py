@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "[REDACTED]"
-MAX_LAYERS = 6
 
 # Formats of issued tokens.
 TOKENS = re.compile(
@@ -132,7 +131,7 @@ LINE_SIGNS = _line_signs()
 _NAMED_SIGN = re.compile(r"""[=:]|\|\||\?\?|,[ \t]*["'`]""")
 _FALLBACK_SIGN = re.compile(r"""(?:\|\||\?\?|,|\bor\b)[ \t]*["'`]""")
 ENCODED = re.compile(r"(?P<quote>[\"'`])(?P<value>(?:[A-Za-z0-9+/_\-]{16,}={0,2}|(?:[0-9a-fA-F]{2}){8,}|(?:[^\"'`\n\\]|\\.)*(?:%[0-9a-fA-F]{2}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3})(?:[^\"'`\n\\]|\\.)*))(?P=quote)")
-BARE_ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_\-.\"'`])(?P<value>[A-Za-z0-9+/]{28,}={0,2}|(?:[\w.\-~]*%[0-9A-Fa-f]{2}){3,}[\w.\-~]*)(?![A-Za-z0-9+/=_\-.\"'`])")
+BARE_ENCODED = re.compile(r"(?<![A-Za-z0-9+/_\-.\"'`])(?<!==)(?P<value>[A-Za-z0-9+/]{28,}={0,2}|(?:[\w.\-~]*%[0-9A-Fa-f]{2}){3,}[\w.\-~]*)(?![A-Za-z0-9+/=_\-.\"'`])")
 DATA_URI = re.compile(r"(?i)\bdata:[\w./+\-]+;base64,\S*|\b(?:sha(?:1|224|256|384|512)|md5)[-:=][A-Za-z0-9+/=]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 CONTINUES = re.compile(r"[\"'`][ \t]*(?:\+|\.|\\|\|\||&)?[ \t]*\\?[ \t]*\r?\n[ \t]*(?:\+|\.)?[ \t]*(?P<quote>[\"'`])(?P<value>(?:(?!(?P=quote))[^\n\\]|\\.)*)(?P=quote)")
@@ -268,34 +267,51 @@ def readable(data: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.97 * len(text) else None
 
 
-def hides_secret(value: str, layer: int = 0) -> str | None:
-    """Kind of the secret inside an encoded literal, or null."""
-    if layer >= MAX_LAYERS:
-        return None
-    for data in decodings(value):
-        if is_private_key(data):
-            return "private key"
-        text = readable(data)
-        if not text or text == value:
-            continue
-        if ARMOUR.search(text) or TOKENS.search(text):
-            return "encoded token"
-        for m in ADDRESS.finditer(text):
-            if plain(m["password"]):
-                return "encoded address"
-        for m in CONNECTION.finditer(text):
-            if plain(m["value"]) and chosen(m["value"]):
+def hides_secret(value: str) -> str | None:
+    """Kind of the secret inside an encoded literal, or null.
+
+    What a literal stands for is searched like any text, and is a literal itself, as are
+    the encoded literals in it, until nothing can be decoded. Each decoding is shorter than
+    what it was made from, so this ends; a list of what is left takes the place of recursion.
+    """
+    left, seen = [value], {value}
+    while left:
+        literal = left.pop()
+        for data in decodings(literal):
+            if is_private_key(data):
+                return "private key"
+            text = readable(data)
+            if not text or text == literal:
+                continue
+            kind = _decoded_kind(text)
+            if kind:
+                return kind
+            for inner in (text.strip(), *(v for _, _, values in _literals(text) for v in values)):
+                if inner not in seen and len(inner) < len(literal):
+                    seen.add(inner)
+                    left.append(inner)
+    return None
+
+
+def _decoded_kind(text: str) -> str | None:
+    """Kind of a secret that a decoded text has in clear: by the rules of all texts, and by those for what stands alone."""
+    if ARMOUR.search(text) or TOKENS.search(text):
+        return "encoded token"
+    for m in ADDRESS.finditer(text) if "://" in text else ():
+        if plain(m["password"]):
+            return "encoded address"
+    for m in CONNECTION.finditer(text):
+        if plain(m["value"]) and chosen(m["value"]):
+            return "encoded password"
+    for m in NAMED.finditer(text):
+        if m["value"] and m["sign"] != "," and strength(m["name"].strip("\"'")) == 2:
+            inner = m["value"].strip("\"'`")
+            if plain(inner) and chosen(inner):
                 return "encoded password"
-        for m in NAMED.finditer(text):
-            if m["value"] and m["sign"] != "," and strength(m["name"].strip("\"'")) == 2:
-                inner = m["value"].strip("\"'`")
-                if plain(inner) and chosen(inner):
-                    return "encoded password"
-        if re.fullmatch(r"[A-Za-z][\w.\-]{1,40}:[^\s:/]{6,}", text) and chosen(text.partition(":")[2]):
-            return "encoded login"
-        deeper = hides_secret(text.strip(), layer + 1)
-        if deeper:
-            return deeper
+    if re.fullmatch(r"[A-Za-z][\w.\-]{1,40}:[^\s:/]{6,}", text) and chosen(text.partition(":")[2]):
+        return "encoded login"
+    for s in _outside_data(text, [*_search(text), *_lines(text)]):
+        return "encoded " + s.kind.removeprefix("encoded ")
     return None
 
 
@@ -443,18 +459,28 @@ def _told(value: str) -> bool:
     return classes(value) >= 3 or turns >= 4 or looks_issued(value)
 
 
-def _encoded(text: str) -> Iterator[Secret]:
+def _literals(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Begin, end and readings of what may be an encoded literal: with and without the literals that are added to it."""
     for m in ENCODED.finditer(text):
         more, last = _joined(text, m.end("value")) if len(m["value"]) >= 16 else ("", m.end("value"))
         if text[max(0, m.start("value") - 8) : m.start("value") + 5].count("data:"):
             continue
-        kind = hides_secret(m["value"] + more) or (hides_secret(m["value"]) if more else None)
-        if kind:
-            yield Secret(m.start("value"), last if more else m.end("value"), kind)
+        yield m.start("value"), last if more else m.end("value"), [m["value"] + more, m["value"]] if more else [m["value"]]
     for m in BARE_ENCODED.finditer(text):
-        kind = hides_secret(m["value"])
+        yield m.start("value"), m.end("value"), [m["value"]]
+
+
+def _encoded(text: str) -> Iterator[Secret]:
+    for start, end, values in _literals(text):
+        kind = next(filter(None, map(hides_secret, values)), None)
         if kind:
-            yield Secret(m.start("value"), m.end("value"), kind)
+            yield Secret(start, end, kind)
+
+
+def _outside_data(text: str, found: list[Secret]) -> list[Secret]:
+    """Those that are no part of data addresses or digests."""
+    spans = [(m.start(), m.end()) for m in DATA_URI.finditer(text)] if found else []
+    return [s for s in found if not any(a <= s.start and s.end <= b for a, b in spans)]
 
 
 def _lines(text: str) -> Iterator[Secret]:
@@ -473,9 +499,7 @@ def secrets(text: str | None) -> list[Secret]:
     """The secrets of a text in order; where two overlap, the one that begins first and is longer stays."""
     if not text:
         return []
-    found = [*_search(text), *_lines(text), *_encoded(text)]
-    spans = [(m.start(), m.end()) for m in DATA_URI.finditer(text)] if found else []
-    found = [s for s in found if not any(a <= s.start and s.end <= b for a, b in spans)]
+    found = _outside_data(text, [*_search(text), *_lines(text), *_encoded(text)])
     kept: list[Secret] = []
     for s in sorted(found, key=lambda s: (s.start, -s.end)):
         if not kept or s.start >= kept[-1].end:

@@ -196,6 +196,34 @@ def test_each_rule_fires_alone(text):
     assert len(secrets.secrets(text)) == 1
 
 
+def _layers(text: str, n: int) -> str:
+    for _ in range(n):
+        text = base64.b64encode(text.encode()).decode()
+    return text
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        json.dumps({"auths": {"reg.example": {"auth": base64.b64encode(b"joe:hunter2xyz").decode()}}}), 'name: x\nblob: "' + b"password=Tr0ub4dor&3xyz".hex() + '"\n', "a:\n  blob: " + _layers("password=Tr0ub4dor&3xyz", 2) + "\n", "A=1\nBLOB=" + _layers("password=Tr0ub4dor&3xyz", 2) + "\n",
+        "<apiToken>Q8zCrf8eZ5wUhFnb</apiToken>", "x-api-key: Q8zCrf8eZ5wUhFnb31x", '<add key="ShardPassword" value="Pointer_Pending5501"/>', "run A=1 SIGNING_KEY=Q8zCrf8e+Z5wUhFn", 'session: "Xk29fLq8Zw31Rt57+a"', "# until rotation use Trail#Orphaned638", "jwt:\n  Q8zCrf8e+Z5wUhFn",
+    ],
+)
+@pytest.mark.parametrize("layers", [1, 9])
+def test_what_is_decoded_is_searched_like_any_text(inside, layers):
+    blob = _layers(inside, layers)
+    for text in (f'const blob = "{blob}";', f"data:\n  .blob: {blob}\n"):
+        assert secrets.redact(text) == text.replace(blob, secrets.MARK)
+
+
+def test_deep_coding():
+    value = "postgres://svc:S3cretPass9@db.example/x"
+    for _ in range(300):
+        value = value.replace("%", "%25") if "%" in value else value.replace(":", "%3A")
+    assert [s.kind for s in secrets.secrets(f'u = "{value}"')] == ["encoded address"]
+    assert secrets.secrets('x = "' + _layers("nothing to see in here", 12) + '"') == []
+
+
 def test_no_line_is_skipped_that_names_a_secret():
     for w in secrets.STRONG | secrets.WEAK | secrets.KEYS:
         for name in (w, w.upper(), w.capitalize(), f"x_{w}", f"x{w.capitalize()}", f"{w}_value", *(f"{w[:i]}{sign}{w[i:]}" for i in range(1, len(w)) for sign in "_-."), *(w[:i] + w[i:].capitalize() for i in range(1, len(w)))):
