@@ -132,6 +132,21 @@ STRONG_BEFORE = re.compile(
     r"(?i)(?:\+?\(?\d[\d .()\-]{6,}\d(?:\s?ext\.?\s?\d+)?,\s*\Z)|\b(?:contact|contacto|kontakt|owner|author|autor|reported by|reviewed[- ]by|signed-off-by|co-authored-by|acked-by|tested-by|assignee|on call|attendees|participants|teilnehmer|asistentes|thanks to|merci à|danke an|gracias a|revisado por|relu par|"
     r"geprüft von|home of|cc|bcc|from(?=\s*:)|holder|customer|patient|employee|ask|rückfragen bitte an|maintainer|reporter|ansprechpartner|sincerely|regards)\b[\s:\"'=\[(*_|>-]*(?:\{?\s*name\s*[:=]\s*\"?)?\Z"
 )
+#: A label that begins its line or is followed by a colon: what comes next is a person, without another sign.
+_LABELS = (
+    r"contact|contacto|kontakt|contacter|owner|author|autor|autora|auteur|auteure|verfasser|verfasserin|reported by|reviewed[- ]by|signed-off-by|co-authored-by|acked-by|tested-by|approved[- ]by|assigned to|assignee|on call|on-call|attendees?|"
+    r"participants?|participantes?|teilnehmer|teilnehmerin|asistentes?|thanks to|merci à|danke an|gracias a|revisado por|relu par|geprüft von|escrito por|home of|cc|bcc|holder|user|usuario|utilisateur|benutzer|"
+    r"customer|patient|employee|client|kunde|kundin|cliente|dear|hallo|hello|hi|bonjour|hola|sincerely|regards|grüße|cordialement|saludos|manager|lead|maintainer|reporter|responsable|encargado|encargada|zuständig|ansprechpartner|ansprechpartnerin|"
+    r"genehmigt von|approuvé par|aprobado por|zugewiesen an|assigné à|asignado a|geschrieben von|écrit par|gemeldet von|signalé par|reportado por"
+)
+#: Words of mail heads, which need the begin of the line and a colon. ``name`` is no label of a person: configuration names things.
+_HEAD_LABELS = "from|to|an|von|para|de|à|à l'attention de|für|por|par|by"
+#: English nouns with which headings begin too need a colon.
+_LINE_LABELS = "|".join(x for x in _LABELS.split("|") if x not in ("manager", "lead", "user", "client", "hi"))
+_LINE_START = r"(?:^|(?<=\n))[ \t>*#|\-]*"
+LABEL_BEFORE = re.compile(
+    rf"(?i)(?:(?:(?<![\w\-])(?:{_LABELS})|{_LINE_START}(?:{_HEAD_LABELS}))[\"'*_)\]]*[ \t\u00a0\u202f]*:[\s\"'=\[(*_|>-]*|{_LINE_START}(?:{_LINE_LABELS})\b[*_]*[ \t]*,?[*_]*[ \t]*(?:\r?\n[ \t]*)?)\Z"
+)
 AFTER_NAME = re.compile(
     r"(?i)\s*(?:[<(\[]?[\w.+\-]+\s?(?:@|\(at\)|\[at\])|\]\(mailto:|\]?\(?\+?\d[\d .()\-]{6,}|\|\s*[+(\d]|,\s*(?:tel|phone|[\w.+\-]+\s?(?:@|\(at\)|\[at\]))|\(\(?[+\d]|\"?,?\s*\"?(?:mail|email|phone|doc|tel)\b|asked\b|noted\b|said\b|wrote\b|reported\b|"
     r"reviewed\b|owns\b|hat\b|lives\b|wohnt\b|called\b|agreed\b|suggested\b|and\s+[A-Z]|und\s+[A-Z]|,\s+[A-Z][a-z]+\s+[A-Z])"
@@ -376,6 +391,10 @@ def _plausible(name: str) -> bool:
     return not any(w.strip(".,").capitalize() in _NO_NAME for w in name.split() if w[:1].isupper())
 
 
+def _labelled(text: str, start: int) -> bool:
+    return bool(LABEL_BEFORE.search(text, max(0, start - 40), start))
+
+
 def names(text: str, mails: list[Span]) -> Iterator[Span]:
     for m in TITLED.finditer(text):
         title = m.group().split()[0].rstrip(".")
@@ -391,7 +410,7 @@ def names(text: str, mails: list[Span]) -> Iterator[Span]:
         before = text[max(0, m.start() - 40) : m.start()]
         if first in GIVEN:
             score += 0.7
-        if STRONG_BEFORE.search(before):
+        if STRONG_BEFORE.search(before) or _labelled(text, m.start()):
             score += 0.6
         if _plausible(f"{last} {first}"):
             yield Span(m.start(), m.end("name"), "name", score)
@@ -400,7 +419,7 @@ def names(text: str, mails: list[Span]) -> Iterator[Span]:
         score = 0.3
         if re.fullmatch(r"\s*(?:--|—|–|~|-)\s*", before):
             score += 0.8  # a signature
-        if STRONG_BEFORE.search(before):
+        if STRONG_BEFORE.search(before) or _labelled(text, m.start()):
             score += 0.8
         if AFTER_NAME.match(text, m.end()):
             score += 0.4
@@ -424,15 +443,16 @@ def names(text: str, mails: list[Span]) -> Iterator[Span]:
             if (first.capitalize() if upper else first) in GIVEN:
                 score += 0.8
             before = text[max(0, m.start() - 40) : m.start()]
-            if STRONG_BEFORE.search(before) or last_end >= 0 and m.start() - last_end < 12 and LISTED.fullmatch(text, last_end, m.start()):
+            labelled = bool(STRONG_BEFORE.search(before)) or _labelled(text, m.start())
+            if labelled or last_end >= 0 and m.start() - last_end < 12 and LISTED.fullmatch(text, last_end, m.start()):
                 score += 0.8
             elif BEFORE_NAME.search(before):
                 score += 0.25
             if AFTER_NAME.match(text, m.end()):
                 score += 0.75
-            if upper and (not STRONG_BEFORE.search(before) or m.start() - text.rfind("\n", 0, m.start()) > 26):
+            if upper and (not labelled or m.start() - text.rfind("\n", 0, m.start()) > 26):
                 score -= 1.0  # in capitals only where a label begins the line, not inside of a sentence in capitals
-            if "\n" in m.group() and not STRONG_BEFORE.search(before):
+            if "\n" in m.group() and not labelled:
                 score -= 0.4
             if score >= THRESHOLD:
                 at = last_end = m.end()

@@ -293,6 +293,19 @@ def test_what_is_no_mention(text):
     assert personal.mentions(text) == []
 
 
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        *((f"{label}{colon} Kwame Okafor", 1) for label in ("Approved by", "Assigned to", "Verfasser", "Auteur", "Autora", "Escrito por", "Responsable", "Encargado", "Participantes", "Kunde", "Cordialement") for colon in (":", " :", "")),
+        *((f"see below. {label}: Amélie Roux", 1) for label in ("Approved by", "Assigned to", "verfasser", "auteur", "autora", "escrito por", "responsable", "encargado", "manager", "lead", "user", "kunde")),
+        ("Cordialement,\nAmélie Roux", 1), ("**Auteur** : Amélie Roux", 1), ("Participantes: Kwame Okafor, Amélie Roux y Zoé Nkemelu", 3), ("APPROVED BY: KWAME OKAFOR", 1), ("Verfasser: K. Okafor", 1), ("Auteur : Okafor, Kwame", 1), ("An: Kwame Okafor", 1),
+        ("name: Daily Backup", 0), ("Manager Access Control", 0), ("it goes to: Daily Backup", 0), ("Escalated cookbooks, nobody assigned to Daily Backup", 0), ("The last one was an author's Forecast Mirror", 0),
+    ],
+)
+def test_labels_carry_names(text, n):
+    assert [s.kind for s in personal.mentions(text)] == ["name"] * n
+
+
 def test_validators():
     assert personal.luhn("4111111111111111") and not personal.luhn("4111111111111112")
     assert personal.mod97("DE89370400440532013000") and not personal.mod97("DE89370400440532013001")
