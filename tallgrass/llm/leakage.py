@@ -42,16 +42,19 @@ def document_words(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.regexp_extract_all(plain, F.lit("([a-z0-9]+)"), F.lit(1)).alias("_words"))
 
 
-def anchors(positions: DataFrame, frequency: DataFrame, n: int = N_WORDS, take: int = ANCHORS) -> DataFrame:
+def anchors(positions: DataFrame, frequency: DataFrame, n: int = N_WORDS, take: int = ANCHORS, whole: bool = True) -> DataFrame:
     """``(item_id, first, at, word, place)``: of each window the ``take`` rarest words.
 
     ``frequency`` has ``(word, df)``; a window with a word that the corpus lacks has
-    no anchors at all, as it can't occur.
+    no anchors at all, as it can't occur. Unless it need not occur ``whole``: then the
+    anchors are chosen among the words that the corpus has, and an item of fewer than
+    ``n`` words is one window.
     """
     known = positions.join(F.broadcast(frequency), "word", "left").select("item_id", "at", "word", F.coalesce("df", F.lit(0)).alias("df"))
     packed = known.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "df"))).alias("_w"))
-    windows = packed.where(F.size("_w") >= n).select("item_id", "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - n + 1)).alias("first"))
-    inside = windows.select("item_id", "first", F.slice("_w", F.col("first"), n).alias("_w")).where(F.forall("_w", lambda x: x["df"] > 0))
+    windows = packed.where(F.size("_w") >= (n if whole else 1)).select("item_id", "_w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1)))).alias("first"))
+    inside = windows.select("item_id", "first", F.slice("_w", F.col("first"), n).alias("_w"))
+    inside = inside.where(F.forall("_w", lambda x: x["df"] > 0)) if whole else inside.withColumn("_w", F.filter("_w", lambda x: x["df"] > 0))
     by_rarity = F.array_sort(F.transform("_w", lambda x: F.struct(x["df"].alias("df"), x["at"].alias("at"), x["word"].alias("word"))))
     rows = inside.select("item_id", (F.col("first") - 1).alias("first"), F.posexplode(F.slice(by_rarity, 1, take)).alias("place", "_a"))
     return rows.select("item_id", "first", "place", F.col("_a.at").alias("at"), F.col("_a.word").alias("word"))
@@ -74,8 +77,8 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N_WORDS, slack: int | No
 
     ``kind`` is 'phrase' if at least ``n`` consecutive words of the item stand in the
     document, and, if ``slack`` is given, 'proximity' if only ``NEAR_WORDS`` of its rare
-    words stand there close together in about the item's order. Null and empty texts,
-    and items of fewer than ``n`` words, match nothing.
+    words stand there close together in about the item's order. Null and empty texts
+    match nothing; items of fewer than ``n`` words match no phrase.
 
     The items are held-out tests: their words are broadcast, which is checked (see
     ``bounded``). Documents are never broadcast. A posting list is shifted by the
@@ -86,7 +89,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N_WORDS, slack: int | No
     positions = bounded(item_positions(items))
     frequency = cut_lineage(_frequency(docs, positions.select("word").distinct()))
     take = ANCHORS if slack is None else NEAR_WORDS
-    starts = cut_lineage(anchors(positions, frequency, n, take).select("item_id", "at", "word").distinct())
+    starts = cut_lineage(anchors(positions, frequency, n, take, whole=slack is None).select("item_id", "at", "word").distinct())
     hits = postings(docs, starts).select("item_id", "doc_id", "at", (F.col("pos") - F.col("at")).alias("shift"))
     on_line = hits.groupBy("item_id", "doc_id", "shift").agg(F.count(F.lit(1)).alias("_c"), F.min("at").alias("low"), F.max("at").alias("high"))
     # All anchors of some window lie on the line; if there are no more than these, they lie within a window.

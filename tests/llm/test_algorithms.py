@@ -297,6 +297,16 @@ def test_proximity(spark):
     assert got == {(1, "phrase"), (2, "proximity")}
 
 
+def test_proximity_of_changed_copies(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    # Every twelfth word is replaced in the only copy, so the corpus lacks the item's own.
+    changed = " ".join(f"other{i}" if i % 12 == 5 else f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, changed), (2, "a b s0 s1 s2 s3 s4 s5 c"), (3, "w1 w9 w30 s0 s3")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, text), (8, "s0 s1 s2 s3 s4 s5 gone"), (9, "gone too"), (10, " ".join(f"w{i}" for i in range(6, 17)) + " other17 w18 gone")], "item_id bigint, text string")
+    got = {(r.item_id, r.doc_id, r.kind) for r in leakage.matches(docs, items, slack=leakage.SLACK).collect()}
+    assert got == {(7, 1, "proximity"), (8, 2, "proximity"), (10, 1, "phrase")}
+
+
 def test_too_many_items_are_refused(spark):
     with pytest.raises(ValueError):
         leakage.bounded(spark.range(10), most=5)
