@@ -63,7 +63,7 @@ FOREIGN_REMARK = re.compile(
     r"|\b(?:mit|bsd|isc|apache|mozilla public|gnu (?:lesser |affero )?general public|unlicense|zlib)(?:[- ]\d[\w.\-]*)*(?:[- ]clause)? licen[cs]e\b|\bpermission is hereby granted\b|\bcopyright (?:\(c\) )?(?:\d{4}[-, \d]*)?the [\w\-]+ (?:authors|contributors)\b|\bredistribut(?:e|ion)\b)"
 )
 OWN_REMARK = re.compile(r"(?i)all rights reserved|proprietary|confidential|internal use only")
-SOURCE_MAP = re.compile(r"(?m)^//[#@] sourceMappingURL=|/\*# sourceMappingURL=")
+SOURCE_MAP = re.compile(r"(?m)^[ \t]*(?://[#@]|/\*[#@])[ \t]*sourceMappingURL=|/\*[#@][ \t]*sourceMappingURL=[^*\n]*\*/[ \t\r]*$")
 HEAD = re.compile(r"(?:\s*(?://[^\n]*|#[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|;+|['\"]use \w+['\"];?))*")
 COMMENTS = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|#[^\n]*|<!--[\s\S]*?-->")
 WORD = re.compile(r"[A-Za-z_$][\w$]*|-?(?:0x[0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)")
@@ -172,7 +172,7 @@ def reason(path: str | None, source: str | None) -> str | None:
     kind = kind_of(path)
     if kind is None or not source or not source.strip():
         return None
-    head = HEAD.match(source).group()[:4000]
+    head = HEAD.match(source).group()
     if GENERATED_REMARK.search(head):
         return "generated"
     if FOREIGN_REMARK.search(head) and not (OWN_REMARK.search(head) and not re.search(r"(?i)\bv?\d+\.\d+\.\d+\b|https?://|free software|spdx|released under", head)):
@@ -188,7 +188,7 @@ def reason(path: str | None, source: str | None) -> str | None:
     dense = s.long_share >= limits.long_share and (s.space_share < limits.space_share or s.mean_line >= 2 * limits.mean_line)
     if s.mean_line >= limits.mean_line and s.space_share < limits.space_share + 0.04 or dense and s.lines <= 6 + s.max_line // 40 and s.mean_line >= limits.mean_line / 2:
         return "minified"
-    if SOURCE_MAP.search(source[-400:]):
+    if SOURCE_MAP.search(source):
         return "built"
     if s.numbered_share >= 0.8:
         return "generated"

@@ -52,6 +52,17 @@ def test_reasons(path, source, reason):
     assert handwritten.reason(path, source) == reason
 
 
+def test_long_maps_and_heads_are_searched_whole():
+    inline = "sourceMappingURL=data:application/json;base64," + "eyJ2ZXJzaW9uIjozfQ" * 30
+    assert handwritten.reason("p/src/a.js", HAND * 6 + "//# " + inline + "\n") == "built"
+    assert handwritten.reason("p/src/a.css", ".a {\n  margin: 1px;\n}\n" * 90 + "/*# " + inline + " */\n") == "built"
+    assert handwritten.reason("p/src/a.css", ".a {\n  margin: 1px;\n}\n" * 90 + ".b { margin: 0 }/*# " + inline + " */") == "built"
+    assert handwritten.reason("p/src/a.js", HAND * 6 + 'const mark = "/*# sourceMappingURL=";\n' + HAND) is None
+    banner = "/*\n" + " * Notes of the team on this part of the work.\n" * 120 + " */\n"
+    assert handwritten.reason("p/src/b.ts", banner + "// Code generated by protoc. DO NOT EDIT.\n" + HAND * 6) == "generated"
+    assert handwritten.reason("p/src/b.ts", banner + HAND * 6) is None
+
+
 def test_copies_are_found_by_content(spark):
     lib = "// other remark\n" + HAND
     rows = [
