@@ -245,6 +245,18 @@ def test_streams(spark, tmp_path):
     assert sorted((r.id, r.n) for r in spark.table("hits").collect()) == [("A", 1), ("A", 1), ("B", 1)]
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i, day in enumerate(("13", "14", "01")):  # one batch each, in this order
+        (source / f"{i}.json").write_text(json.dumps({"ts": f"2025-01-{day}T12:00:00Z", "hits": [{"id": "A"}]}))
+        os.utime(source / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    log = spark.readStream.schema("ts timestamp, hits array<struct<id: string>>").option("maxFilesPerTrigger", 1).json(str(source))
+    for name, frame in (("late_calls", live.windowed_calls(log)), ("late_hits", live.windowed_hits(log))):
+        frame.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(name).count() == 3
+
+
 def test_streamed_pairs(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
