@@ -9,11 +9,11 @@ near 0, rare shared terms high.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A term is hot if it is in more than this share of all records.
-HOT_SHARE = 0.001
+#: No more than so many terms are joined by broadcast.
+MOST_HOT = 400_000
 HOT_AT_LEAST = 16
 
 
@@ -41,29 +41,59 @@ def residuals(records: DataFrame, key: str, column: str = "sparse", min_value: f
     ``n`` is the count, ``df`` the number of records that have the term.
     ``min_value`` leaves out terms at or below a value; margins and frequencies are
     always of all records and terms. Empty tables give no rows.
+    """
+    return _scored(records, key, column, min_value).select(key, "term", "value", F.col("n").cast("bigint").alias("n"), "df", "score")
+
+
+def _scored(records: DataFrame, key: str, column: str, min_value: float | None) -> DataFrame:
+    """The residuals with the margins that they come from: ``_row``, ``_column``, ``_all`` and ``_largest`` (the largest count).
 
     The frequencies are an aggregate that combines on the map side. They are joined
-    to the terms in two ways: those of hot terms by broadcast, because there can't be
-    many (a record has at most 512 terms, so no more than 512 / HOT_SHARE terms reach
-    that share, 12 MB), the rest by a shuffle in which no key is heavy.
+    to the terms in two ways: those of hot terms by broadcast, the rest by a shuffle in
+    which no key is heavy. A term is hot if it is in more than a ``MOST_HOT``-th of all
+    (record, term) cells, so there are fewer than ``MOST_HOT`` of them whatever the
+    data, about 10 MB.
     """
     rows = counted_terms(records, key, column)
     exploded = rows.select(key, "_row", F.explode("terms").alias("_t"))
     cells = exploded.select(key, "_row", F.col("_t.term").alias("term"), F.col("_t.value").alias("value"), F.round(F.expm1("_t.value")).alias("n"))
-    columns = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("_column"))
-    whole = rows.agg(F.count(F.lit(1)).alias("_records"), F.sum("_row").alias("_all"))
-    stats = columns.crossJoin(F.broadcast(whole))  # one row
-    hot = F.col("df") > F.greatest(F.col("_records") * HOT_SHARE, F.lit(HOT_AT_LEAST))
+    columns = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("_column"), F.max("n").alias("_most"))
+    # Totals of the columns are those of the rows, so that the records aren't read once more for them.
+    whole = columns.agg(F.sum("df").alias("_cells"), F.sum("_column").alias("_all"), F.max("_most").alias("_largest"))
+    stats = columns.drop("_most").crossJoin(F.broadcast(whole))  # one row
+    hot = F.col("df") > F.greatest(F.col("_cells") / MOST_HOT, F.lit(HOT_AT_LEAST))
     wanted = cells if min_value is None else cells.where(F.col("value") > min_value)
-    flagged = stats.withColumn("_hot", hot)
+    flagged = stats.withColumn("_hot", hot).drop("_cells")
     heavy = wanted.join(F.broadcast(flagged.where("_hot")), "term")
     light = wanted.join(F.broadcast(flagged.where("_hot").select("term")), "term", "left_anti").join(flagged.where("not _hot").hint("shuffle_hash"), "term")
-    expected = F.col("_row") * F.col("_column") / F.col("_all")
-    spread = F.sqrt(expected * (1 - F.col("_row") / F.col("_all")) * (1 - F.col("_column") / F.col("_all")))
-    score = F.when(spread > 0, (F.col("n") - expected) / spread).otherwise(F.lit(0.0))
-    return heavy.unionByName(light).select(key, "term", "value", F.col("n").cast("bigint").alias("n"), "df", score.alias("score"))
+    return heavy.unionByName(light).drop("_hot").withColumn("score", residual(F.col("n"), F.col("_row"), F.col("_column"), F.col("_all")))
+
+
+def residual(n: Column, row: Column, column: Column, total: Column) -> Column:
+    """The adjusted residual of a cell; 0 where it can't vary."""
+    expected = row * column / total
+    spread = F.sqrt(expected * (1 - row / total) * (1 - column / total))
+    return F.when(spread > 0, (n - expected) / spread).otherwise(F.lit(0.0))
+
+
+def least_residual(n: Column, row: Column, total: Column, largest: Column, most: int) -> Column:
+    """What a cell of count ``n`` scores at least if its term is in no more than ``most`` records.
+
+    The other cells of the term hold at most ``largest`` each, which bounds the column's
+    total, and the residual falls as that total grows up to half of all. A column that
+    may hold more than half has no bound.
+    """
+    worst = n + (most - 1) * largest
+    return F.when((2 * worst <= total) & (row < total), residual(n, row, worst, total)).otherwise(F.lit(float("-inf")))
 
 
 def rare_repeated(records: DataFrame, key: str, column: str = "sparse", min_value: float = 1.38, least: int = 2, most: int = 5) -> DataFrame:
-    """Terms that a record repeats and that only ``least``..``most`` records have."""
-    return residuals(records, key, column, min_value).where(F.col("df").between(least, most))
+    """Terms that mark a record out: it repeats them, and no more than ``most`` records have them.
+
+    They are chosen by their residuals, which must reach what such a term scores at
+    least; common terms stay below that. ``least``..``most`` is then checked exactly.
+    """
+    scored = _scored(records, key, column, min_value)
+    floor = least_residual(F.col("n"), F.col("_row"), F.col("_all"), F.col("_largest"), most)
+    distinctive = scored.where(F.col("score") >= floor - 1e-9 * F.abs(floor))
+    return distinctive.where(F.col("df").between(least, most)).select(key, "term", "value", F.col("n").cast("bigint").alias("n"), "df", "score")
