@@ -3,7 +3,7 @@
 The plan is made over the histogram of lengths and not over texts: best fit in
 decreasing length, placing all texts of a length at once. It says which ranks
 within a length go to which containers; then every text takes its place by a join
-on its rank. The plan's size depends on the capacity only.
+on its rank.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from tallgrass.session import cut_lineage
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Texts of one length are ranked in so many parts, so that a frequent length is no single task.
-PARTS = 64
+#: Texts of one length are ranked in parts of about so many, so that a frequent length is no single task.
+PART = 100_000
+#: The plan has fewer places than lengths and groups of containers that were opened or split for
+#: them; it is refused beyond this number, which is about 100 MB.
+MOST_PLACES = 2_000_000
 
 # Fixed value: how the tokenizer's vocabulary expects a text to be cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,13 +122,17 @@ def pieces(counts: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     return rows.select(key, "piece", start.alias("token_from"), end.alias("token_to"), (end - start).cast("int").alias("length"))
 
 
-def ranked(items: DataFrame, key: str) -> DataFrame:
+def ranked(items: DataFrame, key: str, histogram: dict[int, int], part: int = PART) -> DataFrame:
     """Add ``rank`` (from 0, without gaps) within ``length``, by parts.
 
-    Ranks inside a part come from a window over (length, part); what the parts before
-    hold comes from a table of at most capacity x PARTS rows, which is broadcast.
+    A length gets a part for each ``part`` texts that the histogram counts. Ranks inside
+    a part come from a window over (length, part); what the parts before hold comes from
+    a table with a row per part, which is broadcast: a row per hundred thousand
+    texts, and at least one per length.
     """
-    parted = items.withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.lit(PARTS)).cast("int"))
+    spark = items.sparkSession
+    counts = spark.createDataFrame([(length, -(-n // part)) for length, n in histogram.items()], "length int, _parts int")
+    parted = items.join(F.broadcast(counts), "length").withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.col("_parts")).cast("int")).drop("_parts")
     sizes = parted.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -133,15 +140,19 @@ def ranked(items: DataFrame, key: str) -> DataFrame:
     return parted.withColumn("_inside", inside).join(F.broadcast(offsets), ["length", "_part"]).withColumn("rank", F.col("_offset") + F.col("_inside")).drop("_part", "_inside", "_offset")
 
 
-def pack(docs: DataFrame, key: str = "doc_id", column: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", column: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, part: int = PART) -> DataFrame:
     """``(key, piece, token_from, token_to, container)``: where each text, or each piece of an oversized one, goes.
 
     Null and empty texts take no room and have no rows. Containers are numbered from
     0 without gaps and hold at most ``capacity`` tokens. Only the histogram (at most
-    ``capacity`` rows) comes to the driver.
+    ``capacity`` rows) comes to the driver. The plan made from it is broadcast; its size
+    is checked (see ``MOST_PLACES``).
     """
     items = pieces(cut_lineage(token_counts(docs, key, column, vocabulary)), key, capacity)
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = docs.sparkSession.createDataFrame(plan(histogram, capacity), "length int, first bigint, past bigint, container bigint, per bigint")
-    placed = ranked(items, key).join(F.broadcast(places), "length").where("rank >= first and rank < past")
+    plan_rows = plan(histogram, capacity)
+    if len(plan_rows) > MOST_PLACES:
+        raise ValueError(f"the plan has {len(plan_rows)} places; choose a smaller capacity")
+    places = docs.sparkSession.createDataFrame(plan_rows, "length int, first bigint, past bigint, container bigint, per bigint")
+    placed = ranked(items, key, histogram, part).join(F.broadcast(places), "length").where("rank >= first and rank < past")
     return placed.select(key, "piece", "token_from", "token_to", F.expr("container + (rank - first) div per").alias("container"))
