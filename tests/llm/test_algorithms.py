@@ -245,6 +245,44 @@ def test_split_chunks(spark):
     assert splitting.split_chunks(spark.createDataFrame([], CHUNKS)).count() == 0
 
 
+def test_lines_of_pieces_are_counted_along(spark):
+    text = "one\ntwo\n\nthree four\n" * 900
+    cut = spark.createDataFrame([(text,)], "t string").select(F.explode(splitting.pieces(F.col("t"))).alias("p")).select("p.*").collect()
+    for p in cut:
+        assert p.before == text[: p.start].count("\n") and p.inside == p.text.removesuffix("\n").count("\n") and p.length == len(p.text)
+
+
+def test_splitting_is_linear(spark):
+    """Four times the text takes about four times as long, not sixteen."""
+    import time
+
+    line = "a line of code; that goes on { like this }\n"
+
+    def seconds(n):
+        df = spark.createDataFrame([("p", "r", "r/a", line * (n // len(line)), 1, n, 0, "code", None, None, None, None)], CHUNKS)
+        start = time.perf_counter()
+        assert splitting.split_chunks(df).agg(F.sum(F.length("text"))).first()[0] >= 0.99 * n
+        return time.perf_counter() - start
+
+    seconds(100_000)
+    small = seconds(1_000_000)
+    assert seconds(4_000_000) < 5 * small + 2
+
+
+def test_reindexed(spark):
+    long = "y" * 5000
+    row = lambda p, f, t, i: (p, "r", f, t, 1, 9, i, "code", None, None, None, None)
+    rows = [row("a0", "r/a", "short", 0), row("a1", "r/a", long, 1), row("a2", "r/a", "short", 2), row("a2", "r/a", "short", 2), row("a3", "r/a", long * 2, 3), row("a4", "r/a", None, 4), row("b0", "r/b", "short", 0), row("c0", None, long, None)]
+    df = spark.createDataFrame(rows, CHUNKS)
+    got = sorted((r.point_id, r.piece, r.chunk_index, r.total_chunks) for r in splitting.reindexed(df).where("point_id <> 'c0'").collect())
+    assert [g[0] for g in got] == ["a0", "a1", "a1", "a2", "a3", "a3", "a3", "a4"]
+    assert [g[2] for g in got] == list(range(8)) and {g[3] for g in got} == {8}
+    pieces = sorted((r.point_id, r.piece, r.chunk_index) for r in splitting.split_chunks(df).where("point_id <> 'c0'").collect())
+    assert set(pieces) <= {g[:3] for g in got}
+    assert {r.chunk_index for r in splitting.reindexed(df).where("point_id = 'c0'").collect()} == {None}
+    assert splitting.reindexed(df.limit(0)).count() == 0
+
+
 # -- 8 ------------------------------------------------------------------------------
 def test_plan_places_everything_once():
     rng = random.Random(4)
@@ -270,7 +308,7 @@ def test_pack(spark):
     texts = [" ".join(["tree"] * rng.randint(1, 900)) for _ in range(300)] + ["house " * 5000, None, "", "same", "same", "\ud83d"]
     rows = [(i, t, 1, "x", 0) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows + rows[:5], "doc_id bigint, text string, rank int, container string, length int")
-    got = packing.pack(df).collect()
+    got = packing.pack(df, part=7).collect()
     counts = {r.doc_id: r.n_tokens for r in packing.token_counts(df).collect()}
     room, seen = {}, {}
     for r in got:
