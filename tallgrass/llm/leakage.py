@@ -1,149 +1,320 @@
-"""Evaluation texts inside training text, by a positional inverted index.
+"""Evaluation texts inside training text, by a stored positional inverted index.
 
 Words are the longest runs of ASCII letters and digits, without regard to case. The
-index has a posting (word, document, position) for each occurrence of the words
-that the search starts from. Of every window of ``n`` words of an item the rarest
-words in the corpus are looked up; their lists are shifted by their offset in the
-item and intersected, so that what is left are places where the item may lie on the
-document. These are then compared word by word.
+index holds every word of the training text: it is made once, in segments of some
+million words, and stored by the hash of the word; a posting list of a segment says
+where the word stands, with the words of the segment's documents numbered through.
+
+A search takes the runs of ``n`` words of the items. Of each run the two rarest words
+are looked up, their lists are shifted by their distance in the run and intersected,
+and what is left are places where the run may stand; it is then compared word by word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallgrass.session import cut_lineage
+from tallgrass.session import checkpoint_dir, cut_lineage
 
 N_WORDS = 13
-#: Rarest words of each window whose postings are intersected.
-ANCHORS = 2
-#: A proximity match needs so many rare words of an item whose distances in the
-#: document differ from those in the item by at most SLACK words from one to the next.
-NEAR_WORDS, SLACK = 5, 4
+#: Proximity matches are chains of shared runs of so many words, in which the places
+#: in the two texts drift apart by no more than SLACK words from one to the next, and
+#: which cover this share of the words on either side.
+NEAR_WORDS, SLACK, NEAR_SHARE = 5, 4, 0.8
+#: Words of a segment, parts of the index, and words of a block in which documents are looked up by place.
+SEGMENT, BUCKETS, BLOCK = 2_000_000, 64, 4096
+#: Words between two documents of a segment that no run reaches over.
+GAP = 64
 
 
-def words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), F.lit(1)), F.lower)
+def plain(text: Column) -> Column:
+    """Lower-cased text. The two characters whose lower case has an ASCII letter are no words and are blanked first."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" ")))
 
 
-def item_positions(items: DataFrame) -> DataFrame:
-    """``(item_id, at, word)`` of all items; null and empty texts have none, repeated rows count once."""
-    once = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    return once.select("item_id", F.posexplode(words(F.col("text"))).alias("at", "word"))
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(plain(text), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+# -- the index ----------------------------------------------------------------------
+def _lists(texts: list[str], keys: list, segment: int, key: str):
+    """Rows of one segment: a posting list per word, and a row per document."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    find = re.compile("[a-z0-9]+").findall
+    numbers: dict[str, int] = {}
+    parts, bases, sizes, at = [], [], [], 0
+    for t in texts:
+        found = find(t.replace("\u0130", " ").replace("\u212a", " ").lower())
+        parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found)))
+        bases.append(at)
+        sizes.append(len(found))
+        at += len(found) + GAP
+    ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    size_of, base_of = np.array(sizes, np.int64), np.array(bases, np.int64)
+    first = np.cumsum(size_of) - size_of
+    places = np.arange(len(ids), dtype=np.int64) + np.repeat(base_of - first, size_of)
+    owner = np.repeat(np.arange(len(texts)), size_of)
+    order = np.argsort(ids, kind="stable")
+    ids, places, owner = ids[order], places[order].astype(np.uint32), owner[order]
+    edges = np.flatnonzero(np.diff(ids)) + 1
+    starts, ends = np.r_[0, edges], np.r_[edges, len(ids)]
+    new_document = np.r_[True, (np.diff(ids) != 0) | (np.diff(owner) != 0)].astype(np.int64) if len(ids) else np.empty(0, np.int64)
+    frequency = np.add.reduceat(new_document, starts) if len(ids) else np.empty(0, np.int64)
+    names = list(numbers)
+    packed = [_pack(places[a:b]) for a, b in zip(starts.tolist(), ends.tolist())] if len(ids) else []
+    n, m = len(names), len(texts)
+    bucket = np.array([_bucket(w) for w in names], np.int32)
+    return pa.table(
+        {
+            "bucket": pa.concat_arrays([pa.array(bucket, pa.int32()), pa.array([-1] * m, pa.int32())]),
+            "segment": pa.array([segment] * (n + m), pa.int64()),
+            "word": pa.array(names + [None] * m, pa.string()),
+            "df": pa.array(frequency.tolist() + [None] * m, pa.int32()),
+            "postings": pa.array(packed + [None] * m, pa.binary()),
+            key: pa.array([None] * n + keys),
+            "base": pa.array([None] * n + bases, pa.int32()),
+            "size": pa.array([None] * n + sizes, pa.int32()),
+        }
+    )
+
+
+def _bucket(word: str) -> int:
+    import zlib
+
+    return zlib.crc32(word.encode()) % BUCKETS
+
+
+def _pack(places) -> bytes:
+    """Ascending places as the first one and the steps to the next, in 1, 2 or 4 bytes each, which a first byte says."""
+    import numpy as np
+
+    steps = np.diff(places)
+    most = int(steps.max()) if len(steps) else 0
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + places[:1].tobytes() + steps.astype(kind).tobytes()
+
+
+def _unpack(packed: bytes):
+    import numpy as np
+
+    first = np.frombuffer(packed, np.uint32, 1, 1)
+    steps = np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[packed[0]], -1, 5) if len(packed) > 5 else np.empty(0, np.uint8)
+    return np.cumsum(np.r_[first, steps], dtype=np.int64).astype(np.int32)
+
+
+class Index:
+    """The stored index of a collection of texts."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id") -> None:
+        self.spark, self.folder, self.key = spark, folder, key
+
+    @classmethod
+    def build(cls, docs: DataFrame, folder: str | None = None, key: str = "doc_id", column: str = "text", segment: int = SEGMENT) -> Index:
+        """Index all words of all texts, in ``folder`` or else in a new folder beside the checkpoints.
+
+        A task cuts its documents into segments of about ``segment`` words, so no word's
+        list is ever held whole, however frequent it is; documents are not cut. The lists
+        are then dealt out by the hash of their word, where parts that a frequent word
+        makes large are split. Null texts and rows without a key are not indexed.
+        """
+        spark = docs.sparkSession
+        folder = folder or os.path.join(checkpoint_dir(spark), f"postings-{uuid.uuid4().hex}")
+        kind = docs.schema[key].dataType
+        schema = T.StructType(
+            [T.StructField("bucket", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("word", T.StringType()), T.StructField("df", T.IntegerType())]
+            + [T.StructField("postings", T.BinaryType()), T.StructField(key, kind), T.StructField("base", T.IntegerType()), T.StructField("size", T.IntegerType())]
+        )
+
+        def run(batches: Iterator) -> Iterator:
+            from pyspark import TaskContext
+
+            number = TaskContext.get().partitionId() << 32
+            keys, texts, room = [], [], 0
+            for batch in batches:
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    keys.append(k)
+                    texts.append(t)
+                    room += len(t) // 4
+                    if room >= segment:
+                        yield from _lists(texts, keys, number, key).to_batches(20_000)
+                        keys, texts, room, number = [], [], 0, number + 1
+            if texts:
+                yield from _lists(texts, keys, number, key).to_batches(20_000)
+
+        rows = docs.where(F.col(column).isNotNull() & F.col(key).isNotNull()).select(key, column).mapInArrow(run, schema)
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
+        return cls(spark, folder, key)
+
+    def _rows(self, condition: str) -> DataFrame:
+        return self.spark.read.schema(f"segment bigint, word string, df int, postings binary, {self.key} {self._kind()}, base int, size int, bucket int").parquet(self.folder).where(condition)
+
+    def _kind(self) -> str:
+        return {f.name: f.dataType.simpleString() for f in self.spark.read.parquet(self.folder).schema.fields}[self.key] if self._filled() else "bigint"
+
+    def _filled(self) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return any(s.isDirectory() for s in path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path))
+
+    def documents(self) -> DataFrame:
+        """``(segment, key, base, size)``: where the words of each document stand in its segment."""
+        return self._rows("bucket = -1").select("segment", self.key, "base", "size")
+
+    def frequency(self) -> DataFrame:
+        """``(word, df)``: the number of documents that have the word. Posting lists are not read for it."""
+        return self._rows("bucket >= 0").groupBy("word").agg(F.sum("df").alias("df"))
+
+    def lists(self, wanted: DataFrame) -> DataFrame:
+        """``(word, segment, places)`` of the wanted words (column ``word``), from their parts of the index."""
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
+            for b in batches:
+                places = [_unpack(p) for p in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], names=["word", "segment", "places"])
 
-def document_words(docs: DataFrame) -> DataFrame:
-    """``(doc_id, _words)``, lower-cased before they are taken apart, which is cheaper than word by word.
+        rows = self._rows("bucket >= 0").select("word", "segment", "postings").join(wanted.select("word").distinct(), "word", "left_semi")
+        return rows.mapInArrow(run, "word string, segment bigint, places array<int>")
 
-    The two characters whose lower case has an ASCII letter are no words and are blanked first.
-    """
-    plain = F.lower(F.replace(F.replace(F.col("text"), F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" ")))
-    return docs.where("text is not null").select("doc_id", F.regexp_extract_all(plain, F.lit("([a-z0-9]+)"), F.lit(1)).alias("_words"))
+    def remove(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def anchors(positions: DataFrame, frequency: DataFrame, n: int = N_WORDS, take: int = ANCHORS, whole: bool = True) -> DataFrame:
-    """``(item_id, first, at, word, place)``: of each window the ``take`` rarest words.
-
-    ``frequency`` has ``(word, df)``; a window with a word that the corpus lacks has
-    no anchors at all, as it can't occur. Unless it need not occur ``whole``: then the
-    anchors are chosen among the words that the corpus has, and an item of fewer than
-    ``n`` words is one window.
+# -- runs of words of the items --------------------------------------------------------
+def item_runs(items: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
+    """``(item_id, at, run, first, second, lead, apart)`` of every run of ``n`` words that may occur.
+
+    ``run`` is its words with blanks between, ``first`` and ``second`` are the two
+    rarest by ``frequency``, ``lead`` is the place of the first in the run and ``apart``
+    that of the second minus that of the first. A run with a word that the corpus lacks
+    is left out. Null and empty texts have none, repeated rows count once.
+    """
+    once = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    positions = once.select("item_id", F.posexplode(words(F.col("text"))).alias("at", "word"))
+    known = positions.join(frequency, "word", "left").select("item_id", F.struct("at", "word", F.coalesce("df", F.lit(0)).alias("df")).alias("w"))
+    # An item's words are those of one text.
+    packed = known.groupBy("item_id").agg(F.array_sort(F.collect_list("w")).alias("_w")).where(F.size("_w") >= n)
+    windows = packed.select("item_id", "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - n + 1)).alias("_from"))
+    inside = windows.select("item_id", F.slice("_w", F.col("_from"), n).alias("_w")).where(F.forall("_w", lambda x: x["df"] > 0))
+    rarest = F.slice(F.array_sort(F.transform("_w", lambda x: F.struct(x["df"].alias("df"), x["at"].alias("at"), x["word"].alias("word")))), 1, 2)
+    rows = inside.select("item_id", F.col("_w")[0]["at"].alias("at"), F.array_join(F.transform("_w", lambda x: x["word"]), " ").alias("run"), rarest.alias("_r"))
+    return rows.select(
+        "item_id", "at", "run", F.col("_r")[0]["word"].alias("first"), F.col("_r")[1]["word"].alias("second"), (F.col("_r")[0]["at"] - F.col("at")).alias("lead"), (F.col("_r")[1]["at"] - F.col("_r")[0]["at"]).alias("apart")
+    )
+
+
+def occurrences(index: Index, docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
+    """``(run, doc_id, pos)``: every place at which a run stands in a document.
+
+    Each pair of rare words at a distance is intersected once, for all runs that have
+    it, and inside a segment; the shorter list is the one that is shifted. Joins are left
+    to the optimiser, which broadcasts what it knows to be small: nothing here grows
+    beyond a bound that it isn't checked against.
     """
-    known = positions.join(F.broadcast(frequency), "word", "left").select("item_id", "at", "word", F.coalesce("df", F.lit(0)).alias("df"))
-    packed = known.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "df"))).alias("_w"))
-    windows = packed.where(F.size("_w") >= (n if whole else 1)).select("item_id", "_w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1)))).alias("first"))
-    inside = windows.select("item_id", "first", F.slice("_w", F.col("first"), n).alias("_w"))
-    inside = inside.where(F.forall("_w", lambda x: x["df"] > 0)) if whole else inside.withColumn("_w", F.filter("_w", lambda x: x["df"] > 0))
-    by_rarity = F.array_sort(F.transform("_w", lambda x: F.struct(x["df"].alias("df"), x["at"].alias("at"), x["word"].alias("word"))))
-    rows = inside.select("item_id", (F.col("first") - 1).alias("first"), F.posexplode(F.slice(by_rarity, 1, take)).alias("place", "_a"))
-    return rows.select("item_id", "first", "place", F.col("_a.at").alias("at"), F.col("_a.word").alias("word"))
+    own = runs.select("run", "first", "second", "lead", "apart").distinct()
+    pairs = own.select("first", "second", "apart").distinct()
+    firsts = index.lists(pairs.select(F.col("first").alias("word"))).withColumnsRenamed({"word": "first", "places": "_a"})
+    seconds = index.lists(pairs.select(F.col("second").alias("word"))).withColumnsRenamed({"word": "second", "places": "_b"})
+    both = pairs.join(firsts, "first").join(seconds, ["second", "segment"])
+    shared = F.array_intersect("_b", F.transform("_a", lambda x: x + F.col("apart")))
+    places = both.select("first", "second", "apart", "segment", F.explode(shared).alias("_second"))
+    starts = places.join(own, ["first", "second", "apart"]).select("run", "segment", (F.col("_second") - F.col("apart") - F.col("lead")).alias("_at"))
+    blocks = index.documents().where("size > 0").select("segment", F.col(index.key).alias("doc_id"), "base", "size", F.explode(F.sequence(F.expr(f"base div {BLOCK}"), F.expr(f"(base + size - 1) div {BLOCK}"))).alias("_block"))
+    placed = starts.withColumn("_block", F.expr(f"cast(_at div {BLOCK} as bigint)")).join(blocks, ["segment", "_block"])
+    candidates = cut_lineage(placed.where(f"_at >= base and _at + {n} <= base + size").select("doc_id", (F.col("_at") - F.col("base")).alias("pos"), "run").distinct())
+    # Only documents with candidates are read again; their runs are compared as text.
+    by_doc = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "run")).alias("_c"))
+    texts = docs.select(F.col(index.key).alias("doc_id"), F.col("text").alias("_text")).join(by_doc, "doc_id").select("doc_id", "_c", words(F.col("_text")).alias("_words"))
+    same = F.filter("_c", lambda c: F.array_join(F.slice("_words", c["pos"] + 1, n), " ") == c["run"])
+    return texts.select("doc_id", F.explode(same).alias("_o")).select("_o.run", "doc_id", "_o.pos")
+
+
+def matches(docs: DataFrame, items: DataFrame, n: int = N_WORDS, index: Index | None = None) -> DataFrame:
+    """``(item_id, doc_id)``: the documents that have at least ``n`` consecutive words of an item, once each.
+
+    Null and empty texts match nothing, nor do items of fewer than ``n`` words. An
+    ``index`` of ``docs`` may be given; else one is built and removed again.
+    """
+    docs = docs.select("doc_id", "text")
+    with _index(docs, index) as own:
+        runs = cut_lineage(item_runs(items, own.frequency(), n))
+        found = occurrences(own, docs, runs, n)
+    return found.select("run", "doc_id").distinct().join(runs.select("item_id", "run"), "run").select("item_id", "doc_id").distinct()
 
 
-def _frequency(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(word, df)`` of the items' words over all documents."""
-    tokens = document_words(docs).select(F.explode(F.array_distinct("_words")).alias("word"))
-    return tokens.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+class _index:
+    """The given index, or a new one that is removed at the end. What is read from it must be cut before that."""
 
+    def __init__(self, docs: DataFrame, index: Index | None) -> None:
+        self.docs, self.given = docs, index
 
-def postings(docs: DataFrame, starts: DataFrame) -> DataFrame:
-    """``(item_id, at, doc_id, pos)``: where the words of the anchors stand in the documents."""
-    tokens = document_words(docs).select("doc_id", F.posexplode("_words").alias("pos", "word"))
-    return tokens.join(F.broadcast(starts), "word").select("item_id", "at", "doc_id", "pos")
+    def __enter__(self) -> Index:
+        self.index = self.given or Index.build(self.docs)
+        return self.index
 
+    def __exit__(self, *_) -> None:
+        if self.given is None:
+            self.index.remove()
 
-def matches(docs: DataFrame, items: DataFrame, n: int = N_WORDS, slack: int | None = None) -> DataFrame:
-    """``(item_id, doc_id, kind)``: each item found in each document, once.
+
+def passages(docs: DataFrame, items: DataFrame, n: int = N_WORDS, index: Index | None = None, near: int = NEAR_WORDS, slack: int = SLACK, share: float = NEAR_SHARE) -> DataFrame:
+    """``(item_id, doc_id, kind, item_from, item_to, doc_from, doc_to, similarity)``: the best match of each item in each document.
 
     ``kind`` is 'phrase' if at least ``n`` consecutive words of the item stand in the
-    document, and, if ``slack`` is given, 'proximity' if only ``NEAR_WORDS`` of its rare
-    words stand there close together in about the item's order. Null and empty texts
-    match nothing; items of fewer than ``n`` words match no phrase.
-
-    The items are held-out tests: their words are broadcast, which is checked (see
-    ``bounded``). Documents are never broadcast. A posting list is shifted by the
-    offset of its word in an item and intersected with the others by (item, document,
-    shift), so no list is held in one task.
+    document, else 'proximity': a passage of at least ``n`` words of the item is there
+    with changes. For that, runs of ``near`` words that both have are chained: in the
+    same order, with no more than ``slack`` words left out, put in or replaced between
+    one and the next. The similarity is the share of words inside such runs, of the longer one
+    of the two stretches, and must reach ``share``. Items share turns of phrase; so more
+    than half of a proximity match must be places of the document that no other item
+    covers by a longer chain. Words count from 0, ends are included.
+
+    Chains are made of the matches of one item in one document, so no window is larger
+    than two texts allow.
     """
     docs = docs.select("doc_id", "text")
-    positions = bounded(item_positions(items))
-    frequency = cut_lineage(_frequency(docs, positions.select("word").distinct()))
-    take = ANCHORS if slack is None else NEAR_WORDS
-    starts = cut_lineage(anchors(positions, frequency, n, take, whole=slack is None).select("item_id", "at", "word").distinct())
-    hits = postings(docs, starts).select("item_id", "doc_id", "at", (F.col("pos") - F.col("at")).alias("shift"))
-    on_line = hits.groupBy("item_id", "doc_id", "shift").agg(F.count(F.lit(1)).alias("_c"), F.min("at").alias("low"), F.max("at").alias("high"))
-    # All anchors of some window lie on the line; if there are no more than these, they lie within a window.
-    lines = on_line.where((F.col("_c") >= take) & ((F.col("_c") > take) | (F.col("high") - F.col("low") < n)))
-    phrases = _compare(docs, lines, positions, n)
-    if slack is None:
-        return phrases
-    phrases = cut_lineage(phrases)
-    near = _near(hits, slack).join(phrases.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
-    return phrases.unionByName(near.withColumn("kind", F.lit("proximity")))
-
-
-def bounded(positions: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """The positions of the items, after a check that they are few enough to be sent to every task."""
-    cut = cut_lineage(positions)
-    found = cut.count()
-    if found > most:
-        raise ValueError(f"the items have {found} words; at most {most} can be searched at once, so pass them in parts")
-    return cut
-
-
-def _compare(docs: DataFrame, lines: DataFrame, positions: DataFrame, n: int) -> DataFrame:
-    """Lines on which ``n`` words in a row agree, as distinct (item, document) pairs.
-
-    Only documents with lines are read again. Of each line the stretch of the document
-    around its anchors is cut out in the document's own row, so that what is compared
-    with the item is short. The lines of a document are bounded by its length.
-    """
-    texts = positions.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("_w"))
-    texts = texts.select("item_id", F.transform("_w", lambda x: x["word"]).alias("_item"))
-    by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "low", "high")).alias("_lines"))
-    rows = docs.join(by_doc, "doc_id").select("doc_id", "_lines", words(F.col("text")).alias("_words"))
-
-    def cut(line: Column) -> Column:
-        begin = F.greatest(F.lit(0), line["low"] - n + 1, -line["shift"])
-        stretch = F.slice("_words", begin + line["shift"] + 1, line["high"] + n - begin)
-        return F.struct(line["item_id"].alias("item_id"), begin.alias("begin"), stretch.alias("stretch"))
-
-    found = rows.select("doc_id", F.explode(F.transform("_lines", cut)).alias("_l")).join(F.broadcast(texts), F.col("_l.item_id") == F.col("item_id"))
-    theirs = F.slice("_item", F.col("_l.begin") + 1, F.size("_l.stretch"))
-    equal = F.zip_with("_l.stretch", theirs, lambda a, b: a.eqNullSafe(b))
-    marks = F.array_join(F.transform(equal, lambda same: F.when(same, "1").otherwise("0")), "")
-    return found.where(F.contains(marks, F.lit("1" * n))).select("item_id", "doc_id").distinct().withColumn("kind", F.lit("phrase"))
-
-
-def _near(hits: DataFrame, slack: int, least: int = NEAR_WORDS) -> DataFrame:
-    """(item, document) pairs with a run of nearby shifts that has enough anchors.
-
-    Shifts are sorted inside (item, document), which the document's length bounds;
-    neighbours in a run differ by at most ``slack``.
-    """
-    w = Window.partitionBy("item_id", "doc_id").orderBy("shift", "at")
-    gap = F.when(F.col("shift") - F.lag("shift").over(w) > slack, 1).otherwise(0)
-    runs = hits.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    full = runs.groupBy("item_id", "doc_id", "_run").agg(F.countDistinct("at").alias("_places"), (F.max("at") - F.min("at")).alias("_span"))
-    # Dense, however long: at least a quarter of the words of the stretch, as in a copy with changes.
-    return full.where((F.col("_places") >= least) & (4 * F.col("_places") > F.col("_span"))).select("item_id", "doc_id").distinct()
+    with _index(docs, index) as own:
+        runs = cut_lineage(item_runs(items, own.frequency(), near))
+        found = occurrences(own, docs, runs, near)
+    hits = found.distinct().join(runs.select("item_id", "at", "run"), "run").select("item_id", "doc_id", "at", "pos", (F.col("pos") - F.col("at")).alias("shift"))
+    # Runs in a row on one diagonal make a phrase.
+    row = F.col("at") - F.row_number().over(Window.partitionBy("item_id", "doc_id", "shift").orderBy("at"))
+    straight = hits.withColumn("_row", row).groupBy("item_id", "doc_id", "shift", "_row").agg(F.min("at").alias("item_from"), (F.max("at") + near - 1).alias("item_to"))
+    longest = F.max(F.struct((F.col("item_to") - F.col("item_from") + 1).alias("words"), "item_from", "item_to", "shift")).alias("b")
+    phrases = straight.where(F.col("item_to") - F.col("item_from") + 1 >= n).groupBy("item_id", "doc_id").agg(longest)
+    phrases = phrases.select("item_id", "doc_id", F.lit("phrase").alias("kind"), "b.item_from", "b.item_to", (F.col("b.item_from") + F.col("b.shift")).alias("doc_from"), (F.col("b.item_to") + F.col("b.shift")).alias("doc_to"), F.lit(1.0).alias("similarity"))
+    pair = Window.partitionBy("item_id", "doc_id")
+    # A band: diagonals that are no more than ``slack`` apart.
+    by_shift = pair.orderBy("shift", "at")
+    wide = F.coalesce((F.col("shift") - F.lag("shift").over(by_shift) > slack).cast("int"), F.lit(0))
+    banded = hits.withColumn("_wide", wide).withColumn("_band", F.sum("_wide").over(by_shift.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("item_id", "doc_id", "_band").orderBy("at", "pos")
+    step = F.col("at") - F.lag("at").over(along)
+    drift = F.abs(F.col("shift") - F.lag("shift").over(along))
+    follows = (step > 0) & (step <= near + slack) & (drift <= slack) & (F.col("pos") > F.lag("pos").over(along))
+    rows = banded.withColumns({"_new": F.coalesce((~follows).cast("int"), F.lit(1)), "_step": step})
+    rows = rows.withColumn("_chain", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    covered = F.when(F.col("_new") == 1, near).otherwise(F.least("_step", F.lit(near)))
+    # A place belongs to the items whose chains cover most; the others only share common turns of phrase with these.
+    rows = rows.withColumn("_covered", F.sum(covered).over(Window.partitionBy("item_id", "doc_id", "_band", "_chain")))
+    rows = rows.withColumn("_best", F.max("_covered").over(Window.partitionBy("doc_id", "pos")))
+    chains = rows.groupBy("item_id", "doc_id", "_band", "_chain").agg(
+        F.max("_covered").alias("_covered"), F.avg((F.col("_covered") == F.col("_best")).cast("int")).alias("_own"),
+        F.min("at").alias("item_from"), (F.max("at") + near - 1).alias("item_to"), F.min("pos").alias("doc_from"), (F.max("pos") + near - 1).alias("doc_to"),
+    )
+    longer = F.greatest(F.col("item_to") - F.col("item_from"), F.col("doc_to") - F.col("doc_from")) + 1
+    good = chains.withColumn("similarity", F.round(F.col("_covered") / longer, 4)).where((F.col("item_to") - F.col("item_from") + 1 >= n) & (F.col("similarity") >= share))
+    best = good.where("_own > 0.5").groupBy("item_id", "doc_id").agg(F.max(F.struct("_covered", "similarity", "item_from", "item_to", "doc_from", "doc_to")).alias("b"))
+    changed = best.join(phrases.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+    return phrases.unionByName(changed.select("item_id", "doc_id", F.lit("proximity").alias("kind"), *[f"b.{c}" for c in ("item_from", "item_to", "doc_from", "doc_to", "similarity")]))

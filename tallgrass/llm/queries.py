@@ -174,14 +174,14 @@ select distinct item_id, doc_id from g join dg using (gram)""")
 def p9_found(spark, d):
     from tallgrass.llm import leakage
 
-    return leakage.matches(read_spread(spark, d, "documents"), read_table(spark, d, "eval_items")).select("item_id", "doc_id")
+    return leakage.matches(read_spread(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
 @query()
 def p9_matches(spark, d):
     from tallgrass.llm import leakage
 
-    return leakage.matches(read_spread(spark, d, "documents"), read_table(spark, d, "eval_items"), slack=leakage.SLACK)
+    return leakage.passages(read_spread(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
 # -- 10: personal information ---------------------------------------------------

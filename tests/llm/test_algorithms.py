@@ -361,28 +361,70 @@ def test_leaks_of_empty_tables(spark):
     assert leakage.matches(docs, items.limit(0)).count() == 0
 
 
-def test_proximity(spark):
-    item = "the quartz lantern beside an amber violin makes seven copper dragons hum quietly under winter bridges"
-    near = item.replace("beside an", "that stands beside an").replace("hum quietly", "hum very quietly")
-    docs = spark.createDataFrame([(1, item), (2, near), (3, "the quartz is an amber thing")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    got = {(r.doc_id, r.kind) for r in leakage.matches(docs, items, slack=leakage.SLACK).collect()}
-    assert got == {(1, "phrase"), (2, "proximity")}
+def test_index_holds_every_word(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of"] + [f"w{i}" for i in range(300)]) for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (None, "lost words")], "doc_id bigint, text string")
+    index = leakage.Index.build(docs, segment=2000)
+    want = {}
+    for i, t in enumerate(texts):
+        for pos, w in enumerate(t.split()):
+            want.setdefault(w, set()).add((i, pos))
+    where = {}
+    for r in index.documents().collect():
+        where.setdefault(r.segment, []).append((r.base, r.size, r.doc_id))
+    assert len(where) > 4
+    got = {}
+    for r in index.lists(spark.createDataFrame([(w,) for w in want], "word string")).collect():
+        for p in r.places:
+            base, doc = next((b, d) for b, n, d in where[r.segment] if b <= p < b + n)
+            got.setdefault(r.word, set()).add((doc, p - base))
+    assert got == want
+    assert {r.word: r.df for r in index.frequency().collect()} == {w: len({d for d, _ in x}) for w, x in want.items()}
+    items = spark.createDataFrame([(1, " ".join(texts[7].split()[:20]))], "item_id bigint, text string")
+    assert [tuple(r) for r in leakage.matches(docs, items, index=index).collect()] == [(1, 7)]
+    index.remove()
 
 
-def test_proximity_of_changed_copies(spark):
-    text = " ".join(f"w{i}" for i in range(40))
-    # Every twelfth word is replaced in the only copy, so the corpus lacks the item's own.
-    changed = " ".join(f"other{i}" if i % 12 == 5 else f"w{i}" for i in range(40))
-    docs = spark.createDataFrame([(1, changed), (2, "a b s0 s1 s2 s3 s4 s5 c"), (3, "w1 w9 w30 s0 s3")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(7, text), (8, "s0 s1 s2 s3 s4 s5 gone"), (9, "gone too"), (10, " ".join(f"w{i}" for i in range(6, 17)) + " other17 w18 gone")], "item_id bigint, text string")
-    got = {(r.item_id, r.doc_id, r.kind) for r in leakage.matches(docs, items, slack=leakage.SLACK).collect()}
-    assert got == {(7, 1, "proximity"), (8, 2, "proximity"), (10, 1, "phrase")}
+def test_packed_places():
+    for places in ([5], [0, 1, 2], [3, 300, 70_000, 70_001, 5_000_000], list(range(0, 60_000, 7))):
+        assert leakage._unpack(leakage._pack(np.array(places, np.uint32))).tolist() == places
 
 
-def test_too_many_items_are_refused(spark):
-    with pytest.raises(ValueError):
-        leakage.bounded(spark.range(10), most=5)
+def test_proximity(spark):
+    """Planted passages with changes are found, each by its own item, and texts that only share common turns aren't."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    turn = "a reader should pick the one whose count was written last and say why".split()
+    items = [[*rng.sample(vocabulary, 15), *turn, *rng.sample(vocabulary, 25)] for _ in range(40)]
+    docs, planted = [], set()
+    for d in range(200):
+        body = [rng.choice(vocabulary) for _ in range(60)] + turn[:12]
+        if d % 4 == 0:
+            i = rng.randrange(40)
+            part = items[i][15 + len(turn) - 5 :] if d % 8 else list(items[i])
+            part = list(part)
+            for at in range(7, len(part) - 5, 10):
+                change = rng.randrange(3)
+                part[at : at + 1] = [] if change == 0 else ["altered"] if change == 1 else [part[at], "very"]
+            body[20:20] = part
+            planted.add((i, d))
+        docs.append((d, ", ".join(body)))
+    got = leakage.passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")).collect()
+    near = {(r.item_id, r.doc_id) for r in got if r.kind == "proximity"}
+    phrases = {(r.item_id, r.doc_id) for r in got if r.kind == "phrase"}
+    words = {i: set(zip(*[t[k:] for k in range(13)])) for i, t in enumerate(items)}
+    in_doc = {d: set(zip(*[b.split(", ")[k:] for k in range(13)])) for d, b in docs}
+    assert phrases == {(i, d) for i in words for d in in_doc if words[i] & in_doc[d]}
+    assert near <= planted and len((near | phrases) & planted) == len(planted) == 50 and len(near) > 40
+    assert all(r.similarity >= 0.8 and r.item_to - r.item_from >= 12 for r in got)
+
+
+def test_passages_of_odd_input(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "word " * 300)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "word " * 20), (2, None), (3, "a b"), (1, "word " * 20)], "item_id bigint, text string")
+    assert [(r.item_id, r.doc_id, r.kind) for r in leakage.passages(docs, items).collect()] == [(1, 4, "phrase")]
+    assert leakage.passages(docs.limit(0), items).count() == 0 and leakage.passages(docs, items.limit(0)).count() == 0
 
 
 def test_words_of_special_letters(spark):
