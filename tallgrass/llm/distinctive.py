@@ -46,27 +46,28 @@ def residuals(records: DataFrame, key: str, column: str = "sparse", min_value: f
 
 
 def _scored(records: DataFrame, key: str, column: str, min_value: float | None) -> DataFrame:
-    """The residuals with the margins that they come from: ``_row``, ``_column``, ``_all`` and ``_largest`` (the largest count).
+    """The residuals with the margins that they come from: ``_row``, ``_column``, ``_all`` and ``_largest`` (the largest row).
 
     The frequencies are an aggregate that combines on the map side. They are joined
     to the terms in two ways: those of hot terms by broadcast, the rest by a shuffle in
     which no key is heavy. A term is hot if it is in more than a ``MOST_HOT``-th of all
     (record, term) cells, so there are fewer than ``MOST_HOT`` of them whatever the
-    data, about 10 MB.
+    data, about 10 MB. All uses of the frequencies ask for the same columns, so that they
+    are worked out once.
     """
     rows = counted_terms(records, key, column)
     exploded = rows.select(key, "_row", F.explode("terms").alias("_t"))
     cells = exploded.select(key, "_row", F.col("_t.term").alias("term"), F.col("_t.value").alias("value"), F.round(F.expm1("_t.value")).alias("n"))
-    columns = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("_column"), F.max("n").alias("_most"))
-    # Totals of the columns are those of the rows, so that the records aren't read once more for them.
-    whole = columns.agg(F.sum("df").alias("_cells"), F.sum("_column").alias("_all"), F.max("_most").alias("_largest"))
-    stats = columns.drop("_most").crossJoin(F.broadcast(whole))  # one row
+    columns = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("_column"))
+    whole = F.broadcast(rows.agg(F.sum("_row").alias("_all"), F.max("_row").alias("_largest"), F.sum(F.size("terms")).alias("_cells")))  # one row
     hot = F.col("df") > F.greatest(F.col("_cells") / MOST_HOT, F.lit(HOT_AT_LEAST))
+    flagged = columns.crossJoin(whole).select("term", "df", "_column", hot.alias("_hot"))
     wanted = cells if min_value is None else cells.where(F.col("value") > min_value)
-    flagged = stats.withColumn("_hot", hot).drop("_cells")
-    heavy = wanted.join(F.broadcast(flagged.where("_hot")), "term")
-    light = wanted.join(F.broadcast(flagged.where("_hot").select("term")), "term", "left_anti").join(flagged.where("not _hot").hint("shuffle_hash"), "term")
-    return heavy.unionByName(light).drop("_hot").withColumn("score", residual(F.col("n"), F.col("_row"), F.col("_column"), F.col("_all")))
+    marked = wanted.join(F.broadcast(flagged.where("_hot").drop("_hot")), "term", "left")
+    heavy = marked.where("df is not null and _column is not null")
+    light = marked.where("df is null and _column is null").drop("df", "_column").join(flagged.where("not _hot").drop("_hot").hint("shuffle_hash"), "term")
+    both = heavy.unionByName(light).crossJoin(whole.drop("_cells"))
+    return both.withColumn("score", residual(F.col("n"), F.col("_row"), F.col("_column"), F.col("_all")))
 
 
 def residual(n: Column, row: Column, column: Column, total: Column) -> Column:
@@ -79,7 +80,7 @@ def residual(n: Column, row: Column, column: Column, total: Column) -> Column:
 def least_residual(n: Column, row: Column, total: Column, largest: Column, most: int) -> Column:
     """What a cell of count ``n`` scores at least if its term is in no more than ``most`` records.
 
-    The other cells of the term hold at most ``largest`` each, which bounds the column's
+    The other cells of the term hold at most a ``largest`` row each, which bounds the column's
     total, and the residual falls as that total grows up to half of all. A column that
     may hold more than half has no bound.
     """
