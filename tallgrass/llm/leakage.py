@@ -29,6 +29,8 @@ N_WORDS = 13
 NEAR_WORDS, SLACK, NEAR_SHARE = 5, 4, 0.8
 #: Words of a segment, parts of the index, and words of a block in which documents are looked up by place.
 SEGMENT, BUCKETS, BLOCK = 2_000_000, 64, 4096
+#: Rows that a join may broadcast, of a few dozen bytes each; beyond this number it shuffles.
+BROADCAST = 500_000
 #: Words between two documents of a segment that no run reaches over.
 GAP = 64
 
@@ -65,27 +67,27 @@ def _lists(texts: list[str], keys: list, segment: int, key: str):
     places = np.arange(len(ids), dtype=np.int64) + np.repeat(base_of - first, size_of)
     owner = np.repeat(np.arange(len(texts)), size_of)
     order = np.argsort(ids, kind="stable")
-    ids, places, owner = ids[order], places[order].astype(np.uint32), owner[order]
-    edges = np.flatnonzero(np.diff(ids)) + 1
-    starts, ends = np.r_[0, edges], np.r_[edges, len(ids)]
-    new_document = np.r_[True, (np.diff(ids) != 0) | (np.diff(owner) != 0)].astype(np.int64) if len(ids) else np.empty(0, np.int64)
+    ids, places, owner = ids[order], places[order], owner[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1] if len(ids) else np.empty(0, np.int64)
+    new_document = (np.r_[True, (np.diff(ids) != 0) | (np.diff(owner) != 0)] if len(ids) else np.empty(0, bool)).astype(np.int64)
     frequency = np.add.reduceat(new_document, starts) if len(ids) else np.empty(0, np.int64)
-    names = list(numbers)
-    packed = [_pack(places[a:b]) for a, b in zip(starts.tolist(), ends.tolist())] if len(ids) else []
+    names = np.array(list(numbers), object)
     n, m = len(names), len(texts)
-    bucket = np.array([_bucket(w) for w in names], np.int32)
+    order, packed = _pack(places, starts)
+    names = names[order].tolist()
+    nothing = lambda kind: pa.nulls(m, kind)
     return pa.table(
         {
-            "bucket": pa.concat_arrays([pa.array(bucket, pa.int32()), pa.array([-1] * m, pa.int32())]),
+            "bucket": pa.array([_bucket(w) for w in names] + [-1] * m, pa.int32()),
             "segment": pa.array([segment] * (n + m), pa.int64()),
             "word": pa.array(names + [None] * m, pa.string()),
-            "df": pa.array(frequency.tolist() + [None] * m, pa.int32()),
-            "postings": pa.array(packed + [None] * m, pa.binary()),
+            "df": pa.chunked_array([pa.array(frequency[order].astype(np.int32)), nothing(pa.int32())]),
+            "postings": pa.chunked_array([packed, nothing(pa.binary())]),
             key: pa.array([None] * n + keys),
             "base": pa.array([None] * n + bases, pa.int32()),
             "size": pa.array([None] * n + sizes, pa.int32()),
         }
-    )
+    ).combine_chunks()
 
 
 def _bucket(word: str) -> int:
@@ -94,22 +96,51 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
 
-def _pack(places) -> bytes:
-    """Ascending places as the first one and the steps to the next, in 1, 2 or 4 bytes each, which a first byte says."""
+def _pack(places, starts):
+    """The order in which the lists come out, and the lists as binaries.
+
+    A list is its first place in 4 bytes and the steps to the next ones in 1, 2 or 4
+    bytes each, which a byte before says.
+    """
     import numpy as np
+    import pyarrow as pa
 
-    steps = np.diff(places)
-    most = int(steps.max()) if len(steps) else 0
-    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + places[:1].tobytes() + steps.astype(kind).tobytes()
+    places = np.asarray(places, np.int64)
+    ends = np.r_[starts[1:], len(places)].astype(np.int64) if len(starts) else np.empty(0, np.int64)
+    steps = np.diff(places, prepend=0)
+    steps[starts] = 0
+    most = np.maximum.reduceat(steps, starts) if len(starts) else np.empty(0, np.int64)
+    width = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4))
+    orders, pieces = [], []
+    for w in (1, 2, 4):
+        which = np.flatnonzero(width == w)
+        if not len(which):
+            continue
+        count = (ends - starts)[which] - 1
+        size = 5 + count * w
+        offsets = np.r_[0, np.cumsum(size)]
+        out = np.zeros(offsets[-1], np.uint8)
+        out[offsets[:-1]] = w
+        for k in range(4):
+            out[offsets[:-1] + 1 + k] = (places[starts[which]] >> 8 * k) & 255
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        values = steps[np.repeat(starts[which] + 1, count) + inside]
+        at = np.repeat(offsets[:-1] + 5, count) + inside * w
+        for k in range(w):
+            out[at + k] = (values >> 8 * k) & 255
+        orders.append(which)
+        pieces.append(pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)]))
+    return (np.concatenate(orders), pa.concat_arrays(pieces)) if orders else (np.empty(0, np.int64), pa.array([], pa.binary()))
 
 
 def _unpack(packed: bytes):
     import numpy as np
 
-    first = np.frombuffer(packed, np.uint32, 1, 1)
-    steps = np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[packed[0]], -1, 5) if len(packed) > 5 else np.empty(0, np.uint8)
-    return np.cumsum(np.r_[first, steps], dtype=np.int64).astype(np.int32)
+    first = np.frombuffer(packed, np.uint32, 1, 1).astype(np.int64)
+    if len(packed) == 5:
+        return first
+    steps = np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[packed[0]], -1, 5)
+    return np.cumsum(np.concatenate([first, steps]), dtype=np.int64)
 
 
 class Index:
@@ -169,40 +200,39 @@ class Index:
         """``(segment, key, base, size)``: where the words of each document stand in its segment."""
         return self._rows("bucket = -1").select("segment", self.key, "base", "size")
 
-    def frequency(self) -> DataFrame:
-        """``(word, df)``: the number of documents that have the word. Posting lists are not read for it."""
-        return self._rows("bucket >= 0").groupBy("word").agg(F.sum("df").alias("df"))
-
-    def lists(self, wanted: DataFrame) -> DataFrame:
-        """``(word, segment, places)`` of the wanted words (column ``word``), from their parts of the index."""
-
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            for b in batches:
-                places = [_unpack(p) for p in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], names=["word", "segment", "places"])
+    def lists(self) -> DataFrame:
+        """``(word, segment, df, postings)``: the lists of all words; a filter or join on the word is for the caller."""
+        return self._rows("bucket >= 0").select("word", "segment", "df", "postings")
 
-        rows = self._rows("bucket >= 0").select("word", "segment", "postings").join(wanted.select("word").distinct(), "word", "left_semi")
-        return rows.mapInArrow(run, "word string, segment bigint, places array<int>")
+    def frequency(self, wanted: DataFrame) -> DataFrame:
+        """``(word, df)`` of the wanted words: the number of documents that have them. Posting lists are not read for it."""
+        return self.lists().select("word", "df").join(wanted.select("word"), "word", "left_semi").groupBy("word").agg(F.sum("df").alias("df"))
 
     def remove(self) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast if the number of rows says that it is small; else the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST else df
+
+
 # -- runs of words of the items --------------------------------------------------------
-def item_runs(items: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
+def item_runs(items: DataFrame, index: Index, n: int) -> DataFrame:
     """``(item_id, at, run, first, second, lead, apart)`` of every run of ``n`` words that may occur.
 
-    ``run`` is its words with blanks between, ``first`` and ``second`` are the two
-    rarest by ``frequency``, ``lead`` is the place of the first in the run and ``apart``
+    ``run`` is its words with blanks between, ``first`` and ``second`` are the two that
+    the fewest documents have, ``lead`` is the place of the first in the run and ``apart``
     that of the second minus that of the first. A run with a word that the corpus lacks
     is left out. Null and empty texts have none, repeated rows count once.
     """
     once = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    positions = once.select("item_id", F.posexplode(words(F.col("text"))).alias("at", "word"))
-    known = positions.join(frequency, "word", "left").select("item_id", F.struct("at", "word", F.coalesce("df", F.lit(0)).alias("df")).alias("w"))
+    positions = cut_lineage(once.select("item_id", F.posexplode(words(F.col("text"))).alias("at", "word")))
+    vocabulary = cut_lineage(positions.select("word").distinct())
+    size = vocabulary.count()
+    frequency = index.frequency(_small(vocabulary, size))
+    known = positions.join(_small(frequency, size), "word", "left").select("item_id", F.struct("at", "word", F.coalesce("df", F.lit(0)).alias("df")).alias("w"))
     # An item's words are those of one text.
     packed = known.groupBy("item_id").agg(F.array_sort(F.collect_list("w")).alias("_w")).where(F.size("_w") >= n)
     windows = packed.select("item_id", "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - n + 1)).alias("_from"))
@@ -214,30 +244,48 @@ def item_runs(items: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
     )
 
 
+def _starts(batches: Iterator) -> Iterator:
+    """Places at which a run may start, from rows of two posting lists, their distance and the leads of their runs."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        segments, found = [], []
+        for segment, apart, leads, first, second in zip(*(c.to_pylist() for c in b.columns)):
+            both = np.intersect1d(_unpack(first), _unpack(second) - apart, assume_unique=True)
+            if len(both):
+                at = (both[:, None] - np.array(leads)[None, :]).ravel()
+                segments.append(np.full(len(at), segment))
+                found.append(at)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(segments), pa.int64()), pa.array(np.concatenate(found), pa.int64())], names=["segment", "_at"])
+
+
 def occurrences(index: Index, docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
     """``(run, doc_id, pos)``: every place at which a run stands in a document.
 
-    Each pair of rare words at a distance is intersected once, for all runs that have
-    it, and inside a segment; the shorter list is the one that is shifted. Joins are left
-    to the optimiser, which broadcasts what it knows to be small: nothing here grows
-    beyond a bound that it isn't checked against.
+    Each pair of rare words at a distance is intersected once for all runs that have
+    it, inside a segment. What comes out are places and not (place, run) rows, so a turn
+    of phrase that many runs share costs no more than its places; which run stands there
+    is told by its words. Pairs are broadcast only behind a count of them.
     """
-    own = runs.select("run", "first", "second", "lead", "apart").distinct()
-    pairs = own.select("first", "second", "apart").distinct()
-    firsts = index.lists(pairs.select(F.col("first").alias("word"))).withColumnsRenamed({"word": "first", "places": "_a"})
-    seconds = index.lists(pairs.select(F.col("second").alias("word"))).withColumnsRenamed({"word": "second", "places": "_b"})
-    both = pairs.join(firsts, "first").join(seconds, ["second", "segment"])
-    shared = F.array_intersect("_b", F.transform("_a", lambda x: x + F.col("apart")))
-    places = both.select("first", "second", "apart", "segment", F.explode(shared).alias("_second"))
-    starts = places.join(own, ["first", "second", "apart"]).select("run", "segment", (F.col("_second") - F.col("apart") - F.col("lead")).alias("_at"))
+    pairs = cut_lineage(runs.groupBy("first", "second", "apart").agg(F.collect_set("lead").alias("leads")))
+    size = pairs.count()
+    lists = index.lists()
+    firsts = lists.join(_small(pairs.withColumnRenamed("first", "word"), size), "word").select("second", "segment", "apart", "leads", F.col("postings").alias("_a"))
+    seconds = lists.join(_small(pairs.select(F.col("second").alias("word")).distinct(), size), "word", "left_semi").select(F.col("word").alias("second"), "segment", F.col("postings").alias("_b"))
+    both = firsts.join(seconds, ["second", "segment"]).select("segment", "apart", "leads", "_a", "_b")
+    starts = both.mapInArrow(_starts, "segment bigint, _at bigint").distinct()
     blocks = index.documents().where("size > 0").select("segment", F.col(index.key).alias("doc_id"), "base", "size", F.explode(F.sequence(F.expr(f"base div {BLOCK}"), F.expr(f"(base + size - 1) div {BLOCK}"))).alias("_block"))
-    placed = starts.withColumn("_block", F.expr(f"cast(_at div {BLOCK} as bigint)")).join(blocks, ["segment", "_block"])
-    candidates = cut_lineage(placed.where(f"_at >= base and _at + {n} <= base + size").select("doc_id", (F.col("_at") - F.col("base")).alias("pos"), "run").distinct())
-    # Only documents with candidates are read again; their runs are compared as text.
-    by_doc = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "run")).alias("_c"))
-    texts = docs.select(F.col(index.key).alias("doc_id"), F.col("text").alias("_text")).join(by_doc, "doc_id").select("doc_id", "_c", words(F.col("_text")).alias("_words"))
-    same = F.filter("_c", lambda c: F.array_join(F.slice("_words", c["pos"] + 1, n), " ") == c["run"])
-    return texts.select("doc_id", F.explode(same).alias("_o")).select("_o.run", "doc_id", "_o.pos")
+    placed = starts.withColumn("_block", F.expr(f"_at div {BLOCK}")).join(blocks, ["segment", "_block"]).where(f"_at >= base and _at + {n} <= base + size")
+    # The places of a document are no more than its words.
+    by_doc = cut_lineage(placed.groupBy("doc_id").agg(F.collect_set((F.col("_at") - F.col("base")).cast("int")).alias("_places")))
+    # Only documents with places are read again. Eight places are counted as a row.
+    n_docs, n_places = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_places")), F.lit(0))).first()
+    texts = docs.select(F.col(index.key).alias("doc_id"), F.col("text").alias("_text")).join(_small(by_doc, n_docs + n_places // 8), "doc_id").select("doc_id", "_places", words(F.col("_text")).alias("_words"))
+    there = F.transform("_places", lambda p: F.struct(p.alias("pos"), F.array_join(F.slice("_words", p + 1, n), " ").alias("run")))
+    rows = texts.select("doc_id", F.explode(there).alias("_o")).select("_o.run", "doc_id", "_o.pos")
+    return rows.join(_small(runs.select("run").distinct(), runs.count()), "run", "left_semi")
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = N_WORDS, index: Index | None = None) -> DataFrame:
@@ -248,7 +296,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = N_WORDS, index: Index |
     """
     docs = docs.select("doc_id", "text")
     with _index(docs, index) as own:
-        runs = cut_lineage(item_runs(items, own.frequency(), n))
+        runs = cut_lineage(item_runs(items, own, n))
         found = occurrences(own, docs, runs, n)
     return found.select("run", "doc_id").distinct().join(runs.select("item_id", "run"), "run").select("item_id", "doc_id").distinct()
 
@@ -285,7 +333,7 @@ def passages(docs: DataFrame, items: DataFrame, n: int = N_WORDS, index: Index |
     """
     docs = docs.select("doc_id", "text")
     with _index(docs, index) as own:
-        runs = cut_lineage(item_runs(items, own.frequency(), near))
+        runs = cut_lineage(item_runs(items, own, near))
         found = occurrences(own, docs, runs, near)
     hits = found.distinct().join(runs.select("item_id", "at", "run"), "run").select("item_id", "doc_id", "at", "pos", (F.col("pos") - F.col("at")).alias("shift"))
     # Runs in a row on one diagonal make a phrase.

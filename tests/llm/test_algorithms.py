@@ -375,20 +375,24 @@ def test_index_holds_every_word(spark):
         where.setdefault(r.segment, []).append((r.base, r.size, r.doc_id))
     assert len(where) > 4
     got = {}
-    for r in index.lists(spark.createDataFrame([(w,) for w in want], "word string")).collect():
-        for p in r.places:
+    for r in index.lists().collect():
+        for p in leakage._unpack(r.postings).tolist():
             base, doc = next((b, d) for b, n, d in where[r.segment] if b <= p < b + n)
             got.setdefault(r.word, set()).add((doc, p - base))
     assert got == want
-    assert {r.word: r.df for r in index.frequency().collect()} == {w: len({d for d, _ in x}) for w, x in want.items()}
+    assert {r.word: r.df for r in index.frequency(spark.createDataFrame([(w,) for w in want], "word string")).collect()} == {w: len({d for d, _ in x}) for w, x in want.items()}
     items = spark.createDataFrame([(1, " ".join(texts[7].split()[:20]))], "item_id bigint, text string")
     assert [tuple(r) for r in leakage.matches(docs, items, index=index).collect()] == [(1, 7)]
     index.remove()
 
 
 def test_packed_places():
-    for places in ([5], [0, 1, 2], [3, 300, 70_000, 70_001, 5_000_000], list(range(0, 60_000, 7))):
-        assert leakage._unpack(leakage._pack(np.array(places, np.uint32))).tolist() == places
+    lists = [[5], [0, 1, 2], [3, 300, 70_000, 70_001, 5_000_000], list(range(0, 60_000, 7)), [7, 700], [9]]
+    starts = np.cumsum([0] + [len(x) for x in lists[:-1]])
+    order, packed = leakage._pack(np.concatenate(lists), starts)
+    assert sorted(order.tolist()) == list(range(len(lists)))
+    assert [leakage._unpack(b).tolist() for b in packed.to_pylist()] == [lists[i] for i in order]
+    assert len(leakage._pack(np.empty(0, np.int64), np.empty(0, np.int64))[0]) == 0
 
 
 def test_proximity(spark):
