@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from tallgrass.functions.deep import deeply
+
 _SPACE = re.compile(r"(?:[\s﻿]++|//[^\n\r]*+|/\*[\s\S]*?\*/)*+")
 _NAME = r"(?:[A-Za-z_$]|[^\x00-\x7f]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|[^\x00-\x7f]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*+"
 _TOKEN = re.compile(
@@ -1678,26 +1680,30 @@ class _Parser:
 def parse(text: str, types: bool = False, jsx: bool = True) -> list[Declaration]:
     """Declarations of a module in order of their start; raises ``ScriptError`` if it is invalid.
 
-    An empty text is a valid module without declarations. Nesting deeper than the
-    interpreter's stack is reported as invalid.
+    An empty text is a valid module without declarations. Nesting is limited by memory only.
     """
-    parser = _Parser(text, types, jsx)
-    try:
+
+    def run() -> list[Declaration]:
+        parser = _Parser(text, types, jsx)
         parser.module()
-    except RecursionError:
-        raise ScriptError("nested too deeply", parser.start) from None
-    return parser.declarations
+        return parser.declarations
+
+    return deeply(run, len(text))
 
 
 def partial(text: str, types: bool = False, jsx: bool = True) -> list[Declaration]:
     """Like ``parse``, but an invalid module gives the declarations that were complete before the error."""
-    parser = None
+    last: list[_Parser] = []
+
+    def run() -> None:
+        last[:] = [_Parser(text, types, jsx)]
+        last[0].module()
+
     try:
-        parser = _Parser(text, types, jsx)
-        parser.module()
-    except (ScriptError, RecursionError):
+        deeply(run, len(text))
+    except ScriptError:
         pass
-    return [d for d in parser.declarations if d.end > d.start] if parser else []
+    return [d for d in last[0].declarations if d.end > d.start] if last else []
 
 
 def error_of(text: str, types: bool, jsx: bool) -> str | None:
