@@ -10,6 +10,7 @@ import json
 import re
 
 from tallgrass.functions import script_parser
+from tallgrass.functions.deep import deeply
 
 
 def clean(text: str) -> str:
@@ -22,9 +23,17 @@ def _no_constant(name: str):
 
 
 def json_error(text: str) -> str | None:
+    text = clean(text)
     try:
-        json.loads(clean(text), parse_constant=_no_constant)
-    except (ValueError, RecursionError) as e:
+        try:
+            json.loads(text, parse_constant=_no_constant)
+        except RecursionError:
+            # The decoder in Python has no stack of its own to run out of.
+            decoder = json.JSONDecoder(parse_constant=_no_constant)
+            decoder.parse_object, decoder.parse_array, decoder.memo = json.decoder.JSONObject, json.decoder.JSONArray, {}
+            decoder.scan_once = json.scanner.py_make_scanner(decoder)
+            deeply(lambda: decoder.decode(text), len(text))
+    except ValueError as e:
         return str(e)[:120]
     return None
 
@@ -33,8 +42,8 @@ def toml_error(text: str) -> str | None:
     import tomllib
 
     try:
-        tomllib.loads(clean(text))
-    except (ValueError, RecursionError) as e:
+        deeply(lambda: tomllib.loads(clean(text)), len(text))
+    except ValueError as e:
         return str(e)[:120]
     return None
 
@@ -206,8 +215,8 @@ class _Style:
 
 def style_error(text: str, nested: bool) -> str | None:
     try:
-        _Style(clean(text), nested).items(False)
-    except (ValueError, RecursionError) as e:
+        deeply(lambda: _Style(clean(text), nested).items(False), len(text))
+    except ValueError as e:
         return str(e)[:120]
     return None
 
@@ -520,12 +529,17 @@ class _Yaml:
 
 def yaml_error(text: str) -> str | None:
     """Structure of YAML. A document that is nothing but several words of text is taken for no YAML."""
-    parser = _Yaml(clean(text))
-    try:
+
+    def run() -> bool:
+        parser = _Yaml(clean(text))
         parser.stream()
-    except (ValueError, RecursionError) as e:
+        return parser.scalar_root
+
+    try:
+        scalar = deeply(run, len(text))
+    except ValueError as e:
         return str(e)[:120]
-    return "nothing but text" if parser.scalar_root and len(text.split()) > 1 else None
+    return "nothing but text" if scalar and len(text.split()) > 1 else None
 
 
 def script_error(text: str, types: bool, jsx: bool) -> str | None:
@@ -533,6 +547,7 @@ def script_error(text: str, types: bool, jsx: bool) -> str | None:
 
 
 def python_error(text: str) -> str | None:
+    """By the interpreter's own parser, with its own limits of nesting (200 brackets, 100 blocks)."""
     import ast
     import warnings
 
