@@ -28,9 +28,9 @@ MARK = "[REDACTED]"
 TOKENS = re.compile(
     r"(?<![A-Za-z0-9_\-+/])(?:"
     r"(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|gh[pousr]_[A-Za-z0-9]{16,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_\-]{20,}"
+    r"|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}"
     r"|xox[abeoprs]-[A-Za-z0-9\-]{10,}"
-    r"|(?:sk|rk|pk|qx|ak|wh|tok|key|api|sec|pat)_(?:live|prod|secret|priv)_[A-Za-z0-9]{10,}|whsec_[A-Za-z0-9]{16,}"
+    r"|[a-z]{2,5}_(?:live|prod|secret|priv)_(?=[A-Za-z]*\d)[A-Za-z0-9]{10,}|whsec_[A-Za-z0-9]{16,}"
     r"|sk-(?:ant-|proj-)?[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|ya29\.[A-Za-z0-9_\-]{20,}"
     r"|npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_\-]{16,}|hf_[A-Za-z0-9]{20,}|dop_v1_[a-f0-9]{64}|shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"
     r"|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|key-[a-f0-9]{32}|AC[a-f0-9]{32}(?=\W)"
@@ -39,8 +39,9 @@ TOKENS = re.compile(
 )
 ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 END_ARMOUR = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
-ADDRESS = re.compile(r"\b(?P<scheme>[a-zA-Z][a-zA-Z0-9+.\-]{1,30})://(?P<user>[^\s:/@\"'`<>]{0,80}):(?P<password>[^\s/@\"'`<>]{3,200})@(?=[\w.\[\-]|\$)")
-CONNECTION = re.compile(r"(?i)(?:^|[;\"'`\s&?])(?P<name>password|pwd|passwd|accountkey|sharedaccesskey|api_?key|token|secret)\s?=\s?(?P<value>[^;\"'`\s&<>]{4,200})")
+#: From the slashes on; a scheme must precede them. No bound on lengths: the classes end at the literal's quotes and the address's own marks.
+ADDRESS = re.compile(r"(?<=[A-Za-z0-9+.\-]:)//(?P<user>[^\s:/@\"'`<>]*):(?P<password>[^\s/@\"'`<>]{3,})@(?=[\w.\[\-]|\$)")
+CONNECTION = re.compile(r"(?i)(?:^|[;\"'`\s&?])(?P<name>password|pwd|passwd|accountkey|sharedaccesskey|api_?key|token|secret)\s?=\s?(?P<value>[^;\"'`\s&<>]{4,})")
 
 # Words in names.
 STRONG = frozenset("password passwd passphrase pwd pw pass passcode secret token apikey apitoken credential credentials privatekey accesskey secretkey authtoken clientsecret pin psk pat".split())
@@ -56,34 +57,35 @@ ABOUT = frozenset(
 _WORDS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 NAMED = re.compile(
-    r"""(?P<name>[A-Za-z_$][\w$.\-]{0,120}|"[\w$.\- ]{1,80}"|'[\w$.\- ]{1,80}')\]?[ \t]*(?P<type>:[ \t]*(?:string|String|str|any|const|readonly string|Optional\[str\]|string \| undefined)[ \t]*(?==))?"""
+    r"""(?:(?<![\w$.\-])[\d.\-]*+(?P<word>[A-Za-z_$][\w$.\-]*+)|(?P<quoted>"[\w$.\- ]+"|'[\w$.\- ]+'))\]?[ \t]*(?P<type>:[ \t]*(?:string|String|str|any|const|readonly string|Optional\[str\]|string \| undefined)[ \t]*(?==))?"""
     r"""(?P<sign>:=|=>|={1,3}|:(?!//)|\|\||\?\?|,(?=[ \t]*["'`]))[ \t]*(?P<call>(?:new[ \t]+)?[A-Za-z_$][\w$.]*\([ \t]*)?(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?![|>]\s*$)[^\s"'`#,;{}()\[\]<>][^\s"'`,;{}()<>]*)?"""
 )
 TAGGED = re.compile(r"<(?P<name>[A-Za-z][\w.:\-]*)(?:\s[^<>]*)?>(?P<value>[^<>\s][^<>\n]*)</(?P=name)>")
 #: A literal that is used where a variable is not set.
-FALLBACK = re.compile(r"""(?P<name>[A-Za-z_$][\w$.\-]{0,120})(?:[\"']?\])?[ \t]*(?:\|\||\?\?|,|\bor\b)[ \t]*(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)""")
+FALLBACK = re.compile(r"""(?<![\w$.\-])[\d.\-]*+(?P<name>[A-Za-z_$][\w$.\-]*+)(?:[\"']?\])?[ \t]*(?:\|\||\?\?|,|\bor\b)[ \t]*(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)""")
 #: Name and value as two attributes or fields.
 PAIRED = re.compile(r"""(?i)\b(?:key|name|id|property)[\"']?\s*[=:]\s*[\"'](?P<name>[\w.\-]+)[\"']\s*,?\s*[\"']?value[\"']?\s*[=:]\s*(?P<value>"[^"\n]*"|'[^'\n]*')""")
 #: Words of remarks that give a login. What follows in the line is looked at word by word.
 REMARK = re.compile(
-    r"(?i)\b(?:pass(?:word|wd|code|phrase)?|pwd|pw|login|credentials?|secret|token|api[ _-]?key|access key|rotation|kennwort|passwort|contraseña|mot de passe)\b"
+    r"(?i)\b(?:pass(?:word|wd|code|phrase)?|pwd|pw|login|credentials?|secret|token|api[ _-]?key|access key|kennwort|passwort|contraseña|mot de passe)\b"
 )
-REMARK_WORD = re.compile(r"[^\s\"'`<>(){},;]{6,200}")
+REMARK_WORD = re.compile(r"[^\s\"'`<>(){},;]{6,}")
 #: No password in a remark: names in camel case, calls, paths, dates, addresses, versions, entry ids.
 NO_PASSWORD = re.compile(
     r"(?:[A-Z][a-z]{2,}|[a-z]{3,})+\d{0,3}(?:\.\w+)?(?:\(\))?|.*/.*\.\w+|\d{4}-\d\d-\d\d.*|[\w.\-]+@[\w.\-]+|v?\d+(?:\.\d+)+\S*|[A-Z]{2,5}-\d+|[\w\-]+(?:/[\w\-.]+)+|.*://.*|[a-z\d]+(?:[-_.:][a-z\d]+)*:?|[A-Z\d_]+=?"
 )
-LOGIN = re.compile(r"(?i)\b(?:login|log in|user(?:name)?|account|usr)\b[^\n]{0,40}?/\s?(?:pass(?:word)?|pw|pwd)?\s?[\"'`]?(?P<value>[^\s\"'`<>(),;]{6,200})")
-CURL = re.compile(r"\bcurl\b[^\n]{0,200}?\s(?:-u|--user)[ =]?[\"']?(?P<user>[\w.\-@]{1,60}):(?P<value>[^\s\"'`]{4,100})")
-#: Passwords given to commands.
-COMMAND = re.compile(
-    r"\b(?:mysql\w*|mariadb\w*|sqlcmd|psql|pg_dump|mongo\w*|redis-cli|sshpass|ldapsearch|smbclient|wget|ftp|docker|helm|ansible\w*)\b[^\n`|]{0,200}?\s"
-    r"(?:-p(?=[^\s\-])|-a\s+|-P\s+|--(?:\w+-)?(?:password|pass|token|secret|auth)[= ]\s?)[\"']?(?P<value>[^\s\"'`|;]{6,200})"
-)
-HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization|x-api-key|api-key|apikey|x-auth-token|private-token|x-access-token)[\"']?\s*:\s*[\"']?(?:(?:bearer|basic|token)\s+)?(?P<value>[A-Za-z0-9+/=_.~\-]{12,300})")
+LOGIN = re.compile(r"(?i)\b(?:login|log in|user(?:name)?|account|usr)\b")
+LOGIN_PASSWORD = re.compile(r"(?i)/\s?(?:pass(?:word)?|pw|pwd)?\s?[\"'`]?(?P<value>[^\s\"'`<>(),;]{6,})")
+#: Commands, and the options of each kind that give a login. They are looked for in the stretch of a line between pipes and backticks, behind the first command.
+STRETCH = re.compile(r"[^\n`|]+")
+CURL = re.compile(r"\bcurl\b")
+CURL_LOGIN = re.compile(r"\s(?:-u|--user)[ =]?[\"']?(?P<user>[\w.\-@]+):(?P<value>[^\s\"'`]{4,})")
+COMMAND = re.compile(r"\b(?:mysql\w*|mariadb\w*|sqlcmd|psql|pg_dump|mongo\w*|redis-cli|sshpass|ldapsearch|smbclient|wget|ftp|docker|helm|ansible\w*)\b")
+COMMAND_LOGIN = re.compile(r"\s(?:-p(?=[^\s\-])|-a\s+|-P\s+|--(?:\w+-)?(?:password|pass|token|secret|auth)[= ]\s?)[\"']?(?P<value>[^\s\"'`|;]{6,})")
+HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization|x-api-key|api-key|apikey|x-auth-token|private-token|x-access-token)[\"']?\s*:\s*[\"']?(?:(?:bearer|basic|token)\s+)?(?P<value>[A-Za-z0-9+/=_.~\-]{12,})")
 #: Variables of an environment, also inside of a line.
-ENVIRONMENT = re.compile(r"(?<![\w$])(?P<name>[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)=(?P<value>[^\s\"'`;,<>(){}]{6,300})")
-BASIC = re.compile(r"(?P<quote>[\"'`])(?P<user>[A-Za-z][\w.\-@]{1,60}):(?P<value>[^\s\"'`:/]{6,100})(?P=quote)[ \t]*\)?[^\n]{0,20}(?i:base64|btoa|b64encode)|(?i:btoa|b64encode|basic_?auth)\w*\(\s*b?(?P<quote2>[\"'`])(?P<user2>[A-Za-z][\w.\-@]{1,60}):(?P<value2>[^\s\"'`:/]{6,100})(?P=quote2)")
+ENVIRONMENT = re.compile(r"(?<![\w$])(?P<name>[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)=(?P<value>[^\s\"'`;,<>(){}]{6,})")
+BASIC = re.compile(r"(?P<quote>[\"'`])(?P<user>[A-Za-z][\w.\-@]+):(?P<value>[^\s\"'`:/]{6,})(?P=quote)[ \t]*\)?[^\n;\"'`]*[\"'`]?(?i:base64|btoa|b64encode)|(?i:btoa|b64encode|basic_?auth)\w*\(\s*b?(?P<quote2>[\"'`])(?P<user2>[A-Za-z][\w.\-@]+):(?P<value2>[^\s\"'`:/]{6,})(?P=quote2)")
 
 PLACEHOLDER = re.compile(
     r"(?i)^(?:\*+|x{3,}|\.{2,}|-+|_+|#+|\?+|0+|1234\d*|(?:your|my|the|a|an|some|insert|enter|put|add)[\W_].*|.*\b(?:your|replace|placeholder|redacted|changeme|change[\W_]?me|example|dummy|sample|todo|tbd|fixme|goes[\W_]?here|not[\W_]?set|none|null|undefined|required|optional|string|number|boolean)\b.*|"
@@ -94,7 +96,7 @@ COMMENT = re.compile(r"^\s*(?://|#|\*|/\*|--|<!--|;|%|\"\"\"|>)|(?<=\s)(?://|#|/
 
 # Words of the rules that don't ask for a name.
 _PLAIN_SIGNS = (
-    "pass passwd password passcode passphrase pwd pw login credential secret token apikey accesskey rotation kennwort passwort contraseña motdepasse base64 btoa b64encode basicauth "  # REMARK, BASIC
+    "pass passwd password passcode passphrase pwd pw login credential secret token apikey accesskey kennwort passwort contraseña motdepasse base64 btoa b64encode basicauth "  # REMARK, BASIC
     "user usr account curl mysql mariadb sqlcmd psql pg_dump mongo redis-cli sshpass ldapsearch smbclient wget ftp docker helm ansible authorization"  # LOGIN, CURL, COMMAND, HEADER
 ).split() + ["log in"]
 #: Letters that match others without regard to case.
@@ -304,13 +306,13 @@ def _decoded_kind(text: str) -> str | None:
         if plain(m["value"]) and chosen(m["value"]):
             return "encoded password"
     for m in NAMED.finditer(text):
-        if m["value"] and m["sign"] != "," and strength(m["name"].strip("\"'")) == 2:
+        if m["value"] and m["sign"] != "," and strength(_name(m)) == 2:
             inner = m["value"].strip("\"'`")
             if plain(inner) and chosen(inner):
                 return "encoded password"
-    if re.fullmatch(r"[A-Za-z][\w.\-]{1,40}:[^\s:/]{6,}", text) and chosen(text.partition(":")[2]):
+    if re.fullmatch(r"[A-Za-z][\w.\-]+:[^\s:/]{6,}", text) and chosen(text.partition(":")[2]):
         return "encoded login"
-    for s in _outside_data(text, [*_search(text), *_lines(text)]):
+    for s in _outside_data(text, [*_search(text), *_lines(text), *_used(text)]):
         return "encoded " + s.kind.removeprefix("encoded ")
     return None
 
@@ -340,6 +342,14 @@ def _kind_of(value: str, power: int) -> str | None:
     return None
 
 
+def _name(m: re.Match) -> str:
+    return m["word"] or m["quoted"][1:-1]
+
+
+#: Key material, its heads, and what joins it where it is a literal in code.
+_MATERIAL = re.compile(r"(?:\s|\\[nrt]|[\"'`+,\\]|[A-Za-z0-9+/=]{8,}|[A-Za-z\-]+: [^\n\\]*)*")
+
+
 def _search(text: str) -> Iterator[Secret]:
     for m in TOKENS.finditer(text):
         if not re.search(r"(?i)example|xxxx|placeholder|1234567890abcdef", m.group()):
@@ -347,16 +357,22 @@ def _search(text: str) -> Iterator[Secret]:
     begins = list(ARMOUR.finditer(text))
     for m, limit in zip(begins, [b.start() for b in begins[1:]] + [len(text)]):
         stop = END_ARMOUR.search(text, m.end(), limit)
-        body_end = stop.start() if stop else limit
+        # Without an end the key goes as far as what may be key material.
+        body_end = stop.start() if stop else _MATERIAL.match(text, m.end(), limit).end()
         body = text[m.end() : body_end]
-        if re.search(r"[A-Za-z0-9+/]{12,}", body) and not re.search(r"\$\{|\.\.\.\s*$|<", body[:200]):
-            yield Secret(m.start(), stop.end() if stop else body_end, "private key")
+        key = re.search(r"[A-Za-z0-9+/]{12,}", body)
+        if key and not re.search(r"\$\{|\.\.\.\s*$|<", body):
+            yield Secret(m.start(), stop.end() if stop else m.end() + len(body.rstrip(" \t\r\n\"'`,+\\")), "private key")
     for m in ADDRESS.finditer(text) if "://" in text else ():
         password = m["password"]
         if plain(password) and not re.fullmatch(r"\d{1,5}|(?i:pass(?:word)?|pw|secret|user|pwd)|\w*PASS\w*|[A-Z_]+", password):
             yield Secret(m.start("password"), m.end("password"), "address")
+    at, mark, line = 0, -1, -1
     for m in CONNECTION.finditer(text) if ";" in text else ():
-        if ";" in text[max(0, m.start() - 80) : m.start() + 1] and plain(m["value"]) and chosen(m["value"]):
+        # The last semicolon and the last line feed before it, carried along.
+        mark, line = max(mark, text.rfind(";", at, m.start() + 1)), max(line, text.rfind("\n", at, m.start("name")))
+        at = m.start() + 1
+        if mark > line and plain(m["value"]) and chosen(m["value"]):
             yield Secret(m.start("value"), m.end("value"), "password")
 
 
@@ -368,7 +384,7 @@ def _named(text: str, start: int, end: int) -> Iterator[Secret]:
     line = text[start:end]
     setting = _SETTING.match(line) and (not line.rstrip().endswith((";", ",")) or line.lstrip().startswith("export"))
     for m in NAMED.finditer(text, start, end) if _NAMED_SIGN.search(text, start, end) else ():
-        name, value = m["name"].strip("\"'"), m["value"]
+        name, value = _name(m), m["value"]
         power = strength(name)
         if not value:
             continue
@@ -418,10 +434,13 @@ def _named(text: str, start: int, end: int) -> Iterator[Secret]:
         group = "value" if m["value"] else "value2"
         if plain(m[group]) and chosen(m[group]):
             yield Secret(m.start(group), m.end(group), "login")
-    for pattern in (CURL, COMMAND):
-        for m in pattern.finditer(text, start, end):
-            if plain(m["value"]) and (chosen(m["value"]) or _told(m["value"])):
-                yield Secret(m.start("value"), m.end("value"), "login")
+    for command, login in ((CURL, CURL_LOGIN), (COMMAND, COMMAND_LOGIN)):
+        at = command.search(text, start, end)
+        for stretch in STRETCH.finditer(text, start, end) if at else ():
+            begin = command.search(text, stretch.start(), stretch.end())
+            for m in login.finditer(text, begin.end(), stretch.end()) if begin else ():
+                if plain(m["value"]) and (chosen(m["value"]) or _told(m["value"])):
+                    yield Secret(m.start("value"), m.end("value"), "login")
     for m in HEADER.finditer(text, start, end):
         kind = _kind_of("Bearer " + m["value"], 1)
         if kind:
@@ -435,20 +454,45 @@ def _named(text: str, start: int, end: int) -> Iterator[Secret]:
     prose = remark is not None or not line.rstrip().endswith((";", "{", "}", "="))
     if prose:
         from_ = start + (remark.start() if remark and remark.start() > 0 else 0)
-        done = from_
+        done = stop = from_
         for m in REMARK.finditer(text, from_, end):
-            for w in REMARK_WORD.finditer(text, max(done, m.end()), min(end, m.end() + 90)):
-                if re.search(r"[=({\[]", text[m.end() : w.start()]):
-                    break
+            # Up to the end of the sentence; no word is looked at twice.
+            if stop <= m.end():
+                breaks = BREAK.search(text, m.end(), end)
+                stop = breaks.start() + (breaks.group()[0] in ".!?;") if breaks else end
+            for w in REMARK_WORD.finditer(text, max(done, m.end()), stop):
                 value = w.group().rstrip(".,:;!?")
                 if plain(value) and _told(value):
                     yield Secret(w.start(), w.start() + len(value), "remark")
                     done = w.end()
                     break
-        for m in LOGIN.finditer(text, from_, end):
-            value = m["value"].rstrip(".,:;!?")
-            if plain(value) and _told(value):
+            else:
+                done = stop
+        m = LOGIN.search(text, from_, end)
+        while m:
+            slash = text.find("/", m.end(), end)
+            if slash < 0:
+                break
+            m = LOGIN_PASSWORD.match(text, slash, end)
+            value = m["value"].rstrip(".,:;!?") if m else ""
+            if value and plain(value) and _told(value):
                 yield Secret(m.start("value"), m.start("value") + len(value), "remark")
+            m = LOGIN.search(text, slash + 1, end)
+
+
+#: A remark that ends in the value to use.
+USED = re.compile(r"[Uu]se[ \t]+[\"'`]?(?P<value>[^\s\"'`<>(){},;]{6,})[\"'`]?[ \t.]*(?:\*/|-->)?[ \t]*\r?$", re.M)
+
+
+def _used(text: str) -> Iterator[Secret]:
+    for m in USED.finditer(text):
+        value = m["value"].rstrip(".,:;!?")
+        if plain(value) and _told(value) and COMMENT.search(text, text.rfind("\n", 0, m.start()) + 1, m.start()):
+            yield Secret(m.start("value"), m.start("value") + len(value), "remark")
+
+
+#: What ends the stretch that a word of a remark speaks of.
+BREAK = re.compile(r"[=({\[]|[.!?;]\s")
 
 
 def _told(value: str) -> bool:
@@ -499,7 +543,7 @@ def secrets(text: str | None) -> list[Secret]:
     """The secrets of a text in order; where two overlap, the one that begins first and is longer stays."""
     if not text:
         return []
-    found = _outside_data(text, [*_search(text), *_lines(text), *_encoded(text)])
+    found = _outside_data(text, [*_search(text), *_lines(text), *_used(text), *_encoded(text)])
     kept: list[Secret] = []
     for s in sorted(found, key=lambda s: (s.start, -s.end)):
         if not kept or s.start >= kept[-1].end:
