@@ -9,7 +9,7 @@ threshold is a mention. Spans are compared by score where they overlap.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +34,7 @@ ID_WORDS = re.compile(
 NOT_PERSONAL = re.compile(
     r"(?i)\b(build|commit|version|release|ports?|lines?|offset|weights?|request|trace|node|order|ticket|sha\d*|md5|checksum|hash|digest|took|ms|bytes?|uuid|pid|port|seconds|rows|units|invoice|issue|isbn|ean|sku|serial|zeile|lignes?|línea|version)\b"
 )
-HOME_WORDS = re.compile(r"(?i)(address|ship|deliver|device to|lives?|home of|hardware geht|anschrift|adresse|livraison|dirección|domicilio|enviar|wohnt|envoyer|habite|mail to|send to|hardware|residence)")
+HOME_WORDS = re.compile(r"(?i)(address|ship|deliver|device to|lives?|geht an|schicken|senden|liefern|zustellen|goes to|going to|return to|bound for|expédier|remettre|entregar|mandar|anschrift|adresse|livraison|dirección|domicilio|enviar|wohnt|envoyer|habite|mail to|send to|residence)")
 
 # -- shapes -----------------------------------------------------------------------
 _AT = r"(?:@|\s?(?:\(at\)|\[at\]|\{at\}|<at>|\(a\)|\[@\]|\(@\))\s?|\s(?i:at)\s)"
@@ -72,8 +72,8 @@ _ID_SHAPES = [
     (0.5, r"(?:\d[ \-]?){13,18}\d"),  # card numbers
 ]
 ID_NUMBER = re.compile(r"(?<![\w.+\-/])(?:" + "|".join(f"(?P<s{i}>{p})" for i, (_, p) in enumerate(_ID_SHAPES)) + r")(?![\w\-]|/\d)")
-#: After an unmistakable word any number-like token is an id.
-ID_AFTER_WORD = re.compile(ID_WORDS.pattern + r"(?:\s*(?:no\.?|nr\.?|n°|nº|num(?:ber|éro|ero|mer)?\.?|#|id|is|ist|est|es|:|=|-|\"))*\s*[\"']?(?P<number>(?=[A-Z0-9\-/. ]*\d)[A-Z0-9](?:[A-Z0-9]|[ \-/.](?=[A-Z0-9]*\d|[A-Z]\b)){5,23})(?![a-z])")
+#: After an unmistakable word any number-like token is an id. The longest there are, bank accounts, have 34 characters and 8 blanks.
+ID_AFTER_WORD = re.compile(ID_WORDS.pattern + r"(?:\s*(?:no\.?|nr\.?|n°|nº|num(?:ber|éro|ero|mer)?\.?|#|id|is|ist|est|es|:|=|-|\"))*\s*[\"']?(?P<number>(?=[A-Z0-9\-/. ]*\d)[A-Z0-9](?:[A-Z0-9]|[ \-/.](?=[A-Z0-9]*\d|[A-Z]\b)){5,41})(?![a-z])")
 
 _STREET_EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Terrace|Ter|Drive|Dr|Court|Ct|Way|Place|Pl|Crescent|Cres|Square|Sq|Boulevard|Blvd|Parkway|Pkwy|Grove|Gardens|Gdns|Row|Mews|Hill|Walk|Circle|Highway|Hwy)"
 _CAP = r"[A-ZÀ-Þ][\wÀ-ÿ'’\-]+"
@@ -83,6 +83,7 @@ NUMBER_FIRST = re.compile(
     r"|(?:\s?(?:bis|ter|quater|[A-Da-d]))?,?\s+(?i:rue|avenue|av\.|boulevard|bd|impasse|allée|chemin|place|quai|route|cours|passage|square|ruelle)\s+"
     r"(?:(?i:de la|de l['’]|des|du|de|d['’]|le|la|les)\s*)*[A-ZÀ-Þ][\wÀ-ÿ'’\-]+)"
 )
+UNIT_AT = re.compile(r"(?i:flat|apt|apartment|unit|suite|ste|floor)\b")
 UNIT_BEFORE = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Ste\.?|Floor|FLAT|APT\.?|UNIT|SUITE|STE\.?)\s+#?\w{1,5}\s*,\s*\Z")
 KIND_FIRST = re.compile(
     r"(?:Calle|calle|CALLE|C/|c/|Camino|camino|Carretera|carretera|Avenida|avenida|AVENIDA|Avda\.|avda\.|Av\.|av\.|Plaza|plaza|PLAZA|Paseo|paseo|PASEO|Pasaje|pasaje|Ronda|ronda|Travesía|travesía|Glorieta|glorieta)\s+(?:(?i:de la|de los|de las|del|de|el|la|las|los)\s+)*"
@@ -92,6 +93,8 @@ NAME_FIRST = re.compile(
     r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|STRASSE|STRAßE|WEG|GASSE|PLATZ|ALLEE)\s+\d{1,4}\s?[a-zA-Z]?\b(?!\s*(?:%|ms|MB))"
 )
 WORD_BEFORE = re.compile(r"[A-ZÄÖÜ][\wäöüßÄÖÜ\-]*\Z")
+#: A flat's number makes an address of a street and a number, wherever it stands.
+UNIT_AFTER = re.compile(r"\s*,?\s*(?i:apt|apartment|flat|unit|suite|ste)\.?\s*#?\d\w*\b|\s*,\s*\d{1,2}\s?[º°ª]")
 AFTER_ADDRESS = re.compile(r"\s*,?\s*(?:(?i:apt|flat|unit|suite)\.?\s*\w+\s*,?\s*|\d{1,2}\s?[º°ª]\s?\w?\s*,?\s*)?(?:\d{4,5}\s+[A-ZÀ-Þ]|[A-ZÀ-Þ][\wÀ-ÿ\-]+(?:[ \-][A-ZÀ-Þ\w][\wÀ-ÿ\-]*)*,?\s*\d{4,5}\b|[A-ZÀ-Þ][\wÀ-ÿ\-]+\s*[.\n]|[A-ZÀ-Þ][\wÀ-ÿ\-]+\Z)")
 
 # Given names that are common in English, German, French and Spanish, a hint beside the context.
@@ -108,9 +111,9 @@ GIVEN = frozenset(
 # Capitalised words that stand beside names or look like parts of them.
 _NO_NAME = frozenset(
     """The This That These Those If When Where While Why How What Which Who Run Do Does Did Since See Each Every Any All No Not Nobody And Or But For From To With Without
-    Build Trace Clone Tests Test Outcome Symptoms Related Related Compared We He She They It In On At By Of As Is Are Was Given Expected Held Question Suppose Summarise Lines
+    Tests Test Related Compared We He She They It In On At By Of As Is Are Was Given Expected Held Lines
     Router Query Planner Street Level View Main Data File Code Page Service System Server Client Team Owner Author Reported Reviewed Signed Contact Contacto Kontakt Call Ship
-    Mailing Address Adresse Minutes Escalation Dump Row Merci Thanks Revisado Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July
+    Mailing Address Adresse Minutes Escalation Merci Thanks Revisado Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July
     August September October November December Siehe Wir Der Die Das Ein Eine Vor Ohne Nach Wenn Frau Herr Voir Nous Les Le La Une Un El Los Las Una Antes No Enviar Im Am Ticket
     Mr Mrs Ms Dr Prof Sr Sra Monsieur Madame Mme Note Todo Fixme Warning Error Info Debug Section Chapter Table Figure Appendix Key Value Sort Group Order Index Unit Load Cache Write
     Number My Hardware Rückfragen Rückruf Teléfono Report Summary Overview Next First Last Type Status Version Release Memory Learnings Pitfall Decision Architecture Workflow Convention""".split()
@@ -125,17 +128,17 @@ INITIAL = re.compile(rf"(?P<name>[A-ZÀ-Þ](?<![\w@/.\-][A-ZÀ-Þ])\.[ \-]?(?:[A
 #: Words after which, or before which, a capitalised pair is a person.
 BEFORE_NAME = re.compile(
     r"(?i)(?:\b(?:ask|asked|contact|contacto|kontakt|contacter|owner|author|autor|autora|auteur|verfasser|reported by|reviewed[- ]by|signed-off-by|co-authored-by|acked-by|tested-by|approved by|assigned to|assignee|on call|on-call|attendees|attendee|present|"
-    r"participants|teilnehmer|asistentes|participantes|thanks to|thank|merci à|danke an|gracias a|revisado por|relu par|geprüft von|escrito por|home of|cc|bcc|from|to|name|holder|user|customer|patient|employee|client|kunde|an|von|für|por|par|reach|ping|"
+    r"participants|teilnehmer|asistentes|participantes|thanks to|thank|merci à|danke an|gracias a|revisado por|relu par|geprüft von|escrito por|cc|bcc|from|to|name|holder|user|customer|patient|employee|client|kunde|an|von|für|por|par|reach|ping|"
     r"call|meet|met|with|and|und|et|y|by|dear|hallo|hello|hi|bonjour|hola|sincerely|regards|grüße|cordialement|manager|lead|maintainer|reporter|responsable|encargado|zuständig|ansprechpartner)\b[\s:\"'=\[(*_|>-]*|[|\[,;]\s*|--\s*|^\s*[-*>]?\s*)\Z"
 )
 STRONG_BEFORE = re.compile(
     r"(?i)(?:\+?\(?\d[\d .()\-]{6,}\d(?:\s?ext\.?\s?\d+)?,\s*\Z)|\b(?:contact|contacto|kontakt|owner|author|autor|reported by|reviewed[- ]by|signed-off-by|co-authored-by|acked-by|tested-by|assignee|on call|attendees|participants|teilnehmer|asistentes|thanks to|merci à|danke an|gracias a|revisado por|relu par|"
-    r"geprüft von|home of|cc|bcc|from(?=\s*:)|holder|customer|patient|employee|ask|rückfragen bitte an|maintainer|reporter|ansprechpartner|sincerely|regards)\b[\s:\"'=\[(*_|>-]*(?:\{?\s*name\s*[:=]\s*\"?)?\Z"
+    r"geprüft von|cc|bcc|from(?=\s*:)|holder|customer|patient|employee|ask|bitte an|wenden sie sich an|melden bei|maintainer|reporter|ansprechpartner|sincerely|regards)\b[\s:\"'=\[(*_|>-]*(?:\{?\s*name\s*[:=]\s*\"?)?\Z"
 )
 #: A label that begins its line or is followed by a colon: what comes next is a person, without another sign.
 _LABELS = (
     r"contact|contacto|kontakt|contacter|owner|author|autor|autora|auteur|auteure|verfasser|verfasserin|reported by|reviewed[- ]by|signed-off-by|co-authored-by|acked-by|tested-by|approved[- ]by|assigned to|assignee|on call|on-call|attendees?|"
-    r"participants?|participantes?|teilnehmer|teilnehmerin|asistentes?|thanks to|merci à|danke an|gracias a|revisado por|relu par|geprüft von|escrito por|home of|cc|bcc|holder|user|usuario|utilisateur|benutzer|"
+    r"participants?|participantes?|teilnehmer|teilnehmerin|asistentes?|thanks to|merci à|danke an|gracias a|revisado por|relu par|geprüft von|escrito por|cc|bcc|holder|user|usuario|utilisateur|benutzer|"
     r"customer|patient|employee|client|kunde|kundin|cliente|dear|hallo|hello|hi|bonjour|hola|sincerely|regards|grüße|cordialement|saludos|manager|lead|maintainer|reporter|responsable|encargado|encargada|zuständig|ansprechpartner|ansprechpartnerin|"
     r"genehmigt von|approuvé par|aprobado por|zugewiesen an|assigné à|asignado a|geschrieben von|écrit par|gemeldet von|signalé par|reportado por"
 )
@@ -213,9 +216,9 @@ def _context(pattern: re.Pattern, text: str, start: int, end: int) -> bool:
 def _around(marks: re.Pattern, pattern: re.Pattern, text: str, before: int, after: int) -> Iterator[re.Match]:
     """Matches of a costly pattern near the places that a cheap one finds; each match once.
 
-    A window begins ``before`` characters before a mark, which is more than the costly
-    pattern can begin earlier, and ends with the line in which ``after`` characters
-    behind the mark lie, so that no match is cut.
+    What is searched are the whole lines around a mark: from the begin of its line, or
+    ``before`` characters earlier, which reaches over a line break, to the end of the line in which
+    ``after`` characters behind the mark lie. No line is searched twice.
     """
     done = covered = 0
     for mark in marks.finditer(text):
@@ -223,7 +226,8 @@ def _around(marks: re.Pattern, pattern: re.Pattern, text: str, before: int, afte
             continue
         line_end = text.find("\n", min(len(text), mark.end() + after))
         covered = len(text) if line_end < 0 else line_end
-        for m in pattern.finditer(text, max(done, mark.start() - before), covered):
+        begin = min(mark.start() - before, text.rfind("\n", done, mark.start()) + 1 or done)
+        for m in pattern.finditer(text, max(done, begin), covered):
             done = m.end()
             yield m
 
@@ -310,7 +314,7 @@ def _after_id_word(text: str, marks: list[tuple[int, int]]) -> Iterator[re.Match
         start = max(done, begin - 64)
         before = text[start:begin].lower()
         if any(stem in before for stem in _ID_STEMS):
-            m = ID_AFTER_WORD.search(text, start, min(len(text), end + 40))
+            m = ID_AFTER_WORD.search(text, start, min(len(text), end + 64))
             if m:
                 done = m.end()
                 yield m
@@ -380,6 +384,8 @@ def addresses(text: str) -> Iterator[Span]:
             score += 0.5
         if _context(HOME_WORDS, text, start, end):
             score += 0.5
+        if not text[start].isdigit() and UNIT_AT.match(text, start) or UNIT_AFTER.match(text, end):
+            score += 0.5
         if not text[text.rfind("\n", 0, start) + 1 : start].strip(" \t>*-|"):
             score += 0.45  # it begins its line
         if "\n" in text[start:end].strip() and not after:
@@ -391,11 +397,27 @@ def _plausible(name: str) -> bool:
     return not any(w.strip(".,").capitalize() in _NO_NAME for w in name.split() if w[:1].isupper())
 
 
+def _uncommon(text: str, name: str) -> bool:
+    """No part of the name stands in the text as an ordinary word."""
+    return not any(re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text) for w in name.split() if w[:1].isupper())
+
+
 def _labelled(text: str, start: int) -> bool:
     return bool(LABEL_BEFORE.search(text, max(0, start - 40), start))
 
 
-def names(text: str, mails: list[Span]) -> Iterator[Span]:
+#: What may stand between a person and where they live.
+_LIVES = re.compile(r"\s*(?:,|;|:|\||-|–|\(|\n)?\s*(?:(?i:at|of|in|lives at|living at|wohnt in|wohnhaft in|wohnhaft|habite au|habite|demeurant|domiciliad[oa] en|vive en|in der)\s+)?\Z")
+
+
+def names(text: str, places: list[Span] = ()) -> Iterator[Span]:
+    """Proposals of names; ``places`` are the addresses of the text in order, for names that stand before one."""
+    begins = [p.start for p in places]
+
+    def lives(end: int) -> bool:
+        i = bisect_left(begins, end)
+        return i < len(begins) and begins[i] - end <= 24 and bool(_LIVES.match(text, end, begins[i]))
+
     for m in TITLED.finditer(text):
         title = m.group().split()[0].rstrip(".")
         if text[m.start() - 1 : m.start()].isalnum() and m.start():
@@ -448,17 +470,26 @@ def names(text: str, mails: list[Span]) -> Iterator[Span]:
                 score += 0.8
             elif BEFORE_NAME.search(before):
                 score += 0.25
-            if AFTER_NAME.match(text, m.end()):
+            if AFTER_NAME.match(text, m.end()) or begins and lives(m.end()):
+                score += 0.75
+            if 0 < score < THRESHOLD and not upper and (DEED_AFTER.match(text, m.end()) or DEED_BEFORE.search(before)) and _uncommon(text, m.group()):
                 score += 0.75
             if upper and (not labelled or m.start() - text.rfind("\n", 0, m.start()) > 26):
                 score -= 1.0  # in capitals only where a label begins the line, not inside of a sentence in capitals
             if "\n" in m.group() and not labelled:
-                score -= 0.4
+                score -= 1.0
             if score >= THRESHOLD:
                 at = last_end = m.end()
                 yield Span(m.start(), m.end(), "name", score)
 
 
+#: What only persons do, before or after their name, in four languages.
+DEED_AFTER = re.compile(
+    r"\s+(?:(?:has|had|hat|a|ha|also|then|later|already|kindly|just)\s+)?(?:fixed|found|wrote|merged|noticed|asked|told|said|thinks|thought|believes|explained|answered|replied|called|emailed|signed|approved|rejected|joined|"
+    r"lives|lived|maintains|suggested|proposed|reported|reviewed|wants|wanted|complained|confirmed|requested|debugged|refactored|gefunden|geschrieben|gemeldet|bemerkt|gefragt|sagt|sagte|fragt|fragte|schrieb|meint|wohnt|"
+    r"écrit|trouvé|signalé|demandé|proposé|habite|pense|escribió|encontró|preguntó|dijo|propuso|vive|cree)\b"
+)
+DEED_BEFORE = re.compile(r"(?i)\b(?:met|meet|told|asked|emailed|thanked|interviewed|hired|invited|informed|mentored|traf|fragte|informierte|rencontré|demandé à|conocí a|pregunté a|according to|laut|selon|según|on behalf of|im auftrag von)\s+\Z")
 #: What stands between the names of a list.
 LISTED = re.compile(r"\s*(?:[,;&/]|,?\s*(?:and|und|y|e|et))\s*")
 _UPPER_NAME = re.compile(rf"[A-ZÀ-Þ](?<![\w@/.\-'’][A-ZÀ-Þ])[A-ZÀ-Þ]+(?:[\-'’][A-ZÀ-Þ]{{2,}})?\s+[A-ZÀ-Þ]{{2,}}(?:[\-'’][A-ZÀ-Þ]{{2,}})?(?![\w@/]|\(|\.\w)")
@@ -469,8 +500,9 @@ def mentions(text: str) -> list[Span]:
     if not text:
         return []
     mails = [s for s in emails(text) if s.score >= THRESHOLD]
-    found = mails + [s for f in (phones, id_numbers, addresses) for s in f(text) if s.score >= THRESHOLD]
-    found += [s for s in names(text, mails) if s.score >= THRESHOLD]
+    places = sorted((s for s in addresses(text) if s.score >= THRESHOLD), key=lambda s: s.start)
+    found = mails + places + [s for f in (phones, id_numbers) for s in f(text) if s.score >= THRESHOLD]
+    found += [s for s in names(text, places) if s.score >= THRESHOLD]
     kept: list[Span] = []
     starts: list[int] = []  # of the kept spans, which don't overlap, in order
     for s in sorted(found, key=lambda s: (-s.score, s.start, s.start - s.end)):
