@@ -131,7 +131,7 @@ def layout(source: str, long_line: int) -> Layout:
     total = max(1, sum(map(len, lines)))
     long = sum(len(x) for x in lines if len(x) >= long_line)
     spaces = sum(source.count(c) for c in " \t\n\r")
-    letters = sum(c.isalnum() for c in source[:200_000]) if len(source) < 200_000 else len(re.findall(r"[A-Za-z0-9]", source))
+    letters = sum(map(str.isalnum, source))
     words = WORD.findall(source)
     numbers = sum(1 for w in words if w[0] not in "_$" and not w[0].isalpha())
     encoded = sum(m.end() - m.start() for m in ENCODED_RUN.finditer(source) if not m.group().isalpha())
