@@ -9,9 +9,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.functions import text
+from tallgrass.functions import paths, text
 from tallgrass.model import SEARCHABLE_MEMORY_TYPES, RuntimeConfig, SearchFilters
-from tallgrass.operators import changes, chunking, memory, vectors
+from tallgrass.operators import changes, chunking, memory, usage, vectors
+from tallgrass.session import cut_lineage
 from tallgrass.sources import git, logs, models
 from tallgrass.sources.store import PointStore, StateStore
 
@@ -93,18 +94,31 @@ class Engine:
     # -- ingest ---------------------------------------------------------------
     def _points(self, repo: str, files: DataFrame) -> DataFrame:
         ids = chunking.with_point_ids(chunking.chunk_files(files, self.config.exclude_patterns))
-        sparse = vectors.sparse_vectors(vectors.term_postings(ids, "point_id"), "point_id")
-        return models.with_embeddings(ids, self.make_embedder).join(sparse, "point_id", "left")
+        return models.with_embeddings(ids, self.make_embedder).withColumn("sparse", vectors.sparse_vector(F.col("text")))
 
-    def reindex(self, repo: str | None = None, full: bool = False, now: datetime | None = None) -> list[dict]:
-        """Bring the points of one or all repositories up to date; returns the counters of each."""
+    def reindex(self, repo: str | None = None, full: bool = False, now: datetime | None = None) -> dict:
+        """Bring the points of one or all repositories up to date.
+
+        Returns ``files_processed, chunks_created, points_upserted, points_deleted`` summed
+        over the repositories and ``errors``; an unknown repository, or one that fails, is an
+        error and doesn't stop the others.
+        """
         now = now or datetime.now(timezone.utc)
+        out = {"files_processed": 0, "chunks_created": 0, "points_upserted": 0, "points_deleted": 0, "errors": []}
+        if not self.config.repo_paths:
+            return out | {"errors": ["no repositories are configured"]}
         self.store.ensure()
-        out = []
         for name in [repo] if repo else list(self.config.repo_paths):
             if name not in self.config.repo_paths:
-                raise ValueError(f"unknown repository {name}")
-            out.append(self._reindex(name, full, now))
+                out["errors"].append(f"unknown repository {name}")
+                continue
+            try:
+                own = self._reindex(name, full, now)
+            except Exception as e:
+                out["errors"].append(f"{name}: {e}")
+                continue
+            for key, value in own.items():
+                out[key] += value
         return out
 
     def _reindex(self, repo: str, full: bool, now: datetime) -> dict:
@@ -112,19 +126,27 @@ class Engine:
         head, known = git.head_commit(root), self.state.read().get(repo)
         everything = full or not known
         listing = git.list_files(self.spark, root, excludes) if everything else git.changed_files(self.spark, root, known.get("lastCommit"), excludes)
-        listing = listing.withColumn("repo", F.lit(repo)).cache()
+        listing = cut_lineage(listing.withColumn("repo", F.lit(repo)))
         files = git.read_files(self.spark, repo, root, changes.paths_to_upsert(listing), head)
-        new = self._points(repo, files)
-        before = self.store.read().where(F.col("repo") == repo).count()
+        # Embedding is the costly step, so its result is written once and then counted and stored.
+        new = cut_lineage(self._points(repo, files))
+        created = new.count()
         if everything:
-            self.store.write(changes.upsert(changes.delete_repos(self.store.read(), [repo]), new))
+            # What counts as deleted is what the last run said that there was.
+            deleted = int((known or {}).get("totalChunks") or 0)
+            self.store.replace_repo(repo, new)
+            total = created
         else:
+            gone = changes.paths_to_delete(listing).select("repo", paths.with_repo(F.col("repo"), F.col("path")).alias("file_path"))
+            deleted = self.store.read([repo]).join(gone, ["repo", "file_path"], "left_semi").count()
             self.store.apply(listing, new)
-        after = self.store.read().where(F.col("repo") == repo).count()
-        self.state.update(repo, head, after, now)
-        processed = listing.count()
-        listing.unpersist()
-        return {"repo": repo, "files_processed": processed, "points_before": before, "points_after": after}
+            total = max(0, int(known.get("totalChunks") or 0) + created - deleted)
+        self.state.update(repo, head, total, now)
+        return {"files_processed": listing.count(), "chunks_created": created, "points_upserted": new.select("point_id").distinct().count(), "points_deleted": deleted}
+
+    def usage_report(self, log: DataFrame, learnings: DataFrame | None = None, collection: str | None = None, days: int | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
+        """The tables of the usage report: days, summary, top hits, empty queries, dead entries, and verdict lines."""
+        return usage.report(log, self.store.read(kind="memory"), learnings, collection, days, now)
 
     def index_status(self) -> DataFrame:
         repos = self.spark.createDataFrame([(r,) for r in self.config.repo_paths], "repo string")
@@ -137,21 +159,31 @@ def _by(*columns: str):
     return Window.orderBy(*columns)
 
 
-def parse_arguments(argv: list[str]) -> tuple[RuntimeConfig, argparse.Namespace]:
-    """Configuration and command. ``--repo NAME --path FOLDER`` may be given several times; folders must exist."""
+def parse_arguments(argv: list[str], environment=None) -> tuple[RuntimeConfig, argparse.Namespace]:
+    """Configuration and command. ``--repo NAME --path FOLDER`` may be given several times; folders must exist.
+
+    What the arguments don't say comes from the environment: ``WORKSPACE_ROOT``,
+    ``COLLECTION``, ``STORE``, ``EMBEDDER_DIMENSIONS``.
+    """
+    env = os.environ if environment is None else environment
     parser = argparse.ArgumentParser(prog="tallgrass")
-    parser.add_argument("--workspace", default=".")
-    parser.add_argument("--collection", default="code_chunks")
+    parser.add_argument("--workspace", default=env.get("WORKSPACE_ROOT") or ".")
+    parser.add_argument("--collection", default=env.get("COLLECTION") or "code_chunks")
     parser.add_argument("--repo", action="append", default=[])
     parser.add_argument("--path", action="append", default=[])
     parser.add_argument("--exclude", action="append", default=[])
-    parser.add_argument("--store", default="tallgrass-store")
-    parser.add_argument("--dimensions", type=int, default=64)
+    parser.add_argument("--store", default=env.get("STORE") or "tallgrass-store")
+    parser.add_argument("--dimensions", type=int, default=int(env.get("EMBEDDER_DIMENSIONS") or 64))
     commands = parser.add_subparsers(dest="command", required=True)
     re = commands.add_parser("reindex")
     re.add_argument("--only")
     re.add_argument("--full", action="store_true")
     commands.add_parser("status")
+    report = commands.add_parser("report")
+    report.add_argument("--log", required=True)
+    report.add_argument("--days", type=int)
+    report.add_argument("--of")
+    report.add_argument("--learnings")
     args = parser.parse_args(argv)
     if len(args.repo) != len(args.path):
         parser.error("every --repo needs its --path")
@@ -165,13 +197,19 @@ def main(argv: list[str] | None = None) -> None:
     import sys
 
     from tallgrass.session import build_session
+    from tallgrass.sources import clients
 
     config, args = parse_arguments(sys.argv[1:] if argv is None else argv)
     spark = build_session()
-    engine = Engine(spark, config, PointStore(spark, args.store, args.dimensions), StateStore(os.path.join(args.store, "state.json")))
+    store, state = PointStore(spark, args.store, args.dimensions), StateStore(os.path.join(args.store, "state.json"), spark)
+    engine = Engine(spark, config, store, state, make_embedder=clients.embedder_of(os.environ, args.dimensions), reranker=clients.reranker_of(os.environ))
     if args.command == "reindex":
-        for row in engine.reindex(args.only, args.full):
-            print(row)
+        print(engine.reindex(args.only, args.full))
+    elif args.command == "report":
+        learnings = logs.verdicts_under(spark, args.learnings) if args.learnings else None
+        for name, table in engine.usage_report(logs.read_log(spark, args.log), learnings, args.of, args.days, datetime.now()).items():
+            print(name)
+            table.show(60, truncate=False)
     else:
         engine.index_status().show(truncate=False)
 

@@ -43,13 +43,34 @@ def blocked(events: DataFrame, changes: DataFrame) -> DataFrame:
     return moves.join(open_changes.where("not _has"), "change", "left_semi").select("call_id", "change")
 
 
-def annotate(calls: DataFrame, entries: int, threshold: int = 70) -> DataFrame:
-    """Add the note that a finished call gets: curation after archiving, a reminder before writing or applying."""
+# What is appended to the output of a call.
+REVIEW = "\n\n[memory-guard] Project memory has {} entries — retrieval precision degrades without curation. Run /memory-review to merge duplicates, refresh stale entries, and drop dead weight."
+BEFORE_WRITING = (
+    "\n\n[memory-guard] Before writing artifacts: call search_memory with a one-line task summary "
+    "and keep the top results as a Project Context Pack (≤10 entries). If search_memory is unavailable, proceed without it."
+)
+BEFORE_APPLYING = (
+    "\n\n[memory-guard] Before implementing: call search_memory with a one-line summary of this change "
+    "(prioritize type=pitfall) and treat the hits as constraints. If search_memory is unavailable, proceed without it."
+)
+
+
+def annotate(calls: DataFrame, entries: DataFrame | int, threshold: int = 70) -> DataFrame:
+    """Add ``note``, the text that is appended to a call's output, and append it.
+
+    After archiving it asks for curation if there are ``threshold`` entries, with their
+    number; before writing or applying it reminds of the search. ``entries`` is the number
+    or a table of one row (``entries``), such as a sum of ``usage.entry_counts``. Calls
+    without an output get none.
+    """
     c = F.col("command")
+    known = calls.crossJoin(F.broadcast(entries.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("_entries")))) if isinstance(entries, DataFrame) else calls.withColumn("_entries", F.lit(entries))  # one row
+    before, after = REVIEW.split("{}")
     note = (
-        F.when((archived_change(c) != "") & F.lit(entries >= threshold), F.lit("review"))
+        F.when((archived_change(c) != "") & (F.col("_entries") >= threshold), F.concat(F.lit(before), F.col("_entries").cast("string"), F.lit(after)))
         .when(archived_change(c) != "", F.lit(None))
-        .when(c.rlike(NEW_CHANGE), F.lit("search before writing"))
-        .when(c.rlike(APPLY_CHANGE), F.lit("search before applying"))
+        .when(c.rlike(NEW_CHANGE), F.lit(BEFORE_WRITING))
+        .when(c.rlike(APPLY_CHANGE), F.lit(BEFORE_APPLYING))
     )
-    return calls.withColumn("note", F.when(F.col("output").isNotNull(), note))
+    noted = known.withColumn("note", F.when(F.col("output").isNotNull(), note)).drop("_entries")
+    return noted.withColumn("output", F.concat("output", F.coalesce("note", F.lit(""))))

@@ -76,20 +76,45 @@ def dead_summary(points: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def verdict_lines(files: DataFrame) -> DataFrame:
-    """``(repo, change, line)``: lines of learnings files that speak of memory impact."""
+    """``(repo, change, line)``: lines of learnings files of change folders that speak of memory impact.
+
+    Only files named exactly ``learnings.md`` below ``openspec/changes/`` count.
+    """
     from tallgrass.functions import paths, text
 
-    learn = files.where(F.lower(paths.base_name(F.col("path"))) == "learnings.md")
+    learn = files.where((paths.base_name(F.col("path")) == "learnings.md") & F.col("path").rlike(r"(^|/)openspec/changes/"))
     rows = learn.select("repo", F.regexp_extract("path", r"([^/]+)/[^/]*\z", 1).alias("change"), F.explode(text.lines(F.col("source"))).alias("line"))
     return rows.where(F.col("line").rlike("(?i)memory impact")).select("repo", "change", text.strip(F.col("line")).alias("line"))
 
 
 def entry_counts(files: DataFrame, threshold: int = 70) -> DataFrame:
-    """``(repo, entries, needs_review)``: headings in memory files, without those in comments."""
-    from tallgrass.functions import paths
+    """``(repo, entries, needs_review)``: headings in the files of a memory folder itself, without those in comments.
 
-    notes = files.where(F.col("path").contains("openspec/memory/") & F.col("path").endswith(".md") & (paths.base_name(F.col("path")) != "index.md"))
+    Files of folders below it and ``index.md`` don't count. Repositories without such files have no row.
+    """
+    notes = files.where(F.col("path").rlike(r"(^|/)openspec/memory/[^/]+\.md\z") & ~F.col("path").rlike(r"/index\.md\z"))
     clean = F.regexp_replace("source", r"<!--[\s\S]*?-->", "")
     counted = notes.select("repo", F.size(F.regexp_extract_all(clean, F.lit("(?m)(^## )"), F.lit(1))).alias("n"))
     total = counted.groupBy("repo").agg(F.sum(F.greatest("n", F.lit(0))).cast("bigint").alias("entries"))
     return total.withColumn("needs_review", F.col("entries") >= threshold)
+
+
+def report(log: DataFrame, points: DataFrame, verdicts: DataFrame | None = None, collection: str | None = None, days: int | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
+    """The usage report as tables by name. ``log`` needs ``ts`` and ``hits``; an ``event_id`` is made up where there is none.
+
+    The lists of dead entries and verdict lines are cut to ``LISTED_ENTRIES``, their numbers are not.
+    """
+    own = select_events(log, collection, days, now)
+    own = own if "event_id" in own.columns else own.withColumn("event_id", F.monotonically_increasing_id())
+    out = {
+        "summary": usage_summary(own),
+        "days": calls_by_day(own).orderBy("day"),
+        "top hits": top_hits(own),
+        "empty queries": empty_query_report(own),
+        "dead": dead_summary(points, own),
+        "dead entries": dead_entries(points, own).orderBy("memory_id").limit(LISTED_ENTRIES),
+    }
+    if verdicts is not None:
+        out["verdicts"] = verdicts.agg(F.count(F.lit(1)).alias("verdicts"))
+        out["verdict lines"] = verdicts.orderBy("change", "line").limit(LISTED_ENTRIES)
+    return out

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text
@@ -21,29 +23,114 @@ def clamp_limit(limit: object) -> int:
     return int(max(1, min(50, limit)))
 
 
+def clamped(limit: Column) -> Column:
+    """``clamp_limit`` of a column of numbers."""
+    number = limit.cast("double")
+    return F.when(number.isNull() | F.isnan(number), F.lit(10)).otherwise(F.floor(F.greatest(F.lit(1.0), F.least(F.lit(50.0), number)))).cast("int")
+
+
 def candidates_for(limit: int) -> int:
     """How many rows each branch fetches for a result of ``limit`` rows."""
     return min(3 * limit, MAX_CANDIDATES)
 
 
-def term_postings(docs: DataFrame, key: str, column: str = "text", max_terms: int = text.MAX_TERMS) -> DataFrame:
-    """``(key, term_hash, tf, weight)``: the terms of each text, most frequent first, cut to ``max_terms``.
+_TOKEN, _BOUNDARY, _SEPARATOR = re.compile(text.TOKEN), re.compile("([a-z0-9])([A-Z])"), re.compile(text.PART_SEPARATOR)
+#: Words whose hashes a process keeps.
+KEPT_WORDS = 500_000
+
+
+def _hashes(word: str) -> tuple[int, ...]:
+    """Hashes of a word's tokens: itself and its parts (see ``text.tokens`` and ``text.term_hash``)."""
+    tokens = [word.lower(), *_SEPARATOR.split(_BOUNDARY.sub(r"\1 \2", word).lower())]
+    out = []
+    for token in tokens:
+        if len(token) >= 2:
+            h = text.FNV_OFFSET
+            for c in token.encode():
+                h = (h ^ c) * text.FNV_PRIME & text.MASK_32
+            out.append(h)
+    return tuple(out)
+
+
+def term_counts(column: Column, max_terms: int = text.MAX_TERMS) -> Column:
+    """array<struct<term_hash, tf>> of a text, most frequent first, cut to ``max_terms``.
 
     Ties at the cut go to the term that occurs first. Terms with one hash are one
-    term. Texts are tokenised inside the row; only (key, hash) pairs are shuffled,
-    after a partial count on the map side. Null and empty texts have no rows.
+    term. A null text gives null, one without tokens an empty array. All of it is
+    work on the row of a text, in Arrow batches; each word is hashed once per process.
     """
-    exploded = docs.select(F.col(key), F.posexplode(text.tokens(F.col(column))).alias("_pos", "_term"))
-    hashed = exploded.select(key, "_pos", text.term_hash(F.col("_term")).alias("term_hash"))
-    counted = hashed.groupBy(key, "term_hash").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.min("_pos").alias("_first"))
-    ranked = counted.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("tf"), "_first")))
-    return ranked.where(F.col("_n") <= max_terms).select(key, "term_hash", "tf", F.log1p(F.col("tf").cast("double")).alias("weight"))
 
+    def count(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, ...]] = {}
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            counts: dict[int, int] = {}
+            for word in _TOKEN.findall(t):
+                found = known.get(word)
+                if found is None:
+                    if len(known) >= KEPT_WORDS:
+                        known.clear()
+                    found = known[word] = _hashes(word)
+                for h in found:
+                    counts[h] = counts.get(h, 0) + 1
+            out.append([{"term_hash": h, "tf": n} for h, n in sorted(counts.items(), key=lambda x: -x[1])[:max_terms]])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(count, "array<struct<term_hash:bigint,tf:int>>")(column)
+
+
+def term_postings(docs: DataFrame, key: str, column: str = "text", max_terms: int = text.MAX_TERMS) -> DataFrame:
+    """``(key, term_hash, tf, weight)``: the terms of each text. Null and empty texts have no rows. No shuffle."""
+    exploded = docs.select(F.col(key), F.explode(term_counts(F.col(column), max_terms)).alias("_t"))
+    return exploded.select(key, "_t.term_hash", "_t.tf", F.log1p(F.col("_t.tf").cast("double")).alias("weight"))
+
+
+def sparse_vector(column: Column, max_terms: int = text.MAX_TERMS) -> Column:
+    """Struct of ascending ``indices`` and their ``values``; null for a text without terms."""
+    pairs = text.let(term_counts(column, max_terms), lambda t: F.array_sort(t))
+    packed = F.struct(F.transform(pairs, lambda p: p["term_hash"]).alias("indices"), F.transform(pairs, lambda p: F.log1p(p["tf"].cast("double"))).alias("values"))
+    return F.when(F.size(pairs) > 0, packed)
+
+
+def sparse_vectors(docs: DataFrame, key: str, column: str = "text", max_terms: int = text.MAX_TERMS) -> DataFrame:
+    """``(key, sparse)`` of the texts that have terms, without a shuffle."""
+    counted = docs.select(F.col(key), term_counts(F.col(column), max_terms).alias("_t")).where(F.size("_t") > 0)
+    ordered = counted.select(key, F.array_sort("_t").alias("_t"))
+    return ordered.select(key, F.struct(F.col("_t.term_hash").alias("indices"), F.transform("_t", lambda p: F.log1p(p["tf"].cast("double"))).alias("values")).alias("sparse"))
 
-def sparse_vectors(postings: DataFrame, key: str) -> DataFrame:
-    """Pack postings into ``(key, sparse)`` with ascending indices."""
-    packed = postings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_hash", "weight"))).alias("_p"))
-    return packed.select(key, F.struct(F.col("_p.term_hash").alias("indices"), F.col("_p.weight").alias("values")).alias("sparse"))
+
+# -- stored postings ---------------------------------------------------------------
+def write_postings(points: DataFrame, folder: str, parts: int = 64) -> None:
+    """Store the postings of sparse vectors by term, with what ranking needs.
+
+    ``terms`` has ``(term_hash, point_id, weight, repo, kind, memory_type)`` in folders by
+    term, sorted in these, so a query opens the parts of its terms only; frequent terms are
+    split over files. ``sizes`` has the frequency of each term and, for the null term, the
+    number of vectors. Made once per snapshot of the points.
+    """
+    fields = [c for c in ("repo", "kind", "memory_type") if c in points.columns]
+    rows = unpack_sparse(points, "point_id", *fields).withColumn("part", F.pmod("term_hash", F.lit(parts)).cast("int"))
+    rows.hint("rebalance", "part").sortWithinPartitions("part", "term_hash").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/terms")
+    stored = points.sparkSession.read.parquet(f"{folder}/terms")
+    sizes = stored.groupBy("term_hash").agg(F.count(F.lit(1)).alias("df"))
+    n = points.where(F.col("sparse").isNotNull()).agg(F.count(F.lit(1)).alias("df")).select(F.lit(None).cast("bigint").alias("term_hash"), "df")
+    sizes.unionByName(n).write.mode("overwrite").parquet(f"{folder}/sizes")
+
+
+def stored_topk(spark: SparkSession, folder: str, query: str, k: int, filters: SearchFilters = SearchFilters(), parts: int = 64) -> DataFrame:
+    """``sparse_topk`` on stored postings: reads only the parts and row groups of the query's terms."""
+    wanted = {r.term_hash: r.query_weight for r in query_terms(spark, query).collect()}  # at most 512
+    sizes = spark.read.parquet(f"{folder}/sizes").where(F.col("term_hash").isNull() | F.col("term_hash").isin(*wanted))
+    n = sizes.where("term_hash is null").select(F.col("df").alias("_n"))
+    idf = sizes.where("term_hash is not null").crossJoin(F.broadcast(n)).select("term_hash", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("_idf"))
+    own = spark.createDataFrame(list(wanted.items()), "term_hash bigint, query_weight double")
+    weights = idf.join(F.broadcast(own), "term_hash")
+    hits = spark.read.parquet(f"{folder}/terms").where(F.col("part").isin(*{h % parts for h in wanted}) & F.col("term_hash").isin(*wanted)).where(filters.condition())
+    scored = hits.join(F.broadcast(weights), "term_hash")  # a row per term of the query
+    return ranked(scored.groupBy("point_id").agg(F.sum(F.col("query_weight") * F.col("weight") * F.col("_idf")).alias("score")), "point_id", k)
 
 
 def unpack_sparse(points: DataFrame, *keep: str, column: str = "sparse") -> DataFrame:

@@ -6,6 +6,8 @@ sides, timestamps are compared as text.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,7 +17,10 @@ from pyspark.sql import functions as F
 from tallgrass.functions import paths, text
 from tallgrass.model import SearchFilters
 from tallgrass.operators import changes, chunking, guard, memory, usage, vectors
-from tallgrass.session import read_spread, read_table
+from tallgrass.session import checkpoint_dir, distinct_by_key, read_spread, read_table
+from tallgrass.sources import logs
+from tallgrass.sources.store import PointStore
+from tallgrass.streaming import live
 
 #: The fixed query and clock of the examples.
 QUERY = "how do we stage the unsorted cache before the router drops a legacy snapshot"
@@ -81,6 +86,11 @@ def _dense_sql(k: int, where: str) -> str:
 dense_top as (select point_id, score, row_number() over (order by score desc, point_id) as rank from dn qualify rank <= {k})"""
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all machines share."""
+    return os.path.join(checkpoint_dir(spark), f"query-{uuid.uuid4().hex}")
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
     """One row per point; repeated rows are exact copies."""
     return read_table(spark, d, "points").dropDuplicates(["point_id"])
@@ -110,7 +120,7 @@ top as (select * from c qualify row_number() over (partition by point_id order b
 select point_id, count(*) as n_terms, string_agg(h::varchar, ',' order by h) as indices, round(sum(ln(1 + tf)), 4) as total from top group by 1""")
 def sparse_vectors(spark, d):
     chunks = read_spread(spark, d, "chunks").select("point_id", "text").distinct()
-    packed = vectors.sparse_vectors(vectors.term_postings(chunks, "point_id"), "point_id")
+    packed = vectors.sparse_vectors(chunks, "point_id")
     total = F.aggregate("sparse.values", F.lit(0.0), lambda s, x: s + x)
     return packed.select("point_id", F.size("sparse.indices").cast("bigint").alias("n_terms"), F.array_join("sparse.indices", ",").alias("indices"), F.round(total, 4).alias("total"))
 
@@ -129,6 +139,25 @@ def id_extract(spark, d):
     return t.select("event_id", F.array_join(text.mentioned_ids(F.col("query")), ",").alias("ids"))
 
 
+@query(r"""with t as (select event_id, query, list_transform(regexp_extract_all(' ' || regexp_replace(query, '[^A-Za-z0-9_\-]', '  ', 'g') || ' ', '[^A-Za-z0-9_]([A-Za-z]{2,5}-[0-9]+)(?:[^A-Za-z0-9_])', 1), lambda x: upper(x)) as ids
+ from (select distinct event_id, query from telemetry) where query is not null)
+select event_id, len(list_distinct(ids)) = 1 and upper(trim(query)) = ids[1] as bare from t""")
+def bare_id(spark, d):
+    t = read_table(spark, d, "telemetry").where("query is not null").select("event_id", "query").distinct()
+    return t.select("event_id", F.coalesce(text.is_bare_id(F.col("query")), F.lit(False)).alias("bare"))
+
+
+@query("select distinct repo, 'code_chunks_' || regexp_replace(repo, '[^A-Za-z0-9]+', '_', 'g') as collection from files where repo is not null")
+def collection_name(spark, d):
+    return read_table(spark, d, "files").where("repo is not null").select("repo", F.concat(F.lit("code_chunks_"), text.collection_name(F.col("repo"))).alias("collection")).distinct()
+
+
+@query("select doc_id, md5(case when position('the cache' in text) > 0 then left(text, position('the cache' in text) - 1) || 'this store' || substr(text, position('the cache' in text) + 9) else text end) as digest from (select distinct doc_id, text from documents) where text is not null")
+def replace_once(spark, d):
+    t = read_table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct()
+    return t.select("doc_id", F.md5(text.replace_once(F.col("text"), "the cache", "this store")).alias("digest"))
+
+
 @query("""select memory_id, memory_type, case when memory_type = 'learning' then null when d is null then 'undated' when date_diff('day', d, date '2026-02-01') > 60 then 'stale' end as state
 from (select *, case when regexp_matches(last_verified, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') then try_cast(last_verified as date) end as d
  from (select memory_id, memory_type, last_verified from core_memory union select memory_id, memory_type, last_verified from chunks where kind = 'memory'))""")
@@ -264,10 +293,39 @@ def memory_sections(spark, d):
     return c.select("repo", F.expr("substring(file_path, length(repo) + 2)").alias("path"), "chunk_index", "start_line", "end_line", "total_chunks", "memory_id", "title", F.md5("text").alias("digest"))
 
 
-@query()
+_SECTIONS = rf"""f as (select distinct repo, path, source, lower({_BASE.format('path')}) as name from files where source is not null and {_MEMORY_PATH} and not regexp_matches(path, '{_SKIP_CHUNKER}')),
+blanked as (select repo, path, string_split(list_reduce(list_concat([source], list_sort(list_distinct(regexp_extract_all(source, '(?s)<!--.*?-->')))), lambda acc, m: replace(acc, m, regexp_replace(m, '[^\n]', '', 'g'))), chr(10)) as ls from f where name not in ('skill.md', 'learnings.md')),
+l as (select repo, path, ls, unnest(ls) as line, generate_subscripts(ls, 1) as pos from blanked),
+h as (select repo, path, ls, pos, trim(regexp_extract(line, '^##\s+([^\r\n]+)$', 1)) as heading from l where regexp_matches(line, '^##\s+[^\r\n]+$')),
+s as (select *, coalesce(lead(pos) over (partition by repo, path order by pos) - 1, len(ls)) as stop, row_number() over (partition by repo, path order by pos) - 1 as i, count(*) over (partition by repo, path) as n from h),
+sections as (select repo, path, i::INT as i, pos::INT as start_line, stop::INT as end_line, n::INT as total, regexp_replace(array_to_string(list_slice(ls, pos::INT, stop::INT), chr(10)), '{_TRIM}', '', 'g') as body,
+ case when regexp_matches(heading, '^[A-Za-z][A-Za-z0-9_\-]{{1,14}}:\s+.+$') then regexp_extract(heading, '^([A-Za-z][A-Za-z0-9_\-]{{1,14}}):', 1) else left(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48) end as memory_id,
+ case when regexp_matches(heading, '^[A-Za-z][A-Za-z0-9_\-]{{1,14}}:\s+.+$') then trim(regexp_extract(heading, '^[A-Za-z][A-Za-z0-9_\-]{{1,14}}:\s+(.+)$', 1)) else heading end as title, null as described from s),
+heads as (select *, regexp_extract(source, '^---\n((?s).*?)\n---', 1) as front, regexp_extract(path, '([^/]+)/[^/]*$', 1) as folder from f where name in ('skill.md', 'learnings.md')),
+named as (select *, regexp_replace(regexp_extract_all(front, '(?m)^name:[ \t]*(\S[^\n]*)$', 1)[-1], '{_TRIM}', '', 'g') as skill, regexp_replace(regexp_extract_all(front, '(?m)^description:[ \t]*(\S[^\n]*)$', 1)[-1], '{_TRIM}', '', 'g') as described,
+ nullif(regexp_replace(regexp_extract(source, '(?m)^#\s+(.+)$', 1), '{_TRIM}', '', 'g'), '') as first_heading from heads),
+whole as (select repo, path, 0 as i, 1 as start_line, len(string_split(source, chr(10)))::INT as end_line, 0 as total, source as body,
+ case name when 'skill.md' then coalesce(skill, left(regexp_replace(regexp_replace(lower({_BASE.format('path')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48)) else left(regexp_replace(regexp_replace(lower(folder), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48) end as memory_id,
+ case name when 'skill.md' then coalesce(skill, {_BASE.format('path')}) else coalesce(first_heading, 'Learnings — ' || folder) end as title, case name when 'skill.md' then described end as described from named),
+every as (select * from sections union all select * from whole),
+ln as (select repo, path, i, pos, regexp_replace(line, '{_TRIM}', '', 'g') as line from (select repo, path, i, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as pos from every)),
+field as (select repo, path, i, pos, line, regexp_extract(line, '(?i)^(?:[-*]\s+)?(?:\*\*)?When relevant:?(?:\*\*)?:?\s*(.*)$', 1) as w,
+ regexp_extract(regexp_extract(line, '(?i)^(?:[-*]\s+)?(?:\*\*)?Last verified:?(?:\*\*)?:?\s*(.*)$', 1), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') as v,
+ regexp_matches(line, '(?i)^(?:\*\*)?Evidence[^:]*:(?:\*\*)?\s*$') as label, regexp_extract(line, '^[-*]\s+(.+)$', 1) as bullet from ln),
+runs as (select *, sum(case when label or line <> '' and bullet = '' then 1 else 0 end) over (partition by repo, path, i order by pos) as g from field),
+ev as (select repo, path, i, g, string_agg(regexp_replace(bullet, '{_TRIM}', '', 'g'), '|' order by pos) filter (bullet <> '' and not label) as evidence from runs group by 1, 2, 3, 4 having bool_or(label)),
+last_ev as (select repo, path, i, arg_max(evidence, g) as evidence from ev where evidence is not null group by 1, 2, 3),
+fields as (select repo, path, i, arg_max(w, pos) filter (w <> '') as w, arg_max(v, pos) filter (v <> '') as v from field group by 1, 2, 3)"""
+
+
+@query(f"""with {_SECTIONS} select e.repo, e.path, e.i as chunk_index, e.start_line, e.end_line, e.total as total_chunks, e.memory_id, e.title,
+ coalesce(regexp_replace(f.w, '{_TRIM}', '', 'g'), e.described) as when_relevant, x.evidence, f.v as last_verified, md5(e.body) as digest
+ from every e join fields f on f.repo = e.repo and f.path = e.path and f.i = e.i left join last_ev x on x.repo = e.repo and x.path = e.path and x.i = e.i""")
 def memory_chunks(spark, d):
     f = _current_files(spark, d)
-    return chunking.chunk_memory(f.where(paths.is_memory_path(F.col("path")) & ~paths.is_skipped(F.col("path"), for_chunker=True)))
+    c = chunking.chunk_memory(f.where(paths.is_memory_path(F.col("path")) & ~paths.is_skipped(F.col("path"), for_chunker=True)))
+    own = c.select("repo", F.expr("substring(file_path, length(repo) + 2)").alias("path"), "chunk_index", "start_line", "end_line", "total_chunks", "memory_id", "title", "when_relevant", F.array_join("evidence", "|").alias("evidence"), "last_verified", F.md5("text").alias("digest"))
+    return own
 
 
 @query()
@@ -276,11 +334,35 @@ def ast_chunks(spark, d):
     return chunking.chunk_scripts(f.where(paths.extension(F.col("path")).isin(*paths.SCRIPT_LANGUAGES) & ~paths.is_skipped(F.col("path"), for_chunker=True)))
 
 
+@query("""with p as (select p_partkey as k, p_partkey % 7 as n from part),
+d as (select k, 3 as a, 4 + n as b, 'alpha' || k as name, 'function' as type from p union all select k, 6 + n, 8 + n, 'Shape' || k, 'interface' from p union all select k, 10 + n, 14 + n, 'Box' || k, 'class' from p
+ union all select k, 11 + n, 13 + n, 'open', 'method' from p union all select k, 16 + n, 16 + n, 'Name' || k, 'type' from p union all select k, 18 + n, 18 + n, 'pick' || k, 'component' from p)
+select 'src/part' || k || '.ts' as path, a::INT as start_line, b::INT as end_line, name as symbol_name, type as symbol_type, '// ' || type || ': ' || name || ' (lines ' || a || '-' || b || ')' as label, (row_number() over (partition by k order by a, b) - 1)::INT as chunk_index from d""")
+def script_declarations(spark, d):
+    """Scripts made from the parts, whose declarations are known by arithmetic."""
+    k = F.col("p_partkey")
+    source = F.concat(
+        F.lit("import x from 'x';\n\nexport function alpha"), k, F.lit("(a: number) {\n"), F.expr("repeat('  run(a);\n', cast(p_partkey % 7 as int))"), F.lit("}\n\ninterface Shape"), k, F.lit(" {\n  a: string;\n}\n\nclass Box"), k,
+        F.lit(" {\n  open(b: number) {\n    return b;\n  }\n}\n\ntype Name"), k, F.lit(" = string;\n\nconst pick"), k, F.lit(" = (c: number) => c;\n"),
+    )
+    f = read_spread(spark, d, "part").select(F.lit("r").alias("repo"), F.concat(F.lit("src/part"), k, F.lit(".ts")).alias("path"), source.alias("source"), F.lit("c").alias("commit_hash"))
+    c = chunking.chunk_scripts(f)
+    return c.select(F.expr("substring(file_path, length(repo) + 2)").alias("path"), "start_line", "end_line", "symbol_name", "symbol_type", F.get(F.split("text", "\n"), F.lit(1)).alias("label"), "chunk_index")
+
+
 @query()
 def chunk_files(spark, d):
     return chunking.with_point_ids(chunking.chunk_files(_current_files(spark, d)))
 
 
+@query(rf"""select distinct repo, path, {_LANGUAGES}[{_EXT.format('path')}] as language from files where source is not null and not regexp_matches(path, '{_SKIP_CHUNKER}') and not {_MEMORY_PATH}
+ and ({_EXT.format('path')} in {_LINE_EXTENSIONS} or {_EXT.format('path')} in ('.ts','.tsx','.js','.jsx') and regexp_matches(source, '[^\s\x{{A0}}\x{{FEFF}}]'))""")
+def chunk_routes(spark, d):
+    """Which files have chunks of code, and in which language."""
+    c = chunking.chunk_files(_current_files(spark, d)).where("kind = 'code'")
+    return c.select("repo", F.expr("substring(file_path, length(repo) + 2)").alias("path"), "language").distinct()
+
+
 # -- retrieval ------------------------------------------------------------------
 @query(f"with {_sparse_sql(30, 'true')} select point_id, round(score, 6) as score, rank from sparse_top")
 def sparse_topk(spark, d):
@@ -318,26 +400,57 @@ def filtered_hybrid(spark, d):
     return _rounded(vectors.hybrid_topk(_points(spark, d), QUERY, QUERY_VECTOR, 10, SearchFilters(repo="meridian-core", exclude_memory=True)))
 
 
-@query("""with a as (select (vec_id % 10)::INT as idx, vec_id as pos, round(embedding[1]::DOUBLE, 6) as s from embeddings where vec_id < 10)
-select row_number() over (order by coalesce(s, 0) desc, pos) as rank, idx as "index" from a where idx is not null""")
+@query(f"with {_sparse_sql(30, 'true')} select point_id, round(score, 6) as score, rank from sparse_top")
+def stored_sparse_topk(spark, d):
+    """The same ranking from stored postings."""
+    folder = _scratch(spark)
+    vectors.write_postings(_points(spark, d), folder)
+    return _rounded(vectors.stored_topk(spark, folder, QUERY, 30))
+
+
+def _answer(spark, d) -> DataFrame:
+    """An answer of a reranking service about all vectors, in which some have no index and some no score."""
+    e = read_table(spark, d, "embeddings")
+    score = F.round(F.col("embedding")[0].cast("double"), 3)
+    return e.select(
+        F.col("vec_id").alias("input_pos"), F.when(score > -0.9, F.col("vec_id").cast("int")).alias("index"), F.when(score > 0.5, score).alias("relevance_score"), F.when(score > -0.2, score).alias("score")
+    )
+
+
+_ANSWER = """a as (select vec_id as pos, case when s > -0.9 then vec_id::INT end as idx, case when s > 0.5 then s when s > -0.2 then s else 0 end as s from (select vec_id, round(embedding[1]::DOUBLE, 3) as s from embeddings)),
+o as (select row_number() over (order by s desc, pos) as rank, idx as "index" from a where idx is not null)"""
+
+
+@query(f"with {_ANSWER} select * from o")
 def rerank_order(spark, d):
-    e = read_table(spark, d, "embeddings").where("vec_id < 10")
-    answer = e.select(F.col("vec_id").alias("input_pos"), (F.col("vec_id") % 10).cast("int").alias("index"), F.lit(None).cast("double").alias("relevance_score"), F.round(F.col("embedding")[0].cast("double"), 6).alias("score"))
-    return vectors.rerank_order(answer).withColumn("rank", F.col("rank").cast("bigint"))
+    return vectors.rerank_order(_answer(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("""with m as (select distinct point_id, memory_id, kind from chunks where kind = 'memory'),
+@query(f"""with {_ANSWER}, {_sparse_sql(50, 'true')} select point_id, round(score, 6) as score, row_number() over (order by o.rank) as rank from o join sparse_top s on s.rank = o."index" + 1""")
+def rerank_apply(spark, d):
+    """Candidates in the order of an answer that also names positions that there aren't."""
+    found = vectors.apply_rerank(vectors.sparse_topk(_points(spark, d), QUERY, 50), vectors.rerank_order(_answer(spark, d)), 50)
+    return _rounded(found.withColumn("rank", F.row_number().over(Window.orderBy("rank"))).select("point_id", "score", "rank"))
+
+
+@query("""select event_id, case when n is null or isnan(n) then 10 else floor(greatest(1, least(50, n)))::INT end as "limit"
+from (select event_id, hits[1].score * 80 - 10 as n from (select distinct event_id, hits from telemetry))""")
+def limit_clamp(spark, d):
+    t = read_table(spark, d, "telemetry").select("event_id", F.get("hits", F.lit(0))["score"].alias("s"), "hits").distinct()
+    return t.select("event_id", vectors.clamped(F.col("s") * 80 - 10).alias("limit"))
+
+
+@query(f"""with m as (select distinct point_id, memory_id, kind from chunks where kind = 'memory'),
 p as (select point_id, memory_id, row_number() over (partition by memory_id order by point_id) as n from m where memory_id in ('WF-1002', 'CON-1001')),
 pin as (select point_id, row_number() over (order by case memory_id when 'WF-1002' then 1 else 2 end, point_id) as rank from p where n <= 5),
-sem as (select point_id, row_number() over (order by point_id) as rank from m qualify rank <= 20),
-mix as (select point_id, 0 as tier, rank from pin union all select point_id, 1, rank from sem where point_id not in (select point_id from pin))
+{_sparse_sql(20, "kind = 'memory'")},
+mix as (select point_id, 0 as tier, rank from pin union all select point_id, 1, rank from sparse_top where point_id not in (select point_id from pin))
 select point_id, r as rank from (select point_id, tier, row_number() over (order by tier, rank, point_id) as r from mix) where r <= 10 or tier = 0""")
 def id_pin_merge(spark, d):
     m = read_table(spark, d, "chunks").where("kind = 'memory'").select("point_id", "memory_id", "kind", "repo").distinct()
     found = memory.find_by_ids(m, ["WF-1002", "CON-1001"])
     pinned = found.select("point_id", F.lit(1.0).alias("score"), F.row_number().over(Window.orderBy("id_order", "point_id")).alias("rank"))
-    top = m.select("point_id", F.lit(0.5).alias("score")).orderBy("point_id").limit(20)
-    semantic = top.withColumn("rank", F.row_number().over(Window.orderBy("point_id")))
+    semantic = vectors.sparse_topk(_points(spark, d), QUERY, 20, SearchFilters(kind="memory"))
     return memory.pin_merge(pinned, semantic, 10).select("point_id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -391,13 +504,13 @@ def diff_parse(spark, d):
 def _change_rows(spark, d) -> DataFrame:
     f = read_table(spark, d, "files").select("file_id", "repo", "path").distinct()
     k = F.col("file_id") % 10
-    return f.where(k < 7).select("repo", "path", F.when(k < 2, "A").when(k < 5, "M").otherwise("D").alias("status"), F.lit(None).cast("string").alias("old_path"))
+    return f.select("repo", "path", F.when(k < 2, "A").when(k < 5, "M").when(k < 7, "D").otherwise("C").alias("status"), F.lit(None).cast("string").alias("old_path"))
 
 
-_CHANGES_SQL = """ch as (select repo, path, case when file_id % 10 < 2 then 'A' when file_id % 10 < 5 then 'M' else 'D' end as status from (select distinct file_id, repo, path from files) where file_id % 10 < 7),
+_CHANGES_SQL = """ch as (select repo, path, case when file_id % 10 < 2 then 'A' when file_id % 10 < 5 then 'M' when file_id % 10 < 7 then 'D' else 'C' end as status from (select distinct file_id, repo, path from files)),
 old as (select distinct point_id, repo, file_path, chunk_index from chunks),
-gone as (select distinct repo, repo || '/' || path as file_path from ch),
-neu as (select point_id, old.repo, file_path, chunk_index + 1000 as chunk_index from old semi join (select repo, repo || '/' || path as file_path from ch where status <> 'D') using (repo, file_path))"""
+gone as (select distinct repo, repo || '/' || path as file_path from ch where status <> 'C'),
+neu as (select point_id, old.repo, file_path, chunk_index + 1000 as chunk_index from old semi join (select repo, repo || '/' || path as file_path from ch where status in ('A', 'M')) using (repo, file_path))"""
 
 
 def _old_and_new(spark, d):
@@ -492,36 +605,53 @@ def empty_queries(spark, d):
     return usage.empty_queries(_log(spark, d)).withColumn("first_ts", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(f"with {_LOG}, e as (select query, count(*) as n, min(ts) as f from log where hits is null or len(hits) = 0 group by 1) select query, n, strftime(f, '%Y-%m-%d %H:%M:%S') as first_ts from e order by f, query nulls first limit 10")
+def empty_query_report(spark, d):
+    return usage.empty_query_report(_log(spark, d)).withColumn("first_ts", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss"))
+
+
 _DEAD = f"""{_LOG}, idx as (select memory_id, max(memory_type) as memory_type from chunks where kind = 'memory' and memory_id <> '' group by 1),
-seen as (select distinct h.id as memory_id from (select unnest(hits) as h from log) where h.id is not null), dead as (select * from idx anti join seen using (memory_id))"""
+seen as (select distinct h.id as memory_id from (select unnest(hits) as h from log where collection = 'code_chunks_atlas_core') where h.id is not null), dead as (select * from idx anti join seen using (memory_id))"""
+
+
+def _own_log(spark, d) -> DataFrame:
+    return usage.select_events(_log(spark, d), "code_chunks_atlas_core")
 
 
 @query(f"with {_DEAD} select memory_id, memory_type from dead")
 def dead_entries(spark, d):
-    return usage.dead_entries(read_table(spark, d, "chunks"), _log(spark, d))
+    return usage.dead_entries(read_table(spark, d, "chunks"), _own_log(spark, d))
 
 
 @query(f"with {_DEAD} select (select count(*) from dead) as dead, (select count(*) from idx) as indexed, (select count(*) from dead) > 5 as consolidate")
 def dead_summary(spark, d):
-    return usage.dead_summary(read_table(spark, d, "chunks"), _log(spark, d))
+    return usage.dead_summary(read_table(spark, d, "chunks"), _own_log(spark, d))
 
 
-@query(rf"""with l as (select repo, path, unnest(string_split(source, chr(10))) as line from (select distinct file_id, repo, path, source from files) where lower({_BASE.format('path')}) = 'learnings.md')
-select repo, regexp_extract(path, '([^/]+)/[^/]*$', 1) as change, regexp_replace(line, '{_TRIM}', '', 'g') as line from l where regexp_matches(line, '(?i)memory impact')""")
+@query(rf"""with f as (select doc_id, case doc_kind when 'readme' then 'x/openspec/changes/c' || doc_id || '/LEARNINGS.md' when 'design' then 'docs/c' || doc_id || '/learnings.md' else 'openspec/changes/c' || doc_id || '/learnings.md' end as path,
+  replace(text, 'cache', 'Memory impact') as source from (select distinct doc_id, doc_kind, text from documents) where text is not null),
+l as (select doc_id, path, unnest(string_split(source, chr(10))) as line from f where regexp_matches(path, '(^|/)openspec/changes/.*/learnings\.md$'))
+select doc_id::varchar as repo, 'c' || doc_id as change, regexp_replace(line, '{_TRIM}', '', 'g') as line from l where regexp_matches(line, '(?i)memory impact')""")
 def verdict_lines(spark, d):
-    return usage.verdict_lines(read_table(spark, d, "files").select("file_id", "repo", "path", "source").distinct())
+    """All documents as learnings files, some under names or in folders that don't count."""
+    docs = read_table(spark, d, "documents").where("text is not null").select("doc_id", "doc_kind", "text").distinct()
+    name = F.concat(F.lit("c"), "doc_id", F.lit("/"))
+    path = F.when(F.col("doc_kind") == "readme", F.concat(F.lit("x/openspec/changes/"), name, F.lit("LEARNINGS.md"))).when(F.col("doc_kind") == "design", F.concat(F.lit("docs/"), name, F.lit("learnings.md")))
+    path = F.coalesce(path, F.concat(F.lit("openspec/changes/"), name, F.lit("learnings.md")))
+    return usage.verdict_lines(docs.select(F.col("doc_id").cast("string").alias("repo"), path.alias("path"), F.replace("text", F.lit("cache"), F.lit("Memory impact")).alias("source")))
 
 
-@query(r"""with f as (select distinct file_id, repo, path, source from files where contains(path, 'openspec/memory/') and path like '%.md' and regexp_extract(path, '[^/]*$') <> 'index.md')
-select repo, sum(len(regexp_extract_all(regexp_replace(source, '(?s)<!--.*?-->', '', 'g'), '(?m)^## ')))::BIGINT as entries,
- sum(len(regexp_extract_all(regexp_replace(source, '(?s)<!--.*?-->', '', 'g'), '(?m)^## '))) >= 70 as needs_review from f group by 1""")
+@query(f"with {{}} select repo, entries, entries >= 70 as needs_review from ent")
 def memory_entry_counts(spark, d):
     return usage.entry_counts(read_table(spark, d, "files").select("file_id", "repo", "path", "source").distinct())
 
 
 # -- guard ----------------------------------------------------------------------
 def _hooks(spark, d) -> DataFrame:
-    e = read_table(spark, d, "events")
+    return _hook_rows(read_table(spark, d, "events"))
+
+
+def _hook_rows(e: DataFrame) -> DataFrame:
     k = F.col("user_id") % 4
     command = (
         F.when(k == 0, F.concat(F.lit("mv openspec/changes/c"), F.col("user_id"), F.lit(" openspec/changes/archive/")))
@@ -550,16 +680,102 @@ def hook_correlate(spark, d):
     return guard.correlate(_hooks(spark, d)).select("call_id", "command", "output")
 
 
-@query(f"with {_HOOKS_SQL} select call_id, 'c' || user_id as change from hooks where first and tool = 'bash' and user_id % 4 = 0 and user_id in (select user_id from events where user_id % 3 = 0) and user_id % 8 <> 0")
+@query(f"with {_HOOKS_SQL} select call_id, 'c' || user_id as change from hooks where first and tool = 'bash' and user_id % 4 = 0 and user_id in (select user_id from events where event_type = 'error') and user_id % 8 <> 0")
 def guard_block(spark, d):
-    e = read_table(spark, d, "events").where("user_id % 3 = 0")
+    e = read_table(spark, d, "events").where("event_type = 'error'")
     known = e.select(F.concat(F.lit("c"), F.col("user_id")).alias("change"), (F.col("user_id") % 8 == 0).alias("has_learnings")).distinct()
     return guard.blocked(_hooks(spark, d), known)
 
 
-@query(f"with {_HOOKS_SQL} select call_id, case when command like 'mv %' then 'review' when command like '%new%' then 'search before writing' when command like '%apply%' then 'search before applying' end as note from pairs")
+_ENTRIES_SQL = r"""mem as (select distinct file_id, repo, path, source from files where regexp_matches(path, '(^|/)openspec/memory/[^/]+\.md$') and not regexp_matches(path, '/index\.md$')),
+ent as (select repo, sum(len(regexp_extract_all(regexp_replace(source, '(?s)<!--.*?-->', '', 'g'), '(?m)^## ')))::BIGINT as entries from mem group by 1)"""
+_NOTE_SQL = f"""case when command like 'mv %' then case when n >= 70 then '{guard.REVIEW.split("{}")[0]}' || n || '{guard.REVIEW.split("{}")[1]}' end
+ when command like '%new%' then '{guard.BEFORE_WRITING}' when command like '%apply%' then '{guard.BEFORE_APPLYING}' end"""
+
+
+@query(f"with {_HOOKS_SQL}, {_ENTRIES_SQL}, t as (select coalesce(sum(entries), 0)::BIGINT as n from ent) select call_id, {_NOTE_SQL} as note, md5(output || coalesce({_NOTE_SQL}, '')) as output from pairs cross join t")
 def guard_notes(spark, d):
-    return guard.annotate(guard.correlate(_hooks(spark, d)), entries=70).select("call_id", "note")
+    entries = usage.entry_counts(read_table(spark, d, "files").select("file_id", "repo", "path", "source").distinct())
+    return guard.annotate(guard.correlate(_hooks(spark, d)), entries).select("call_id", "note", F.md5("output").alias("output"))
+
+
+# -- streams --------------------------------------------------------------------
+def _stream(spark, d, name) -> DataFrame:
+    """A table as a stream of its files."""
+    at = os.path.join(d, f"{name}.parquet")
+    reader = spark.readStream.schema(read_table(spark, d, name).schema)
+    rows = reader.parquet(at) if os.path.isdir(at) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
+
+
+def _run(spark, frame: DataFrame, mode: str) -> DataFrame:
+    """What a stream has put out when its input is used up."""
+    folder = _scratch(spark)
+    if mode == "complete":
+        started = frame.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
+    else:
+        started = frame.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
+    started.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{folder}/out")
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, count(*) as calls, count(*) filter (hits is null or len(hits) = 0) as empty from telemetry where ts is not null group by 1")
+def stream_calls(spark, d):
+    out = _run(spark, live.windowed_calls(_stream(spark, d, "telemetry")), "complete")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "calls", "empty")
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, id, count(*) as n from (select ts, unnest(hits).id as id from telemetry where ts is not null) where id <> '' group by 1, 2")
+def stream_hits(spark, d):
+    out = _run(spark, live.windowed_hits(_stream(spark, d, "telemetry")), "complete")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "id", "n")
+
+
+@query(f"""with {_HOOKS_SQL} select b.call_id, b.command, a.event_type as output from hooks b join hooks a on a.call_id = b.call_id and b.first and not a.first and a.tool = 'bash' and b.tool = 'bash'
+ and a.ts >= b.ts and a.ts <= b.ts + interval 1 hour""")
+def stream_pairs(spark, d):
+    return _run(spark, live.paired_calls(_hook_rows(_stream(spark, d, "events"))), "append").select("call_id", "command", "output")
+
+
+# -- stored state -----------------------------------------------------------------
+@query("""select collection, count(*) as n, sum(len(hits))::BIGINT as hits, count(*) filter (via_id) as via_id, count(*) filter (len(id_hits) > 0) as with_ids, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_ts,
+ count(query) as queries, round(sum(hits[1].score), 4) as score from telemetry group by 1""")
+def log_roundtrip(spark, d):
+    """The log written as JSON lines and read again."""
+    folder = _scratch(spark)
+    logs.append_log(read_table(spark, d, "telemetry").drop("event_id", "received_at"), folder)
+    r = logs.read_log(spark, folder)
+    return r.groupBy("collection").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("hits").isNotNull(), F.size("hits"))).alias("hits"), F.count(F.when(F.col("via_id"), 1)).alias("via_id"), F.count(F.when(F.size("id_hits") > 0, 1)).alias("with_ids"),
+        F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_ts"), F.count("query").alias("queries"), F.round(F.sum(F.get("hits", F.lit(0))["score"]), 4).alias("score"),
+    )
+
+
+_STORED_SQL = """all_points as (select distinct on (point_id) * from chunks order by point_id),
+ch as (select repo, path, file_id % 10 as k from (select distinct file_id, repo, path from files)),
+kept as (select * from all_points where repo <> 'atlas-core' and file_path not in (select repo || '/' || path from ch where k < 7)),
+new as (select * replace (upper(text) as text) from all_points where file_path in (select repo || '/' || path from ch where k < 5)),
+now as (select * from kept union all select * from new)"""
+
+
+@query(f"with {_STORED_SQL} select repo, kind, count(*) as n, sum(length(text))::BIGINT as characters, count(*) filter (text = upper(text)) as upper from now group by 1, 2")
+def store_changes(spark, d):
+    """A store that is filled, loses a repository, and takes a change set."""
+    store = PointStore(spark, _scratch(spark), 64)
+    store.ensure()
+    none = {f.name: F.lit(None).cast(f.dataType) for f in store.empty().schema.fields}
+    points = distinct_by_key(read_table(spark, d, "chunks"), "point_id")
+    rows = points.select(*[F.col(c) if c in points.columns else none[c].alias(c) for c in none])
+    store.write(rows)
+    store.delete_repo("atlas-core")
+    ch = _change_rows(spark, d)
+    up = changes.paths_to_upsert(ch).select("repo", paths.with_repo(F.col("repo"), F.col("path")).alias("file_path"))
+    store.apply(ch, rows.join(up, ["repo", "file_path"], "left_semi").withColumn("text", F.upper("text")))
+    grouped = store.read().groupBy("repo", "kind")
+    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters"), F.count(F.when(F.col("text") == F.upper("text"), 1)).alias("upper"))
+
+
+_SQL["memory_entry_counts"] = _SQL["memory_entry_counts"].format(_ENTRIES_SQL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,8 @@
 """Embedding and reranking services behind two small protocols.
 
-No client of a service ships with the package; a caller passes an object that
-makes the calls. Batching, bisection and retries are here, so that every client
-gets them.
+``clients`` has those over HTTP; a caller may pass any object that makes the calls.
+Batching, bisection, retries and the time that all attempts have together are here,
+so that every client gets them.
 """
 
 from __future__ import annotations
@@ -37,14 +37,24 @@ class Reranker(Protocol):
     def rerank(self, query: str, texts: list[str], top_n: int) -> list[dict] | None: ...
 
 
-def call_with_retry(call: Callable[[], object], wait: Callable[[float], None] = time.sleep, retries: int = RETRIES, only: Callable[[ServiceError], bool] = lambda e: e.passing):
+def call_with_retry(
+    call: Callable[..., object], wait: Callable[[float], None] = time.sleep, retries: int = RETRIES, only: Callable[[ServiceError], bool] = lambda e: e.passing, seconds: float | None = None, clock: Callable[[], float] = time.monotonic
+):
+    """``call()``, again after failures that pass. With ``seconds``, all attempts and waits share them, and ``call`` gets what is left."""
+    end = None if seconds is None else clock() + seconds
     for attempt in range(retries + 1):
+        left = None if end is None else end - clock()
+        if left is not None and left <= 0:
+            raise ServiceError("the time for all attempts is over")
         try:
-            return call()
+            return call() if left is None else call(left)
         except ServiceError as e:
             if attempt == retries or not only(e):
                 raise
-            wait(min(2.0**attempt, MAX_DELAY_S))
+            pause = min(2.0**attempt, MAX_DELAY_S)
+            if end is not None and clock() + pause >= end:
+                raise ServiceError("the time for all attempts is over") from e
+            wait(pause)
     raise AssertionError
 
 
@@ -58,7 +68,8 @@ def embed_all(embedder: Embedder, texts: list[str], batch: int = BATCH, wait: Ca
 
 def _embed(embedder: Embedder, texts: list[str], wait) -> list[list[float]]:
     try:
-        vectors = call_with_retry(lambda: embedder.embed(texts), wait)
+        seconds = getattr(embedder, "timeout", None)
+        vectors = call_with_retry(lambda *left: embedder.embed(texts, *left), wait, seconds=seconds)
     except ServiceError as e:
         if not e.too_long:
             raise
@@ -81,7 +92,7 @@ def with_embeddings(chunks: DataFrame, make_embedder: Callable[[], Embedder], ba
         client = make_embedder()
         for pdf in batches:
             has = pdf["text"].notna()
-            found = iter(embed_all(client, pdf.loc[has, "text"].tolist(), batch))
+            found = iter(embed_all(client, pdf.loc[has, "text"].tolist(), getattr(client, "batch", batch)))
             yield pdf.assign(dense=[next(found) if h else None for h in has])
 
     return chunks.mapInPandas(run, schema)
@@ -117,7 +128,8 @@ def parse_rerank(answer: object) -> list[int] | None:
     """
     if not isinstance(answer, dict):
         return None
-    entries = answer.get("results", answer.get("data"))
+    entries = answer.get("results")
+    entries = answer.get("data") if entries is None else entries
     if not isinstance(entries, list):
         return None
     number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
@@ -132,7 +144,7 @@ def rerank(reranker: Reranker | None, query: str, texts: list[str], top_n: int,
     if reranker is None or not texts:
         return plain
     try:
-        answer = call_with_retry(lambda: reranker.rerank(query, texts, top_n), wait, only=lambda e: e.status == 429)
+        answer = call_with_retry(lambda *left: reranker.rerank(query, texts, top_n, *left), wait, only=lambda e: e.status == 429, seconds=getattr(reranker, "timeout", None))
     except Exception:
         return plain
     order = parse_rerank(answer if isinstance(answer, dict) else {"results": answer})

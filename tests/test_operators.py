@@ -94,7 +94,7 @@ def test_point_ids_are_unique(spark):
 
 def points(spark):
     docs = spark.createDataFrame([("p1", "alpha beta", "x", None), ("p2", "beta gamma", "x", "memory"), ("p3", "delta", "y", "code")], "point_id string, text string, repo string, kind string")
-    sparse = vectors.sparse_vectors(vectors.term_postings(docs, "point_id"), "point_id")
+    sparse = vectors.sparse_vectors(docs, "point_id")
     dense = spark.createDataFrame([("p1", [1.0, 0.0]), ("p2", [0.6, 0.8]), ("p3", [0.0, 0.0]), ("p4", None), ("p5", [1.0])], "point_id string, dense array<float>")
     return docs.join(sparse, "point_id", "full").join(dense, "point_id", "full").withColumn("memory_type", F.lit(None).cast("string"))
 
@@ -266,10 +266,42 @@ def test_guard(spark):
     events = spark.createDataFrame(rows, HOOKS)
     calls = guard.correlate(events)
     assert sorted(r.call_id for r in calls.collect()) == ["1", "2"]
-    assert {(r.call_id, r.note) for r in guard.annotate(calls, 70).collect()} == {("1", "review"), ("2", "search before writing")}
-    assert {(r.call_id, r.note) for r in guard.annotate(calls, 69).collect()} == {("1", None), ("2", "search before writing")}
+    before = {r.call_id: r.output for r in calls.collect()}
+    counts = spark.createDataFrame([("a", 40), ("b", 30)], "repo string, entries bigint")
+    for entries in (70, counts):
+        got = {r.call_id: r for r in guard.annotate(calls, entries).collect()}
+        assert {k: r.note for k, r in got.items()} == {"1": guard.REVIEW.format(70), "2": guard.BEFORE_WRITING}
+        assert all(r.output == before[k] + r.note for k, r in got.items())
+    assert {r.call_id: r.note for r in guard.annotate(calls, 69).collect()} == {"1": None, "2": guard.BEFORE_WRITING}
+    assert guard.annotate(calls, counts.limit(0)).where("call_id = '1'").first().note is None
     folders = spark.createDataFrame([("add-x", False), ("other", True)], "change string, has_learnings boolean")
     assert [tuple(r) for r in guard.blocked(events, folders).collect()] == [("1", "add-x")]
     done = spark.createDataFrame([("add-x", True)], "change string, has_learnings boolean")
     assert guard.blocked(events, done).count() == 0
     assert guard.blocked(events, done.limit(0)).count() == 0
+
+
+def test_stored_postings(spark, tmp_path):
+    texts = [(f"p{i}", f"alpha beta{i % 3} gamma {'delta ' * (i % 5)}", "r" if i % 2 else "q", "code", None) for i in range(60)] + [("none", None, "r", "code", None), ("empty", "", "r", "code", None)]
+    points = spark.createDataFrame(texts, "point_id string, text string, repo string, kind string, memory_type string").withColumn("sparse", vectors.sparse_vector(F.col("text")))
+    assert points.where("sparse is null").count() == 2
+    folder = str(tmp_path / "postings")
+    vectors.write_postings(points, folder, parts=4)
+    for query in ("delta beta1", "unheard", "alpha"):
+        for filters in (SearchFilters(), SearchFilters(repo="r")):
+            want = [(r.point_id, round(r.score, 9), r["rank"]) for r in vectors.sparse_topk(points, query, 7, filters).collect()]
+            assert [(r.point_id, round(r.score, 9), r["rank"]) for r in vectors.stored_topk(spark, folder, query, 7, filters, parts=4).collect()] == want
+    plan = vectors.stored_topk(spark, folder, "delta", 7, parts=4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "PushedFilters" in plan
+
+
+def test_terms_are_counted_in_the_row(spark):
+    df = spark.createDataFrame([("a", "x1 y2 readAlpha")], "k string, text string")
+    assert "Exchange" not in vectors.term_postings(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in vectors.sparse_vectors(df, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clamped(spark):
+    values = [None, float("nan"), -3.0, 0.0, 1.9, 10.0, 50.0, 51.0]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select(vectors.clamped(F.col("x")).alias("n"))
+    assert [r.n for r in df.collect()] == [vectors.clamp_limit(x) for x in values]

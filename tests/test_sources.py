@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tallgrass import model
 from tallgrass.api import Engine, parse_arguments
 from tallgrass.model import RuntimeConfig
-from tallgrass.sources import git, logs, models
-from tallgrass.sources.store import DimensionMismatch, PointStore, StateStore
+from tallgrass.sources import clients, git, logs, models
+from tallgrass.sources.store import Conflict, DimensionMismatch, PointStore, StateStore
 from tallgrass.streaming import live
 
 NOW = datetime(2025, 5, 1)
@@ -61,11 +61,13 @@ def engine_of(spark, repo, tmp_path, **more):
 def test_incremental_equals_full(spark, repo, tmp_path):
     engine = engine_of(spark, repo, tmp_path)
     first = engine.reindex(now=NOW)
-    assert first[0]["files_processed"] == 3 and first[0]["points_after"] == 3
+    assert first == {"files_processed": 3, "chunks_created": 3, "points_upserted": 3, "points_deleted": 0, "errors": []}
     run(repo, "mv", "src/b.ts", "src/c.ts")
     commit(repo, {"src/a.ts": "export function readAlpha() {\n  return 3;\n}\nfunction more() {}\n", "src/d.json": "{}"})
-    engine.reindex(now=NOW)
+    # a.ts and b.ts go, a.ts twice, c.ts and d.json come.
+    assert engine.reindex(now=NOW) == {"files_processed": 3, "chunks_created": 4, "points_upserted": 4, "points_deleted": 2, "errors": []}
     incremental = points_of(engine)
+    assert engine.reindex("q", now=NOW) == {"files_processed": 0, "chunks_created": 0, "points_upserted": 0, "points_deleted": 0, "errors": ["unknown repository q"]}
     other = engine_of(spark, repo, tmp_path / "other")
     other.reindex(full=True, now=NOW)
     assert incremental == points_of(other) == [("r/openspec/memory/pitfalls.md", 0), ("r/src/a.ts", 0), ("r/src/a.ts", 1), ("r/src/c.ts", 0), ("r/src/d.json", 0)]
@@ -73,6 +75,31 @@ def test_incremental_equals_full(spark, repo, tmp_path):
     assert status == {"r": ("indexed", 5, 5)}
 
 
+def test_a_failing_repository_does_not_stop_the_others(spark, repo, tmp_path):
+    engine = engine_of(spark, repo, tmp_path)
+    engine.config.repo_paths = {"gone": str(tmp_path / "nowhere"), "r": str(repo)}
+    done = engine.reindex(now=NOW)
+    assert done["files_processed"] == 3 and len(done["errors"]) == 1 and done["errors"][0].startswith("gone: ")
+    assert engine.reindex(full=True, now=NOW)["points_deleted"] == 3  # what the state said
+    engine.config.repo_paths = {}
+    assert engine.reindex()["errors"] == ["no repositories are configured"]
+
+
+def test_usage_report(spark, repo, tmp_path):
+    log = str(tmp_path / "log")
+    engine = engine_of(spark, repo, tmp_path, log_path=log)
+    engine.reindex(now=NOW)
+    engine.search_memory("pit-1", now=NOW).collect()
+    engine.search_memory("zzz", now=NOW).collect()
+    folder = tmp_path / "x" / "openspec" / "changes" / "c1"
+    folder.mkdir(parents=True)
+    (folder / "learnings.md").write_text("Memory impact: none\n")
+    report = engine.usage_report(logs.read_log(spark, log), logs.verdicts_under(spark, str(tmp_path / "x")))
+    assert report["summary"].first().calls == 2 and report["days"].count() == 1
+    assert report["top hits"].first()["id"] == "PIT-1" and report["verdicts"].first()[0] == 1 and report["verdict lines"].first().change == "c1"
+    assert report["dead"].first().indexed == 1 and report["dead entries"].count() == report["dead"].first().dead
+
+
 def test_deviation_4_full_listing_removes_vanished_files(spark, repo, tmp_path):
     engine = engine_of(spark, repo, tmp_path)
     engine.reindex(now=NOW)
@@ -145,6 +172,67 @@ def test_store(spark, tmp_path):
     assert store.count() == 0
 
 
+def folders(store):
+    return set(store.files.names("data"))
+
+
+def test_a_change_touches_only_its_partitions(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "s"), 4)
+    store.ensure()
+    notes = point(spark, "n").withColumn("kind", F.lit("memory")).withColumn("file_path", F.lit("r/n.md"))
+    store.write(point(spark, "a").withColumn("file_path", F.lit("r/a.ts")).unionByName(notes).unionByName(point(spark, "q").withColumn("repo", F.lit("q/é"))))
+    before = store._partitions()
+    changed = spark.createDataFrame([("r", "a.ts", "M", None)], "repo string, path string, status string, old_path string")
+    store.apply(changed, point(spark, "b").withColumn("file_path", F.lit("r/a.ts")))
+    after = store._partitions()
+    assert {k for k in before if before[k] != after.get(k)} == {"_repo=r/_kind=code"}
+    assert sorted(r.point_id for r in store.read().collect()) == ["b", "n", "q"]
+    assert [r.point_id for r in store.read(["r"], "memory").collect()] == ["n"] and [r.point_id for r in store.read(["q/é"]).collect()] == ["q"]
+    data = folders(store)
+    store.delete_repo("r")
+    assert folders(store) == data and [r.point_id for r in store.read().collect()] == ["q"]
+
+
+def test_a_reader_keeps_its_snapshot(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "s"), 4)
+    store.ensure()
+    store.upsert(point(spark, "a"))
+    reading = store.read()
+    store.upsert(point(spark, "b"))
+    store.delete_repo("r")
+    assert [r.point_id for r in reading.collect()] == ["a"] and store.count() == 0
+    store.expire(keep=1)
+    assert len(store.snapshots()) == 1 and folders(store) == set()
+
+
+@pytest.mark.parametrize("step", ["_stored", "_commit"])
+def test_a_write_that_dies_leaves_the_old_state(spark, tmp_path, monkeypatch, step):
+    store = PointStore(spark, str(tmp_path / "s"), 4)
+    store.ensure()
+    store.upsert(point(spark, "a"))
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(PointStore, step, die)
+        store.upsert(point(spark, "b"))
+    fresh = PointStore(spark, str(tmp_path / "s"), 4)
+    assert not fresh.ensure() and [r.point_id for r in fresh.read().collect()] == ["a"]
+    fresh.upsert(point(spark, "b"))
+    assert fresh.count() == 2
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "s"), 4)
+    store.ensure()
+    number = max(store.snapshots())
+    store._commit({"x": "data/1"}, number)
+    with pytest.raises(Conflict):
+        store._commit({"x": "data/2"}, number)
+    assert store._partitions() == {"x": "data/1"}
+
+
 def test_deviation_2_no_implicit_drop(spark, tmp_path):
     store = PointStore(spark, str(tmp_path / "s"), 4)
     store.ensure()
@@ -166,9 +254,10 @@ def test_deviation_1_a_failed_write_leaves_the_old_state(spark, tmp_path):
     assert [r.point_id for r in store.read().collect()] == ["a"]
 
 
-def test_state_store(tmp_path):
+@pytest.mark.parametrize("shared", [False, True])
+def test_state_store(spark, tmp_path, shared):
     path = tmp_path / "x" / "state.json"
-    state = StateStore(str(path))
+    state = StateStore(str(path), spark if shared else None)
     assert state.read() == {}
     state.update("r", "c", 3, NOW)
     assert state.read()["r"]["totalChunks"] == 3
@@ -185,9 +274,10 @@ def test_log_drops_malformed_lines(spark, tmp_path):
 
 
 def test_verdicts(spark, tmp_path):
-    (tmp_path / "a" / "b").mkdir(parents=True)
-    (tmp_path / "a" / "b" / "learnings.md").write_text("x\n  Memory Impact: yes \n")
-    (tmp_path / "a" / "other.md").write_text("memory impact")
+    root = tmp_path / "openspec" / "changes"
+    for folder, name in ((root / "archive" / "b", "learnings.md"), (root / "c", "Learnings.md"), (tmp_path / "docs" / "d", "learnings.md"), (root / "e", "other.md")):
+        folder.mkdir(parents=True)
+        (folder / name).write_text("x\n  Memory Impact: yes \n")
     assert [tuple(r) for r in logs.verdicts_under(spark, str(tmp_path)).collect()] == [("b", "Memory Impact: yes")]
 
 
@@ -213,10 +303,77 @@ def test_embedding_retries_and_bisection():
     assert models.embed_all(Flaky(long, long), ["a" * 9000, "b"], wait=waits.append) == [[8000.0], [1.0]]
 
 
+def test_all_attempts_share_their_time():
+    now = [0.0]
+
+    def wait(seconds):
+        now[0] += seconds
+
+    seen = []
+
+    def busy(left):
+        seen.append(left)
+        now[0] += 10
+        raise models.ServiceError("busy", 429)
+
+    with pytest.raises(models.ServiceError, match="over"):
+        models.call_with_retry(busy, wait, seconds=30, clock=lambda: now[0])
+    assert seen == [30, 19, 7] and now[0] <= 37
+
+
+@pytest.fixture
+def service():
+    """A local server that answers as the services do."""
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            server.seen.append((self.path, self.headers["Authorization"], body))
+            status, answer = server.answers.pop(0) if server.answers else (200, None)
+            if answer is None and "input" in body:
+                answer = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]}
+            elif answer is None:
+                answer = {"results": [{"index": i, "relevance_score": i} for i in range(len(body["documents"]))]}
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    server.seen, server.answers = [], []
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield server
+    server.shutdown()
+
+
+def test_http_clients(service):
+    url = f"http://127.0.0.1:{service.server_port}"
+    env = {"EMBEDDER_API_KEY": "k", "EMBEDDER_URL": url + "/v1", "EMBEDDER_MODEL": "m", "EMBEDDER_BATCH_SIZE": "2", "RERANKER_PROVIDER": "cohere", "RERANKER_API_KEY": "r", "RERANKER_URL": url + "/rerank"}
+    embedder, reranker, waits = clients.embedder_of(env, 64)(), clients.reranker_of(env), []
+    service.answers[:] = [(429, {}), (503, {})]
+    assert models.embed_all(embedder, ["a", "bb", "ccc"], embedder.batch, waits.append) == [[1.0, 1.0], [2.0, 1.0], [3.0, 1.0]]
+    assert waits == [1.0, 2.0] and service.seen[-1] == ("/v1/embeddings", "Bearer k", {"model": "m", "input": ["ccc"]})
+    service.answers[:] = [(400, {"error": "maximum context length is 8192"}), (400, {"error": "maximum context length is 8192"})]
+    assert models.embed_all(embedder, ["x" * 9000, "y"], 2, waits.append) == [[8000.0, 1.0], [1.0, 1.0]]
+    service.answers[:] = [(400, {"error": "no"})]
+    with pytest.raises(models.ServiceError):
+        embedder.embed(["a"])
+    assert models.rerank(reranker, "q", ["a", "b", "c"], 2, waits.append) == [2, 1]
+    assert service.seen[-1][1:] == ("Bearer r", {"model": "rerank-english-v3.0", "query": "q", "documents": ["a", "b", "c"], "top_n": 2})
+    service.answers[:] = [(500, {})]
+    assert models.rerank(reranker, "q", ["a", "b", "c"], 2, waits.append) == [0, 1]
+    assert isinstance(clients.embedder_of({}, 8)(), models.HashingEmbedder) and clients.reranker_of({"RERANKER_PROVIDER": "cohere"}) is None and clients.reranker_of({"RERANKER_PROVIDER": "other", "RERANKER_API_KEY": "x"}) is None
+
+
 def test_rerank_answers():
     answer = {"results": [{"index": 0, "relevance_score": 0.1}, {"index": 2, "relevance_score": 0.9}, {"index": "x"}, {"index": 1, "score": 0.9}]}
     assert models.parse_rerank(answer) == [2, 1, 0]
     assert models.parse_rerank({"data": []}) == []
+    assert models.parse_rerank({"results": None, "data": [{"index": 1}, {"index": 0, "score": 2}]}) == [0, 1]
     assert models.parse_rerank("x") is None
 
     class Down:
@@ -279,6 +436,9 @@ def test_ingest_stream(spark, tmp_path):
 def test_arguments(tmp_path):
     config, args = parse_arguments(["--repo", "r", "--path", str(tmp_path), "--exclude", "*.css", "reindex", "--full"])
     assert config.repo_paths == {"r": str(tmp_path)} and config.exclude_patterns == ["*.css"] and args.full
+    named, own = parse_arguments(["status"], {"WORKSPACE_ROOT": "/w", "COLLECTION": "c", "STORE": "/s", "EMBEDDER_DIMENSIONS": "8"})
+    assert (named.workspace_root, named.collection_name, own.store, own.dimensions) == ("/w", "c", "/s", 8)
+    assert parse_arguments(["--collection", "d", "status"], {"COLLECTION": "c"})[0].collection_name == "d"
     with pytest.raises(SystemExit):
         parse_arguments(["--repo", "r", "reindex"])
     with pytest.raises(SystemExit):
