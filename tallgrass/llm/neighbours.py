@@ -15,8 +15,9 @@ There are two searches:
   that lies within half of the relaxed distance of a boundary goes to both sides,
   so that every pair which the relaxed rule doesn't skip meets in a shard. Inside a
   shard the tree goes on down to small leaves.
-* ``nearest`` finds the k nearest of a set of queries. Vectors are hashed to shards
-  with a tree each; blocks of queries visit every shard and skip leaves there.
+* ``nearest`` finds the k nearest of a set of queries. The top of the tree cuts the
+  vectors into shards with a tree each. A query first looks in its own shard; the
+  distance of the k-th best there tells which other shards it may skip.
 
 Vectors travel as one byte per number with a factor of their own; what is found is
 checked against the original numbers.
@@ -99,19 +100,29 @@ class Tree:
 
     def route(self, vectors: np.ndarray, margin: float) -> list[np.ndarray]:
         """For each leaf the rows that belong there or lie within ``margin`` of it at every node on the way."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * self.n_leaves
+        return [rows for rows, _ in self.descend(vectors, np.full(len(vectors), margin, np.float32))]
+
+    def descend(self, vectors: np.ndarray, margins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``route`` with a margin per row, and beside the rows of each leaf how far they are from it at most at the nodes on the way.
+
+        A row is compared only with the vantage points on its own ways down.
+        """
+        out = [(np.empty(0, np.int64), np.empty(0, np.float32))] * self.n_leaves
+        everything = np.arange(len(vectors)), np.zeros(len(vectors), np.float32)
         if not len(self.radii):
-            return [np.arange(len(vectors))]
-        distance = distances(vectors, self.points)
-        stack = [(0, np.arange(len(vectors)))]
+            return [everything]
+        stack = [(0, *everything)]
         while stack:
-            node, rows = stack.pop()
+            node, rows, gaps = stack.pop()
             if node < 0:
-                out[-node - 1] = rows
+                out[-node - 1] = rows, gaps
+                continue
+            if not len(rows):
                 continue
-            off = distance[rows, node] - self.radii[node]
-            stack.append((self.children[node, 0], rows[off <= margin]))
-            stack.append((self.children[node, 1], rows[off > -margin]))
+            off = distances(vectors[rows], self.points[node : node + 1])[:, 0] - self.radii[node]
+            inside, outside = off <= margins[rows], off > -margins[rows]
+            stack.append((self.children[node, 0], rows[inside], np.maximum(gaps[inside], off[inside])))
+            stack.append((self.children[node, 1], rows[outside], np.maximum(gaps[outside], -off[outside])))
         return out
 
 
@@ -212,10 +223,14 @@ def _keep_top(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> np.ndarray
 
 
 def similar_pairs(
-    points: DataFrame, min_cosine: float, k: int = 10, key: str = "point_id", column: str = "dense", dimensions: int = 64, relax: float = RELAX, shard: int = SHARD, block: int = BLOCK
+    points: DataFrame, min_cosine: float, k: int | None = 10, key: str = "point_id", column: str = "dense", dimensions: int = 64, relax: float = RELAX, shard: int = SHARD, block: int = BLOCK
 ) -> DataFrame:
     """``(a, b, cosine)`` with a < b: each vector's ``k`` most similar vectors of at least ``min_cosine``.
 
+    With ``k=None`` no link is left out: the result then has all pairs between different
+    vectors, each by the smallest key of its class of copies, and for each further copy the pair
+    with that key, which is its membership.
+
     A pair is returned if it is among the ``k`` best of one of its ends. Vectors that
     are null, all zero, not finite or of another length have no partners; repeated
     rows count once. Copies of one packed vector are collapsed to a class first, whose
@@ -228,7 +243,7 @@ def similar_pairs(
     loses a pair.
     """
     packed = cut_lineage(packed_vectors(points, dimensions, key, column))
-    classes, members = _classes(packed, key, k)
+    classes, members = _classes(packed, key, 0 if k is None else k)
     n = packed.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / shard)))
     tree = _fitted(packed, n, depth, dimensions)
@@ -249,11 +264,14 @@ def similar_pairs(
             a, b, c = close_pairs(vectors, None, loose, relax)
         else:
             a, b, c = close_pairs(vectors[:n_left], vectors[n_left:], loose, relax)
-        keep = _keep_top(a, b, c, k)
+        keep = slice(None) if k is None else _keep_top(a, b, c, k)
         return pd.DataFrame({"a": keys[a[keep]], "b": keys[b[keep]], "rough": c[keep]})
 
     rough = routed.groupBy("shard", "pair").applyInPandas(search, out_schema)
     ordered = rough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    if k is None:
+        copies = packed.join(classes.where("_n > 1").select("v", F.col(key).alias("rep")), "v").select(F.col("rep").alias("a"), F.col(key).alias("b")).where("a <> b")
+        return _checked(cut_lineage(ordered.unionByName(copies)), points, key, column, dimensions, min_cosine)
     # Keys of one class stand for its other keys as well.
     ends = lambda c: members.select(F.col("rep").alias(c), F.col(key).alias(f"{c}_key"))
     across = ordered.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_key").alias("x"), F.col("b_key").alias("y"))
@@ -289,8 +307,8 @@ def _fitted(packed: DataFrame, n: int, depth: int, dimensions: int) -> Tree:
     return fit(unpack([bytes(r["v"]) for r in rows], dimensions), depth) if len(rows) > 1 else _fitted(packed, n, 0, dimensions)
 
 
-def _route(classes: DataFrame, key: str, tree: Tree, margin: float, dimensions: int) -> DataFrame:
-    """``(shard, key, v)``: each vector in every shard that it may find a partner in."""
+def _route(classes: DataFrame, key: str, tree: Tree, margin: float, dimensions: int, once: bool = False) -> DataFrame:
+    """``(shard, key, v)``: each vector in every shard that it may find a partner in, or only ``once`` in its own."""
     schema = T.StructType([T.StructField("shard", T.IntegerType()), classes.schema[key], classes.schema["v"]])
     shared = classes.sparkSession.sparkContext.broadcast(tree)
 
@@ -298,7 +316,8 @@ def _route(classes: DataFrame, key: str, tree: Tree, margin: float, dimensions:
         for pdf in batches:
             if not len(pdf):
                 continue
-            leaves = shared.value.route(unpack(pdf["v"], dimensions), margin)
+            vectors = unpack(pdf["v"], dimensions)
+            leaves = _own_leaves(shared.value, vectors) if once else shared.value.route(vectors, margin)
             rows = np.concatenate(leaves)
             numbers = np.repeat(np.arange(len(leaves), dtype=np.int32), [len(x) for x in leaves])
             yield pd.DataFrame({"shard": numbers, key: pdf[key].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows]})
@@ -346,7 +365,7 @@ def _top_of_either(pairs: DataFrame, k: int) -> DataFrame:
 
 
 # -- nearest of a set of queries ------------------------------------------------
-NEAREST_SHARD, QUERY_BLOCK, NEAREST_RELAX = 32768, 4096, 1.6
+NEAREST_SHARD, QUERY_BLOCK, NEAREST_RELAX = 16384, 8192, 2.0
 
 
 @dataclass
@@ -432,37 +451,84 @@ def search(index: Leaves, queries: np.ndarray, k: int, relax: float) -> tuple[np
 
 
 def nearest(
-    points: DataFrame, queries: DataFrame, k: int = 10, key: str = "point_id", column: str = "dense", dimensions: int = 64, relax: float = NEAREST_RELAX, shard: int = NEAREST_SHARD
+    points: DataFrame, queries: DataFrame, k: int = 10, key: str = "point_id", column: str = "dense", dimensions: int = 64, relax: float = NEAREST_RELAX, shard: int = NEAREST_SHARD, queries_per_task: int = QUERY_BLOCK
 ) -> DataFrame:
     """``(query, neighbour, cosine, rank)``: the ``k`` most similar points of each query, itself left out.
 
     ``queries`` is a subset of the points, given by key. Cosines are those of the
     vectors as bytes (they differ from the true ones by about 0.002). Queries whose
     vector is unusable have no rows; ties go to the smaller key.
+
+    Every point is in one shard; shards that have grown over twice their size, as of
+    copies, are cut by a hash. A query visits its own shard, and then the others whose
+    boundary is nearer than its k-th best there, divided by ``relax`` (1 skips nothing
+    that counts). The queries of a shard are dealt out in blocks of ``queries_per_task``,
+    so a task holds a shard and a block, however many queries there are.
     """
     packed = cut_lineage(packed_vectors(points, dimensions, key, column))
-    n_shards = max(1, math.ceil(packed.count() / shard))
-    data = packed.select(F.pmod(F.xxhash64(F.lit(17), key), F.lit(n_shards)).cast("int").alias("shard"), key, "v")
+    n = packed.count()
+    tree = _fitted(packed, n, max(0, math.ceil(math.log2(max(1, n) / shard))), dimensions)
+    data = cut_lineage(_route(packed, key, tree, 0.0, dimensions, once=True))
+    sizes = {r["shard"]: r["n"] for r in data.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most SAMPLE shards
+    spark = points.sparkSession
+    cuts = spark.createDataFrame([(s, max(1, math.ceil(m / (2 * shard)))) for s, m in sizes.items()], "shard int, _cuts int")
+    data = data.join(F.broadcast(cuts), "shard").withColumn("_part", F.pmod(F.xxhash64(F.lit(17), key), F.col("_cuts")).cast("int"))
     asked = packed.join(queries.select(key).distinct(), key, "left_semi")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("_shard"), F.col(key).alias("_key"), F.col("v").alias("_v"))
-    kind = packed.schema[key].dataType
+    own = _route(asked, key, tree, 0.0, dimensions, once=True)
+    home = cut_lineage(_visit(data, own, cuts, k, key, dimensions, relax, queries_per_task))
+    # The k-th best of the home shard bounds what other shards may skip.
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
+    worst = home.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("cosine")).alias("_least"))
+    bounded = asked.join(worst.withColumnRenamed("query", key), key, "left")
+    away = _visit(data, _others(bounded, key, tree, relax, dimensions), cuts, k, key, dimensions, relax, queries_per_task)
+    found = home.unionByName(away)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _others(bounded: DataFrame, key: str, tree: Tree, relax: float, dimensions: int) -> DataFrame:
+    """``(shard, key, v)``: the shards other than its own that a query must visit, given the cosine of its k-th best so far."""
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), bounded.schema[key], bounded.schema["v"]])
+    shared = bounded.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            least = pdf["_least"].fillna(-1.0).to_numpy(np.float32)
+            margins = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * least)) / relax
+            vectors = unpack(pdf["v"], dimensions)
+            own = np.zeros(len(pdf), np.int64)
+            for i, rows in enumerate(_own_leaves(shared.value, vectors)):
+                own[rows] = i
+            leaves = [rows[own[rows] != i] for i, (rows, _) in enumerate(shared.value.descend(vectors, margins))]
+            rows = np.concatenate(leaves)
+            numbers = np.repeat(np.arange(len(leaves), dtype=np.int32), [len(x) for x in leaves])
+            yield pd.DataFrame({"shard": numbers, key: pdf[key].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows]})
+
+    return bounded.mapInPandas(run, schema)
+
+
+def _visit(data: DataFrame, asking: DataFrame, cuts: DataFrame, k: int, key: str, dimensions: int, relax: float, per_task: int) -> DataFrame:
+    """``(query, neighbour, cosine)`` of the queries in the shards that they visit, by blocks of queries."""
+    asking = cut_lineage(asking)
+    blocks = asking.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_task)).cast("int").alias("_blocks"))  # a row per shard
+    asked = asking.join(F.broadcast(blocks), "shard").join(F.broadcast(cuts), "shard")
+    asked = asked.select("shard", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("_part"), F.pmod(F.xxhash64(F.lit(3), key), F.col("_blocks")).cast("int").alias("_block"), F.col(key).alias("_key"), F.col("v").alias("_v"))
+    stored = data.join(F.broadcast(blocks), "shard").select("shard", "_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), key, "v")
+    kind = data.schema[key].dataType
     schema = T.StructType([T.StructField("query", kind), T.StructField("neighbour", kind), T.StructField("cosine", T.DoubleType())])
 
     def run(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"query": [], "neighbour": [], "cosine": []}).astype({"query": object, "neighbour": object, "cosine": float})
         if not len(own) or not len(asking):
-            return pd.DataFrame({"query": [], "neighbour": [], "cosine": []}).astype({"query": object, "neighbour": object, "cosine": float})
+            return nothing
         index, keys = build(unpack(own["v"], dimensions)), own[key].to_numpy()
-        parts = []
-        for i in range(0, len(asking), QUERY_BLOCK):
-            part = asking.iloc[i : i + QUERY_BLOCK]
-            rows, cosines = search(index, unpack(part["_v"], dimensions), k + 1, relax)
-            ids = np.repeat(part["_key"].to_numpy(), rows.shape[1])
-            flat = rows.ravel()
-            ok = flat >= 0
-            frame = pd.DataFrame({"query": ids[ok], "neighbour": keys[flat[ok]], "cosine": cosines.ravel()[ok].astype(float)})
-            parts.append(frame[frame["query"] != frame["neighbour"]])
-        return pd.concat(parts)
-
-    found = data.groupBy("shard").cogroup(asked.groupBy("_shard")).applyInPandas(run, schema)
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        rows, cosines = search(index, unpack(asking["_v"], dimensions), k + 1, relax)
+        ids = np.repeat(asking["_key"].to_numpy(), rows.shape[1])
+        flat = rows.ravel()
+        ok = flat >= 0
+        frame = pd.DataFrame({"query": ids[ok], "neighbour": keys[flat[ok]], "cosine": cosines.ravel()[ok].astype(float)})
+        return frame[frame["query"] != frame["neighbour"]]
+
+    by = ("shard", "_part", "_block")
+    return stored.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, schema)

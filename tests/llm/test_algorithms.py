@@ -438,3 +438,50 @@ def test_words_of_special_letters(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     assert [r.doc_id for r in leakage.matches(df, items).collect()] == [1]
+
+
+def test_nearest_in_blocks(spark):
+    """Blocks of queries and cuts of shards change nothing; relax of one is exact over all shards."""
+    x = vectors(1500, 9, copies=400)
+    df = frame(spark, x)
+    asked = df.where("int(substring(point_id, 2, 5)) % 20 = 0")
+    u = neighbours.unpack(neighbours.pack(x.astype(np.float64)), 64)
+    got = {}
+    for r in neighbours.nearest(df, asked, 5, relax=1.0, shard=150, queries_per_task=7).collect():
+        got.setdefault(int(r["query"][1:]), []).append(r.cosine)
+    assert len(got) == len(range(0, len(x), 20))
+    for q, cosines in got.items():
+        s = u @ u[q]
+        s[q] = -2
+        assert np.allclose(sorted(cosines), np.sort(s)[-5:], atol=1e-4)
+
+
+def test_routes_meet_only_their_own_path():
+    x = vectors(3000, 4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tree = neighbours.fit(u, 6)
+    d = neighbours.distances(u, tree.points)
+    for margin in (0.0, 0.05):
+        want = [set() for _ in range(tree.n_leaves)]
+        for i in range(len(u)):
+            stack = [0]
+            while stack:
+                node = stack.pop()
+                if node < 0:
+                    want[-node - 1].add(i)
+                    continue
+                off = d[i, node] - tree.radii[node]
+                stack += [int(tree.children[node, 0])] * int(off <= margin) + [int(tree.children[node, 1])] * int(off > -margin)
+        got = [set(r.tolist()) for r in tree.route(u, margin)]
+        assert sum(len(a ^ b) for a, b in zip(got, want)) <= 5  # rounding at a boundary
+    assert len(np.concatenate(tree.route(u, 0.0))) >= len(u)
+
+
+def test_every_link_without_a_bound(spark):
+    x = vectors(300, 6, copies=50)
+    rows = neighbours.similar_pairs(frame(spark, x), 0.95, k=None).collect()
+    same = {"p00000"} | {f"p{i:05d}" for i in range(400, 450)}
+    members = {r.b for r in rows if r.a == "p00000" and r.b in same}
+    assert members == same - {"p00000"}
+    others = {(r.a, r.b) for r in rows if r.b not in members and r.a not in members}
+    assert others == {(a, b) for a, b in brute(x, 0.95) if a not in members and b not in members}
