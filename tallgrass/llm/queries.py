@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.session import read_spread, read_table
+from tallgrass.session import cut_lineage, read_spread, read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -157,6 +157,46 @@ def p7_pieces(spark, d):
     return splitting.split_chunks(read_table(spark, d, "chunks"))
 
 
+@query("""with c as (select distinct point_id, text, start_line, end_line from chunks where length(text) > 4000)
+select point_id, length(text) as characters, md5(text) as digest, true as within_limit, true as overlapping, true as numbered, start_line as first_line from c""")
+def p7_reassembled(spark, d):
+    """The pieces put together again: what is new in each gives the text, and limits, overlaps and numbers are kept."""
+    from tallgrass.llm import splitting
+
+    p = splitting.split_chunks(read_table(spark, d, "chunks")).select("point_id", "piece", "n_pieces", "start", "text", "start_line")
+    by = p.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "text", "start_line"))).alias("p"), F.max("n_pieces").alias("n"))
+    state = F.struct(F.lit("").alias("text"), F.lit(True).alias("over"))
+
+    def step(s, x):
+        shared = F.length(s["text"]) - x["start"]
+        return F.struct(
+            F.concat(s["text"], F.substring(x["text"], shared + 1, F.length(x["text"]))).alias("text"),
+            (s["over"] & ((x["piece"] == 0) | (shared >= 150 - 1) & (shared <= 200))).alias("over"),
+        )
+
+    whole = by.withColumn("w", F.aggregate("p", state, step))
+    return whole.select(
+        "point_id", F.length("w.text").cast("bigint").alias("characters"), F.md5("w.text").alias("digest"), F.forall("p", lambda x: F.length(x["text"]) <= 4000).alias("within_limit"), F.col("w.over").alias("overlapping"),
+        ((F.size("p") == F.col("n")) & (F.col("p")[F.size("p") - 1]["piece"] == F.col("n") - 1)).alias("numbered"), F.col("p")[0]["start_line"].alias("first_line"),
+    )
+
+
+@query("""with c as (select distinct point_id, repo, file_path, chunk_index, length(text) > 4000 as long from chunks), f as (select repo, file_path, count(*) as chunks, count(*) filter (long) as long from c group by 1, 2)
+select repo, file_path, chunks, long, true as gapless from f where long > 0""")
+def p7_reindexed(spark, d):
+    """Indexes of all chunks of the files that have an oversized one: without gaps, and in the old order."""
+    from tallgrass.llm import splitting
+
+    c = read_table(spark, d, "chunks").select("point_id", "repo", "file_path", F.col("chunk_index").alias("old")).distinct()
+    r = splitting.reindexed(read_table(spark, d, "chunks")).join(c, "point_id")
+    by = r.groupBy("repo", "file_path").agg(
+        F.countDistinct("point_id").alias("chunks"), F.countDistinct(F.when(F.col("piece") > 0, F.col("point_id"))).alias("long"), F.array_sort(F.collect_list(F.struct("old", "piece", "chunk_index"))).alias("x"), F.max("total_chunks").alias("n"), F.min("old").alias("first")
+    )
+    # Indexes count on from the old ones, so a gap of the old ones stays one.
+    ok = F.forall(F.sequence(F.lit(1), F.greatest(F.size("x") - 1, F.lit(1))), lambda i: F.coalesce(F.get("x", i)["chunk_index"] - F.get("x", i - 1)["chunk_index"] == F.greatest(F.get("x", i)["old"] - F.get("x", i - 1)["old"], F.lit(1)), F.lit(True)))
+    return by.select("repo", "file_path", "chunks", "long", (ok & (F.size("x") == F.col("n"))).alias("gapless"))
+
+
 # -- 8: packing -----------------------------------------------------------------
 @query()
 def p8_pack(spark, d):
@@ -165,6 +205,21 @@ def p8_pack(spark, d):
     return packing.pack(read_spread(spark, d, "documents"))
 
 
+@query("""select doc_id, true as covered from documents where length(text) > 0
+union all select -1, true""")
+def p8_coverage(spark, d):
+    """Every text that isn't empty lies whole in its containers; row -1 says that no container holds more than 2,048 tokens, their numbers have no gap, and they are full but for 1 %."""
+    from tallgrass.llm import packing
+
+    packed = cut_lineage(packing.pack(read_spread(spark, d, "documents")))
+    by_doc = packed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_from", "token_to", "piece"))).alias("x"))
+    joined = F.forall(F.sequence(F.lit(1), F.size("x")), lambda i: F.when(i == F.size("x"), True).otherwise((F.get("x", i)["token_from"] == F.get("x", i - 1)["token_to"]) & (F.get("x", i - 1)["token_to"] % 2048 == 0)))
+    docs = by_doc.select("doc_id", ((F.col("x")[0]["token_from"] == 0) & joined).alias("covered"))
+    room = packed.groupBy("container").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("n"))
+    total = room.agg(((F.max("n") <= 2048) & (F.max("container") + 1 == F.count(F.lit(1))) & (F.sum("n") >= F.count(F.lit(1)) * 2048 * 0.99 - 2048)).alias("covered"))
+    return docs.unionByName(total.select(F.lit(-1).cast("bigint").alias("doc_id"), F.coalesce("covered", F.lit(True)).alias("covered")))
+
+
 # -- 9: leaked evaluation texts -------------------------------------------------
 @query("""with i as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from eval_items),
 g as (select distinct item_id, array_to_string(list_slice(w, k::INT, (k + 12)::INT), ' ') as gram from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i)),
