@@ -35,7 +35,7 @@ def candidates_for(limit: int) -> int:
 
 
 _TOKEN, _BOUNDARY, _SEPARATOR = re.compile(text.TOKEN), re.compile("([a-z0-9])([A-Z])"), re.compile(text.PART_SEPARATOR)
-#: Words whose hashes a process keeps.
+#: Words whose hashes are kept at a time.
 KEPT_WORDS = 500_000
 
 
@@ -52,12 +52,13 @@ def _hashes(word: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def term_counts(column: Column, max_terms: int = text.MAX_TERMS) -> Column:
+def term_counts(column: Column, max_terms: int = text.MAX_TERMS, pinned: bool = False) -> Column:
     """array<struct<term_hash, tf>> of a text, most frequent first, cut to ``max_terms``.
 
     Ties at the cut go to the term that occurs first. Terms with one hash are one
     term. A null text gives null, one without tokens an empty array. All of it is
-    work on the row of a text, in Arrow batches; each word is hashed once per process.
+    work on the row of a text, in Arrow batches; each word is hashed once per batch.
+    ``pinned`` keeps the optimiser from moving the work into a filter and doing it twice.
     """
 
     def count(texts: pd.Series) -> pd.Series:
@@ -79,12 +80,13 @@ def term_counts(column: Column, max_terms: int = text.MAX_TERMS) -> Column:
             out.append([{"term_hash": h, "tf": n} for h, n in sorted(counts.items(), key=lambda x: -x[1])[:max_terms]])
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(count, "array<struct<term_hash:bigint,tf:int>>")(column)
+    udf = F.pandas_udf(count, "array<struct<term_hash:bigint,tf:int>>")
+    return (udf.asNondeterministic() if pinned else udf)(column)
 
 
 def term_postings(docs: DataFrame, key: str, column: str = "text", max_terms: int = text.MAX_TERMS) -> DataFrame:
     """``(key, term_hash, tf, weight)``: the terms of each text. Null and empty texts have no rows. No shuffle."""
-    exploded = docs.select(F.col(key), F.explode(term_counts(F.col(column), max_terms)).alias("_t"))
+    exploded = docs.select(F.col(key), term_counts(F.col(column), max_terms, pinned=True).alias("_t")).select(F.col(key), F.explode("_t").alias("_t"))
     return exploded.select(key, "_t.term_hash", "_t.tf", F.log1p(F.col("_t.tf").cast("double")).alias("weight"))
 
 
@@ -97,7 +99,7 @@ def sparse_vector(column: Column, max_terms: int = text.MAX_TERMS) -> Column:
 
 def sparse_vectors(docs: DataFrame, key: str, column: str = "text", max_terms: int = text.MAX_TERMS) -> DataFrame:
     """``(key, sparse)`` of the texts that have terms, without a shuffle."""
-    counted = docs.select(F.col(key), term_counts(F.col(column), max_terms).alias("_t")).where(F.size("_t") > 0)
+    counted = docs.select(F.col(key), term_counts(F.col(column), max_terms, pinned=True).alias("_t")).where(F.size("_t") > 0)
     ordered = counted.select(key, F.array_sort("_t").alias("_t"))
     return ordered.select(key, F.struct(F.col("_t.term_hash").alias("indices"), F.transform("_t", lambda p: F.log1p(p["tf"].cast("double"))).alias("values")).alias("sparse"))
 
